@@ -56,7 +56,7 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
 def _bit(key: Column, i: int) -> Column:
     """The one bit that a key sets in word i of its block."""
     spread = F.xxhash64(key, F.lit("bits"))
-    return F.shiftleft(F.lit(1), F.shiftrightunsigned(spread, 5 * i).bitwiseAND(31).cast("int"))
+    return F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(spread, 5 * i).bitwiseAND(F.lit(31)).cast("int"))
 
 
 def _block(key: Column, blocks: int) -> Column:
