@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import mixing, sstable, tokencount, urlfilter
+from sieveworks.llm import decontam, langid, mixing, quality, sstable, tokencount, urlfilter
 from sieveworks.llm.store import fresh_path
 from sieveworks.llm.text import word_count
 
@@ -52,6 +52,11 @@ SELECT doc_id, size, source_size, target, (size * least(epochs + (middle <= budg
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    return langid.predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-shards")
     sstable.write_shards(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -81,12 +86,24 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND p.url = f.url
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share a passage with a benchmark text, by pair."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    leaks = decontam.find_leaks(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return leaks.select("doc_id", "item_id", "n_matches", "n_substituted", "doc_start", "item_start")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_token_shards, op6_url_filter, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_language_id, op4_token_shards, op6_url_filter, op7_quality_rules, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
