@@ -13,8 +13,8 @@ MIN_WORDS, MOST_REPEATED = 50, 50
 CORE, STEPS, LEAST_ROWS = 0.75, 3, 40
 #: Least standard deviation of each feature, so that a feature that hardly varies in a group rejects nobody.
 FEATURES = {"f_words": 1.0, "f_length": 0.25, "f_symbols": 0.5, "f_lines": 0.5, "f_repeat": 0.25}
-#: Squared distance beyond which a document goes, after the distances are scaled to the chi-square median of 5 features.
-CUTOFF, CHI2_MEDIAN = 60.0, 4.351
+#: Squared distance beyond which a document goes (0.99999 quantile of chi-square with 5 degrees), on distances scaled to its median.
+CUTOFF, CHI2_MEDIAN = 30.86, 4.351
 #: Group rows (about 300 bytes each) are sent to the executors up to this number.
 BROADCAST_GROUPS = 50_000
 FEW = 64

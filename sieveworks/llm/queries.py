@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontam, langid, mixing, quality, sstable, tokencount, urlfilter
+from sieveworks.llm import decontam, jaccard, langid, mixing, quality, sstable, tokencount, urlfilter
 from sieveworks.llm.store import fresh_path
 from sieveworks.llm.text import word_count
 
@@ -91,6 +91,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    found = jaccard.jaccard_rows(docs, 3, 90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -103,7 +109,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_language_id, op4_token_shards, op6_url_filter, op7_quality_rules, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_language_id, op4_token_shards, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
