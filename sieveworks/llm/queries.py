@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontam, jaccard, langid, mixing, quality, sstable, tokencount, urlfilter
+from sieveworks.llm import decontam, jaccard, langid, mixing, quality, sstable, tokencount, toxicity, urlfilter
 from sieveworks.llm.store import fresh_path
 from sieveworks.llm.text import word_count
 
@@ -52,6 +52,15 @@ SELECT doc_id, size, source_size, target, (size * least(epochs + (middle <= budg
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents found toxic, with the chain's probabilities: low quality first, then toxic."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.train_chain(docs, labels, ["low_quality", "toxic"])
+    found = toxicity.score_documents(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= 0.5)
+    return found.where("is_toxic")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return langid.predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -109,7 +118,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_language_id, op4_token_shards, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_language_id, op4_token_shards, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
