@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 1500
 FOLDS = 5
 #: Features of one category: those whose share differs between its classes by so many standard errors, most first.
-LEAST_Z, FEATURES = 5.0, 2000
+LEAST_Z, FEATURES = 3.5, 2000
 STEPS, RATE, PENALTY = 400, 0.05, 1e-4
 KEPT_TOKENS = 250_000
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}|[|]")
