@@ -39,7 +39,7 @@ BITS_A_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QIQIQQB3x4s")
 ENTRY, INDEX = struct.Struct("<HHI"), struct.Struct("<QIH")
 #: Distinct chunks of text whose ids a task keeps; the memory is emptied when full.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 500_000
 
 
 @cache
@@ -72,6 +72,12 @@ class ChunkEncoder:
             return b"".join(map(self.kept.__getitem__, chunks))
 
 
+@cache
+def _encoder(path: str, kind: str) -> ChunkEncoder:
+    """One for each Python worker, so that its memory serves all tasks that the worker runs."""
+    return ChunkEncoder(path, kind)
+
+
 def key_of(doc_id: int | None) -> bytes:
     return b"\0" if doc_id is None else b"\1" + (doc_id + 2**63).to_bytes(8, "big")
 
@@ -193,7 +199,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     kind, end = f"<u{id_bytes}", np.asarray([end_id], f"<u{id_bytes}").tobytes()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer, kind)
+        encode = _encoder(tokenizer, kind)
 
         def entries():
             for batch in batches:
