@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontam, jaccard, langid, mixing, quality, sstable, tokencount, toxicity, urlfilter
+from sieveworks.llm import decontam, jaccard, langid, lm, mixing, quality, sstable, tokencount, toxicity, urlfilter
 from sieveworks.llm.store import fresh_path
 from sieveworks.llm.text import word_count
 
@@ -72,6 +72,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_digests(spark, path)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 LISTED_HOST = "spam-farm."
 
 
@@ -118,7 +122,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_language_id, op4_token_shards, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_language_id, op4_token_shards, op5_lm_scores, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
