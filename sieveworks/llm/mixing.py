@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     after = by_cap.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    level = F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))
+    first_free = F.when(F.col("level_here") <= F.col("ratio"), F.struct("ratio", "place", "level_here"))
     return (
         sizes.withColumn("place", F.row_number().over(order) - 1)
         .withColumn("weight", weight)
@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
         .withColumn("level_here", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("level", F.min(level).over(everything))
+        .withColumn("level", F.min(first_free).over(everything)["level_here"])
         .withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))

@@ -42,7 +42,8 @@ weighted AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 E
 levels AS (SELECT *, cap / weight AS ratio,
                   (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                   / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM weighted),
-found AS (SELECT *, min(CASE WHEN here <= ratio THEN here END) OVER () AS level FROM levels),
+free AS (SELECT here AS level FROM levels WHERE here <= ratio ORDER BY ratio, place LIMIT 1),
+found AS (SELECT levels.*, free.level FROM levels LEFT JOIN free ON true),
 targets AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM found),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
 ranked AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget,
