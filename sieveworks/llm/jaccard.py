@@ -31,7 +31,7 @@ OFTEN, FREQUENT = 4, 400_000
 #: Rows of ids (8 bytes each) that are sent to all executors; beyond it, joins shuffle.
 BROADCAST_IDS = 1_000_000
 TILE = 2048
-MOST_BITS = 1 << 12
+MOST_BITS = 1 << 15
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,8 +72,8 @@ class Shingler:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits for a set of n: the power of two from n on, in bounds."""
-    return min(MOST_BITS, max(64, 1 << max(0, int(n - 1).bit_length())))
+    """Bits for a set of n: the power of two from 2 n on, in bounds; fewer would blur the difference of two sets."""
+    return min(MOST_BITS, max(64, 2 << max(0, int(n - 1).bit_length())))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def _batches(rows: DataFrame, work, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in work(b.columns for b in batches):
-            yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
     return rows.mapInArrow(run, schema)
 
@@ -213,6 +213,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return write_table(_batches(rows, check, "a long, b long"), "jaccard-links")
 
 
+def _plausible(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of both do not rule out; small: id, n, bits."""
+    sides = [small.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
+
+    def compare(batches):
+        for a, b, n_a, n_b, bits_a, bits_b in batches:
+            keep = []
+            for m, n, x, y in zip(n_a.to_pylist(), n_b.to_pylist(), bits_a.to_pylist(), bits_b.to_pylist(), strict=True):
+                width = min(len(x), len(y)) // 8
+                x, y = (fold(np.frombuffer(z, np.uint64)[None, :], width) for z in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (m + n) * (100 - percent))
+            yield a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return write_table(_batches(rows, compare, "a long, b long"), "jaccard-plausible")
+
+
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different classes whose bitmaps allow a link, from rows tile, left, right, n, id, class, bits."""
 
@@ -286,14 +303,14 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     pairs = buckets.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     first = write_table(best, "jaccard-pairs")
-    linked = _verify(first, texts, n, percent)
+    small = sets.select("id", "n", "bits")
+    linked = _verify(_plausible(first, small, percent), texts, n, percent)
     roots = write_table(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
 
     # Round 2: buckets that hold several classes.
     grouped = members.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("root", "id").alias("class"))
     grouped = write_table(grouped, "jaccard-grouped")
     mixed = grouped.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low <> high")
-    small = sets.select("id", "n", "bits")
     rows = grouped.join(mixed.select("token", "size"), "token").join(small, "id")
     parts = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), parts)
