@@ -13,6 +13,7 @@ round 1, or verified in round 2; pairs within a class are not written out."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from sieveworks.llm.components import components
 from sieveworks.llm.store import write_table
 from sieveworks.llm.text import LOWER_ASCII, WORD_RE
 
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 #: Shingles that one batch of documents holds at least so often take part in the corpus count; the most frequent of
 #: all are sent to the tasks (8 bytes each) to be put last in the order.
 OFTEN, FREQUENT = 4, 400_000
@@ -71,6 +72,12 @@ class Shingler:
         return np.unique(joint)
 
 
+@cache
+def shingler(n: int) -> Shingler:
+    """One for each Python worker, so that its memory serves all tasks that the worker runs."""
+    return Shingler(n)
+
+
 def bitmap_bits(n: int) -> int:
     """Bits for a set of n: the power of two from 2 n on, in bounds; fewer would blur the difference of two sets."""
     return min(MOST_BITS, max(64, 2 << max(0, int(n - 1).bit_length())))
@@ -110,7 +117,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """The most frequent shingles of all documents, least frequent first; at most FREQUENT of them, so of bounded size."""
 
     def count(batches):
-        shingles = Shingler(n)
+        shingles = shingler(n)
         for (texts,) in batches:
             sets = [shingles(t.as_py()) for t in texts]
             if sets:
@@ -129,7 +136,7 @@ def _sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order + 1))
 
     def describe(batches):
-        shingles, (values, ranks) = Shingler(n), sent.value
+        shingles, (values, ranks) = shingler(n), sent.value
         for ids, texts in batches:
             out = [[] for _ in range(6)]
             for doc_id, text in zip(ids, texts, strict=True):
@@ -199,7 +206,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def check(batches):
-        shingles, own, known = Shingler(n), None, None
+        shingles, own, known = shingler(n), None, None
         for a, b, text_a, text_b in batches:
             out = [], []
             for i in range(len(a)):
