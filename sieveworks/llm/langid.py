@@ -30,7 +30,7 @@ SCRIPT_SHARE = 0.01
 #: Cost of changing the language between two words, and the most one word can speak for a language against another.
 SWITCH, MOST = 12.0, 4.0
 SMOOTH = 2.0
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 
 
 def script_of(char: str) -> str:
@@ -58,6 +58,12 @@ class LanguageModel:
         total = np.maximum(1, sum(letters.values())) if letters else 1
         self.candidates = {s: n / total >= SCRIPT_SHARE for s, n in letters.items()}
         self.nothing = np.zeros(len(self.languages), "f4")
+        self.own_labeller: Labeller | None = None
+
+    def labeller(self) -> Labeller:
+        """One for each copy of the model, so that its memory serves all tasks of a Python worker."""
+        self.own_labeller = self.own_labeller or Labeller(self)
+        return self.own_labeller
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log-probability of each language less the best, at least -MOST; -MOST for languages that the script rules out."""
@@ -170,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     schema = StructType([*rows.schema.fields, *added.fields])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, names = Labeller(sent.value), sent.value.languages
+        labeller, names = sent.value.labeller(), sent.value.languages
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             preds, scores, spans = [], [], []

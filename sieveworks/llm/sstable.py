@@ -218,12 +218,13 @@ def _each_shard(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
     """read(file name, Shard) gives tuples of schema; a file is one row, at most as large as its id range makes it."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in schema.split(",")]
+        names, types = zip(*(f.split() for f in schema.split(",")), strict=True)
+        kinds = [{"string": pa.string(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}[t] for t in types]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = list(read(name.as_py(), Shard(content.as_buffer())))
                 for at in range(0, len(rows), 4096):
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows[at : at + 4096], strict=True)], names)
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 4096], strict=True), kinds, strict=True)], list(names))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, schema)
 
