@@ -48,7 +48,8 @@ class Chain:
 
     def __init__(self, categories: list[str], links: list[tuple[dict[str, float], list[float], float]]):
         self.categories, self.links = categories, links
-        self.places: dict[str, np.ndarray] = {}
+        #: Features of tokens seen before that some link knows; serves all tasks of a Python worker.
+        self.kept: dict[str, tuple[str, ...]] = {}
         names = {f for weights, _, _ in links for f in weights}
         self.table = {f: np.array([weights.get(f, 0.0) for weights, _, _ in links]) for f in names}
 
@@ -142,7 +143,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c in chain.categories]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kept = sent.value, {}
+        model, kept = sent.value, sent.value.kept
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
