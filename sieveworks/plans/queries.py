@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions import scores as S
-from sieveworks.operators import health, lists, profile, ranking
+from sieveworks.operators import health, lists, profile, ranking, relevance
 from sieveworks.sources import pages as P
 from sieveworks.sources import tables as T
 from sieveworks.streaming import health as stream
@@ -332,6 +332,44 @@ def stream_dedup(spark, sf):
     return stream.drain(stream.first_seen(stream.read_events(spark, sf)), "stream_dedup", "append").select("event_id", "event_type")
 
 
+TEXT_QUERY = "then onion movie thand"
+
+
+def _text_sql() -> str:
+    terms, near = relevance.terms_of(TEXT_QUERY), relevance.SYNONYMS
+    quoted = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]::VARCHAR[]"
+    values = ", ".join(f"('{t}', {relevance._edits(t)}, {quoted(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2)))}, {quoted(near.get(t, ()))}, '{t[:-1]}')" for t in terms)
+    last = "0"
+    order = []
+    for t in terms:
+        last = f"(CASE WHEN strpos(substr(t, {last} + 1), '{t}') > 0 THEN strpos(substr(t, {last} + 1), '{t}') + {last} ELSE NULL END)"
+        order.append(f"{last} IS NOT NULL")
+    edit = lambda ws: f"list_filter(list_transform({ws}, lambda w: levenshtein(w, term)), lambda x: x >= 1 AND x <= edits)[1]"
+    n = len(terms)
+    return f"""WITH base AS (SELECT pos, title, lower(title) AS t, lower(coalesce(description, '')) AS d FROM results),
+ words AS (SELECT *, list_filter(string_split_regex(t, '\\W+'), lambda w: length(w) > 1) AS tw, list_filter(string_split_regex(d, '\\W+'), lambda w: length(w) > 1) AS dw,
+   CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS tg FROM base),
+ q(term, edits, grams, near, stem) AS (VALUES {values}),
+ each AS (SELECT *, (length(t) - length(replace(t, term, ''))) / length(term) AS n_t, (length(d) - length(replace(d, term, ''))) / length(term) AS n_d, {edit('tw')} AS t_edit, {edit('dw')} AS d_edit,
+   len(list_intersect(grams, tg)) / len(grams) AS share FROM words, q),
+ marks AS (SELECT *, n_t > 0 AS here, n_d > 0 AS there, NOT n_t > 0 AND t_edit IS NOT NULL AS fuzzy, NOT n_t > 0 AND t_edit IS NULL AND length(term) >= 4 AND share >= 0.5 AS gram,
+   NOT n_t > 0 AND len(list_filter(near, lambda s: contains(t, s))) > 0 AS syn FROM each),
+ sums AS (SELECT pos, sum(CASE WHEN here THEN (1 + ln(n_t)) * 7 + greatest(0, 8 - (strpos(t, term) - 1) / 12) ELSE 0 END + CASE WHEN fuzzy THEN 8 * (1 - t_edit / (edits + 1)) ELSE 0 END + CASE WHEN gram THEN 5 * share ELSE 0 END
+   + CASE WHEN syn THEN 7 ELSE 0 END + CASE WHEN NOT here AND contains(t, stem) THEN 7.2::DOUBLE ELSE 0 END
+   + CASE WHEN there THEN (1 + ln(n_d)) * 5 ELSE CASE WHEN d_edit IS NOT NULL THEN 4.8::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(near, lambda s: contains(d, s))) > 0 THEN 3.5::DOUBLE ELSE 0 END END) AS points,
+   sum(here::INT) AS h, sum(there::INT) AS dh, sum(fuzzy::INT) AS f, sum(syn::INT) AS s, sum(gram::INT) AS g,
+   any_value(CASE WHEN contains(t, '{TEXT_QUERY}') THEN 40 ELSE 0 END + CASE WHEN contains(d, '{TEXT_QUERY}') THEN 25 ELSE 0 END + CASE WHEN starts_with(t, '{TEXT_QUERY}') THEN 30 ELSE 0 END + CASE WHEN {' AND '.join(order)} THEN 18 ELSE 0 END) AS whole,
+   any_value(length(title) > 150) AS long FROM marks GROUP BY pos),
+ final AS (SELECT *, (points + whole + 25 * CASE WHEN h = {n} THEN 1 WHEN h + f * 0.6::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE >= {n} * 0.6::DOUBLE THEN 0.6 WHEN h + dh >= {n} THEN 0.5 WHEN h + f * 0.6::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE >= {n} * 0.3::DOUBLE THEN 0.25 ELSE 0 END::DOUBLE)
+   * (0.3::DOUBLE + (h + dh * 0.6::DOUBLE + f * 0.5::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE) / {n} * 0.7::DOUBLE) AS score FROM sums)
+ SELECT pos, round(least(greatest(CASE WHEN h + dh > 0 THEN greatest(score, 2) ELSE score END * CASE WHEN long THEN 0.85 ELSE 1 END::DOUBLE, 0), 100) / 100, 6) AS relevance FROM final"""
+
+
+@query(_text_sql())
+def text_relevance(spark, sf):
+    return relevance.text_relevance(T.results(spark, sf), TEXT_QUERY).select("pos", F.round("relevance", 6).alias("relevance"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in FOUND.items()}
 
