@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.functions import querytext as N
 from sieveworks.functions import scores as S
 from sieveworks.operators import health, lists, profile, ranking, relevance
 from sieveworks.sources import pages as P
@@ -332,6 +333,68 @@ def stream_dedup(spark, sf):
     return stream.drain(stream.first_seen(stream.read_events(spark, sf)), "stream_dedup", "append").select("event_id", "event_type")
 
 
+def _normal_sql() -> str:
+    s = "lower(trim(text))"
+    for short, full in N.CONTRACTIONS.items():
+        s = f"replace({s}, '{short.replace(chr(39), chr(39) * 2)}', '{full}')"
+    for slang, plain in N.SLANG.items():
+        s = f"regexp_replace({s}, '\\b{slang}\\b', '{plain}', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({s}, '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g'), '\.{{3,}}', '...', 'g')"
+
+
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_ASKED = f"asked AS (SELECT conv_id * 100 + turn AS ts, text, {_normal_sql()} AS q FROM conversations WHERE role = 'user')"
+_TOKENS = _ASKED + r""", tokens AS (SELECT ts, list_filter(list_transform(string_split_regex(q, '[\s,;:!?]+'), lambda w: trim(w, '."''()[]')), lambda w: w <> '') AS t FROM asked)"""
+
+
+def _asked(spark, sf) -> DataFrame:
+    c = T.table(spark, sf, "conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ts"), "text", N.normal_query(F.col("text")).alias("q"))
+
+
+def _tokens(spark, sf) -> DataFrame:
+    return _asked(spark, sf).select("ts", N.query_tokens(F.col("q")).alias("t"))
+
+
+@query(f"WITH {_ASKED} SELECT ts, q FROM asked")
+def nlp_normalise(spark, sf):
+    return _asked(spark, sf).select("ts", "q")
+
+
+@query(f"WITH {_TOKENS} SELECT ts, array_to_string(t, '|') AS tokens, len(t) AS n FROM tokens")
+def nlp_tokens(spark, sf):
+    return _tokens(spark, sf).select("ts", F.array_join("t", "|").alias("tokens"), F.size("t").alias("n"))
+
+
+_COUNTS = ", ".join(f"{' + '.join(f'contains(j, {w!r})::INT' for w in ws)} AS n{i}" for i, ws in enumerate(N.INTENTS.values()))
+
+
+@query(f"WITH {_TOKENS}, c AS (SELECT ts, {_COUNTS} FROM (SELECT ts, array_to_string(t, ' ') AS j FROM tokens)) SELECT ts, CASE WHEN greatest(n0, n1, n2, n3) = 0 THEN 'GENERAL' WHEN n0 >= greatest(n1, n2, n3) THEN 'VIDEO' WHEN n1 >= greatest(n2, n3) THEN 'DOWNLOAD' WHEN n2 >= n3 THEN 'ARTICLE' ELSE 'IMAGE' END AS intent FROM c")
+def nlp_intent(spark, sf):
+    return _tokens(spark, sf).select("ts", N.intent(F.col("t")).alias("intent"))
+
+
+@query(f"WITH {_TOKENS} SELECT ts, len(t) > 2 AND (len(list_filter(t, lambda w: w IN {_IN(N.STOP_WORDS)})) / greatest(len(t), 1) > 0.25 OR (len(list_filter(t, lambda w: w IN {_IN(N.PRONOUNS)})) > 0 AND len(list_filter(t, lambda w: regexp_matches(w, '({'|'.join(N.VERB_ENDS)})$|^({'|'.join(N.VERB_STARTS)})'))) > 0) OR len(t) >= 6) AS is_natural FROM tokens")
+def nlp_natural(spark, sf):
+    return _tokens(spark, sf).select("ts", N.is_natural(F.col("t")).alias("is_natural"))
+
+
+@query(f"WITH base AS (SELECT ts, lower(trim(query)) AS b FROM search_log) SELECT ts, array_to_string(list_distinct_in_order, '|') AS variants FROM (SELECT ts, list_filter([b, replace(b, ' ', '.'), replace(b, ' ', '-'), replace(b, ' ', '+'), b || ' 2024', b || ' 2023'], lambda x, i: list_position([b, replace(b, ' ', '.'), replace(b, ' ', '-'), replace(b, ' ', '+'), b || ' 2024', b || ' 2023'], x) = i) AS list_distinct_in_order FROM base)")
+def query_variants(spark, sf):
+    return T.search_log(spark, sf).select("ts", F.array_join(N.query_variants(F.col("query"), 2024), "|").alias("variants"))
+
+
+@query()
+def query_expand(spark, sf):
+    q = F.concat_ws(" ", F.lit("watch full movie"), "query")
+    return T.search_log(spark, sf).select("ts", N.expand_query(q).alias("queries"))
+
+
+@query()
+def query_decompose(spark, sf):
+    return _asked(spark, sf).select("ts", N.fallback_queries(F.col("text")).alias("queries"))
+
+
 TEXT_QUERY = "then onion movie thand"
 
 
