@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveworks.functions import querytext as N
 from sieveworks.functions import scores as S
 from sieveworks.operators import health, lists, profile, ranking, relevance
+from sieveworks.sources import jsonbody
 from sieveworks.sources import pages as P
 from sieveworks.sources import tables as T
 from sieveworks.streaming import health as stream
@@ -323,6 +324,27 @@ def page_bodies(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", P.page_title(F.col("html")).alias("title"), P.usable_body(F.col("html")).alias("usable"))
 
 
+@query("""WITH c AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)\\sclass="([^"]*)"', 1), lambda c: list_distinct(string_split_regex(c, '\\s+'))) AS cs, len(regexp_extract_all(html, '(?i)<article[\\s>]')) AS a FROM pages),
+ n AS (SELECT page_id, unnest(['.result', '.item', '.card', 'article', '.video-item', '.movie-item']) AS selector, unnest([0, 1, 2, 3, 4, 5]) AS place,
+   unnest([len(list_filter(cs, lambda x: list_contains(x, 'result'))), len(list_filter(cs, lambda x: list_contains(x, 'item'))), len(list_filter(cs, lambda x: list_contains(x, 'card'))), a, len(list_filter(cs, lambda x: list_contains(x, 'video-item'))), len(list_filter(cs, lambda x: list_contains(x, 'movie-item')))]) AS k FROM c)
+ SELECT p.page_id, b.selector FROM pages p LEFT JOIN (SELECT page_id, selector FROM n WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k DESC, place) = 1) b USING (page_id)""")
+def page_result_selector(spark, sf):
+    return T.table(spark, sf, "pages").select("page_id", P.result_selector(F.col("html")).alias("selector"))
+
+
+@query("""WITH c AS (SELECT id, url, regexp_replace(url, '/+$', '') AS b FROM providers) SELECT id, array_to_string([url, b || '/search?q=old+film&page=1', b || '/?s=old+film&paged=1', b || '/?q=old+film&page=1', b || '/search?query=old+film&page=1', b || '/search/old+film', b || '/find?q=old+film&page=1'], ' ') AS candidates FROM c""")
+def search_candidates(spark, sf):
+    return T.providers(spark, sf).select("id", F.array_join(P.search_candidates(F.col("url"), F.lit("old film")), " ").alias("candidates"))
+
+
+@query("SELECT provider_id AS body_id, trim(title) AS title, url, description FROM results WHERE length(trim(title)) >= 3 AND pos % 7 = 0 QUALIFY row_number() OVER (PARTITION BY provider_id, url ORDER BY pos) = 1")
+def json_records(spark, sf):
+    rows = T.results(spark, sf).where("pos % 7 = 0").withColumn("title", F.rtrim("title"))
+    items = rows.groupBy("provider_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("title").alias("Headline"), F.struct(F.col("url").alias("href")).alias("link"), F.col("description").alias("summary")))).alias("items"))
+    bodies = items.select(F.col("provider_id").alias("body_id"), F.lit("https://example.net/").alias("base_url"), F.to_json(F.struct(F.struct("items").alias("data"))).alias("body"))
+    return jsonbody.json_records(bodies).select("body_id", "title", "url", "description")
+
+
 @query("SELECT user_id % 10 AS provider_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, sum(floor(value * 10)::BIGINT)::BIGINT AS ms FROM events GROUP BY 1")
 def stream_health(spark, sf):
     return stream.drain(stream.provider_counts(stream.read_events(spark, sf)), "stream_health", "complete")

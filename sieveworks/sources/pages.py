@@ -49,3 +49,42 @@ def playlist_variants(text: Column) -> Column:
 def best_variant(text: Column) -> Column:
     """The URL of the variant of most bandwidth."""
     return F.array_max(F.filter(playlist_variants(text), lambda v: v["url"].isNotNull()))["url"]
+
+
+# Classes and tags that hold result items, first wins ties.
+ITEM_CLASSES = ("result", "item", "card", "article", "video-item", "movie-item")
+
+
+def _equals(name: str):
+    return lambda token: token == name
+
+
+def result_selector(html: Column) -> Column:
+    """The item class or tag that occurs most often, at least twice; null without one."""
+    classes = F.regexp_extract_all(html, F.lit(r'(?i)\sclass="([^"]*)"'), F.lit(1))
+    tokens = F.flatten(F.transform(classes, lambda c: F.array_distinct(F.split(c, r"\s+"))))
+    counted = []
+    for i, name in enumerate(ITEM_CLASSES):
+        n = F.regexp_count(html, F.lit(r"(?i)<article[\s>]")) if name == "article" else F.size(F.filter(tokens, _equals(name)))
+        counted.append(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name if name == "article" else f".{name}").alias("selector")))
+    best = F.array_max(F.array(*counted))
+    return F.when(best["n"] >= 2, best["selector"])
+
+
+def finite_playlist(text: Column) -> Column:
+    """Whether a media playlist ends, is not encrypted, has no byte ranges and has segments."""
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
+    segments = F.filter(lines, lambda s: (s != "") & ~s.startswith("#"))
+    plain = ~text.contains("#EXT-X-KEY") | text.contains("METHOD=NONE")
+    return text.contains("#EXT-X-ENDLIST") & plain & ~text.contains("#EXT-X-BYTERANGE") & (F.size(segments) > 0)
+
+
+def search_candidates(url: Column, query: Column, page: int = 1) -> Column:
+    """The provider's page, and its likely search URLs, in order, each once."""
+    base, q, p = F.regexp_replace(url, "/+$", ""), F.url_encode(query), F.lit(str(page))
+    made = [
+        url, F.concat(base, F.lit("/")), F.concat(base, F.lit("/search?q="), q, F.lit("&page="), p), F.concat(base, F.lit("/?s="), q, F.lit("&paged="), p),
+        F.concat(base, F.lit("/?q="), q, F.lit("&page="), p), F.concat(base, F.lit("/search?query="), q, F.lit("&page="), p),
+        F.concat(base, F.lit("/search/"), q), F.concat(base, F.lit("/find?q="), q, F.lit("&page="), p),
+    ]
+    return F.array_distinct(F.array(*made))
