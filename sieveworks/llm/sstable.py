@@ -21,7 +21,6 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sieveworks.llm import subwords
 from sieveworks.llm.store import write_table
 from sieveworks.llm.text import WORD_RE
 
@@ -38,44 +38,8 @@ BLOCK_BYTES = 64 << 10
 BITS_A_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QIQIQQB3x4s")
 ENTRY, INDEX = struct.Struct("<HHI"), struct.Struct("<QIH")
-#: Distinct chunks of text whose ids a task keeps; the memory is emptied when full.
-KEPT_CHUNKS = 500_000
-
-
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-class ChunkEncoder:
-    """Token ids of whole texts. For tokenizers that never join text across ASCII white space, which they drop, ids of
-    a text are those of its chunks; a chunk seen before is not encoded again."""
-
-    def __init__(self, path: str, kind: str = "<u2"):
-        self.tokenizer, self.kind, self.kept = _tokenizer(path), kind, {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = WORD_RE.findall(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, chunks))
-        except KeyError:
-            if len(self.kept) > KEPT_CHUNKS:
-                self.kept.clear()
-            new = list(dict.fromkeys(c for c in chunks if c not in self.kept))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.kept[chunk] = np.asarray(e.ids, self.kind).tobytes()
-            return b"".join(map(self.kept.__getitem__, chunks))
-
-
-@cache
-def _encoder(path: str, kind: str) -> ChunkEncoder:
-    """One for each Python worker, so that its memory serves all tasks that the worker runs."""
-    return ChunkEncoder(path, kind)
+#: Rows whose texts are split and encoded at a time.
+ROWS_AT_ONCE = 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -199,12 +163,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     kind, end = f"<u{id_bytes}", np.asarray([end_id], f"<u{id_bytes}").tobytes()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, kind)
+        memory = subwords.memory(tokenizer, kind)
 
         def entries():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    yield key_of(doc_id.as_py()), encode(text.as_py() or "") + end
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(at, ROWS_AT_ONCE)
+                    chunks = [WORD_RE.findall(t or "") for t in part.column(1).to_pylist()]
+                    memory.learn(chunks)
+                    for doc_id, own in zip(part.column(0).to_pylist(), chunks, strict=True):
+                        yield key_of(doc_id), b"".join(map(memory.kept.__getitem__, own)) + end
 
         for record in build_shard(entries(), id_bytes):
             yield pa.record_batch([pa.array([record], pa.binary())], ["record"])

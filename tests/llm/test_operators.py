@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveworks.llm import components, decontam, jaccard, langid, lm, mixing, quality, sstable, store, tokencount, toxicity, urlfilter
+from sieveworks.llm import components, decontam, jaccard, langid, lm, mixing, quality, sstable, store, subwords, tokencount, toxicity, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,7 +113,7 @@ def test_shards_hold_every_row_in_order(spark):
     docs = odd_documents(spark)
     sstable.write_shards(docs, path, tokenizer, shards=3)
     got = sorted(sstable.read_digests(spark, path).collect(), key=lambda r: r["start"])
-    library = sstable.ChunkEncoder(tokenizer).tokenizer
+    library = subwords.load(tokenizer)
     start, wanted = 0, []
     for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
         ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]

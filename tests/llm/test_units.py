@@ -7,7 +7,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from sieveworks.llm import jaccard, langid, lm, sstable, tokencount, toxicity
+from sieveworks.llm import jaccard, langid, lm, sstable, subwords, tokencount, toxicity
+from sieveworks.llm.text import WORD_RE
 
 random.seed(5)
 ALPHABET = list("abcdeé  \n\t▁thingTHE's0123<>|/漢字😀́\r\x00ñ\x1c\x85\xa0Σς")
@@ -61,9 +62,11 @@ def test_shard_round_trip_and_lookup():
 
 
 def test_encoder_equals_the_library():
-    encode = sstable.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    for t in texts(1500):
-        assert encode(t) == np.asarray(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), repr(t)
+    memory = subwords.ChunkMemory(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    for t in [*texts(1500), "a \x01 b\x01c", "\x01"]:
+        chunks = WORD_RE.findall(t)
+        memory.learn([chunks, ["the"]])
+        assert b"".join(memory.kept[c] for c in chunks) == np.asarray(memory.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), repr(t)
 
 
 def brute_path(scores, switch):
