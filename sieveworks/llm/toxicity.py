@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the models are fitted on at most (in expectation) for each combination of labels.
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 500
 FOLDS = 5
 #: Features of one category: those whose share differs between its classes by so many standard errors, most first.
 LEAST_Z, FEATURES = 3.5, 2000
@@ -131,9 +132,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], train
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string())), *b.columns[3:]], ["doc_id", "fold", "found", *categories])
 
     schema = f"doc_id {docs.select('doc_id').dtypes[0][1]}, fold int, found array<string>, " + ", ".join(f"`{c}` int" for c in categories)
-    sample = rows.mapInArrow(describe, schema).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["found"]))
-    return fit_chain([(r["fold"], set(r["found"]), tuple(r[c] for c in categories)) for r in sample], categories)
+    sample = rows.mapInArrow(describe, schema).toArrow().sort_by("doc_id")
+    labelled = zip(sample["fold"].to_pylist(), sample["found"], *(sample[c].to_pylist() for c in categories), strict=True)
+    return fit_chain([(fold, set(map(sys.intern, found.as_py())), tuple(label)) for fold, found, *label in labelled], categories)
 
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
