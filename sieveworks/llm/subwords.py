@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import cache
 
 import numpy as np
+import regex
 
-#: Stands between chunks that are encoded as one text; a chunk that holds it is encoded alone.
-MARK = "\x01"
 #: Distinct chunks whose ids a Python worker keeps; the memory is emptied when full.
 KEPT_CHUNKS = 1_200_000
+#: The form of tokenizer file whose pieces are cut here; others are cut by the library.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Such characters are in NFC, and each has one lower-case form.
+_PLAIN = re.compile(r"[\x21-\x7E\xA1-\xAC\xAE-įı-ňŊ-ž]+")
+_CUT = regex.compile(rf"\n|{PIECES}")
 
 
 @cache
@@ -21,32 +32,55 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies use for bytes: visible ones stand for themselves, others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ChunkMemory:
-    """kept: chunk -> bytes of its ids. A chunk seen before is not encoded again."""
+    """kept: chunk -> bytes of its ids. A chunk or piece seen before is not encoded again."""
 
     def __init__(self, path: str, kind: str):
         self.tokenizer, self.kind, self.kept = load(path), np.dtype(kind), {}
-        ids = self._encode(MARK)
-        self.mark = int(ids[0]) if len(ids) == 1 else None
+        self.model = self.tokenizer.model
+        self.id_bytes = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        form = json.loads(self.tokenizer.to_str())
+        parts = [(form.get(k) or {}).get(n) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.cuts = parts == [NORMALIZERS, PRETOKENIZERS] and form["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in form["added_tokens"])
+
+    def _piece(self, piece: str) -> bytes:
+        """The library's merges of one piece in the vocabulary's byte characters."""
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_byte_characters())
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+    def _plain(self, chunk: str) -> bool:
+        """Whether pieces can be cut here: no special token (all start with <|) and only plain characters."""
+        return "<|" not in chunk and bool(chunk.isprintable() if chunk.isascii() else _PLAIN.fullmatch(chunk))
 
     def learn(self, chunk_lists: list[list[str]]) -> None:
-        """Afterwards kept has every chunk of the lists. New chunks are encoded as one text and cut at the marks."""
+        """Afterwards kept has every chunk of the lists. New plain chunks are cut into pieces all at once; a piece that
+        stands alone as a chunk has the same ids, so pieces and chunks share the memory."""
         if len(self.kept) > KEPT_CHUNKS:
             self.kept.clear()
-        new = list(set().union(*chunk_lists) - self.kept.keys())
-        plain = [c for c in new if MARK not in c] if self.mark is not None else []
-        if plain:
-            ids = self._encode(f" {MARK} ".join(plain))
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, size = ids.tobytes(), self.kind.itemsize
-            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
-            self.kept.update((c, raw[s:e]) for c, s, e in zip(plain, starts, ends, strict=True))
-        for c in new:
-            if c not in self.kept:
-                self.kept[c] = self._encode(c).tobytes()
+        kept = self.kept
+        new = set().union(*chunk_lists) - kept.keys()
+        plain = [*filter(self._plain, new)] if self.cuts else []
+        parts, at = [], 0
+        for piece in _CUT.findall("\n".join([*plain, ""]).lower()):
+            if piece == "\n":
+                kept[plain[at]] = parts[0] if len(parts) == 1 else b"".join(parts)
+                parts, at = [], at + 1
+                continue
+            ids = kept.get(piece)
+            if ids is None:
+                ids = kept[piece] = self._piece(piece)
+            parts.append(ids)
+        rest = list(new.difference(plain))
+        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            kept[chunk] = np.asarray(found.ids, self.kind).tobytes()
 
 
 @cache
