@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.store import write_table
+
 #: Labelled documents that the models are fitted on at most (in expectation) for each combination of labels.
 TRAIN_DOCS = 500
 FOLDS = 5
@@ -18,6 +20,8 @@ FOLDS = 5
 LEAST_Z, FEATURES = 3.5, 2000
 STEPS, RATE, PENALTY = 400, 0.05, 1e-4
 KEPT_TOKENS = 250_000
+#: Rows of an id and labels that are sent to all executors; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}|[|]")
 
 
@@ -123,7 +127,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], train
             same = same & (F.col(c) == row[c])
         share = F.when(same, int(min(1.0, train_docs / row["count"]) * steps)).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(steps)) < share)
-    rows = chosen.join(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id")
+    chosen = write_table(chosen, "toxicity-sample")
+    small = chosen.count() <= BROADCAST_ROWS
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen) if small else chosen, "doc_id")
     rows = rows.select("doc_id", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold"), "text", *categories)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
