@@ -148,6 +148,18 @@ def test_scores_of_odd_rows(spark, monkeypatch):
     assert lm.score_texts(empty_documents(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_weights_learn_from_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 5)
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 2)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, f"alone{i} " + "river stone table green " * 30 + f"word{i * 7919}") for i in range(200)], "doc_id long, text string")
+    scorer = lm.train_model(docs, lm.word_counts(docs), 200, tokenizer)
+    ids = {i for found, _ in lm.WordEncoder(tokenizer)([r["text"].split() for r in docs.collect()]) for i in found}
+    used = scorer.vocabulary.inputs[sorted(ids)]
+    fresh = lm.AttentionModel(scorer.vocabulary.row_class, lm.SINGLE + lm.TAILS)
+    assert (scorer.model.p["embed"][used] != fresh.p["embed"][used]).any(1).all()
+
+
 # 6: URL filters
 
 
