@@ -9,7 +9,7 @@ from sieveworks.llm.store import write_table
 from sieveworks.llm.text import SPACES, WORD, words
 
 MIN_WORDS, MOST_REPEATED = 50, 50
-#: Share of a group that an estimate rests on, number of concentration steps, least rows for an estimate.
+#: Share of a group that an estimate rests on, number of concentration steps, least rows for an estimate of a cell's own.
 CORE, STEPS, LEAST_ROWS = 0.75, 3, 40
 #: Least standard deviation of each feature, so that a feature that hardly varies in a group rejects nobody.
 FEATURES = {"f_words": 1.0, "f_length": 0.25, "f_symbols": 0.5, "f_lines": 0.5, "f_repeat": 0.25}
@@ -70,7 +70,8 @@ def _with_features(rows: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     return rows.withColumns({
-        "cell": F.concat(key("lang"), F.lit("\n"), key("source")),
+        "cell": F.concat(F.lit("2"), key("lang"), F.lit("\n"), key("source")),
+        "lang_cell": F.concat(F.lit("1"), key("lang")),
         "f_words": F.log1p(F.col("n_words").cast("double")),
         "f_length": F.log((F.col("word_chars") + 1.0) / (n + 1.0)),
         "f_symbols": F.log1p(100.0 * F.col("n_symbols") / n),
@@ -110,14 +111,14 @@ def _factor(cells: DataFrame) -> DataFrame:
     return cells.select("cell", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def robust_cells(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates: mean, Cholesky factor and scale of each cell with enough rows.
+def robust_cells(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """Minimum-covariance-determinant estimates: mean, Cholesky factor and scale of each cell with at least so many rows.
 
     Starts from medians and quartile ranges, then each concentration step keeps the CORE share of a cell's rows that
     lie nearest and takes their mean and covariance. Every step is two map-side combined aggregations of all rows."""
     names, p = list(FEATURES), len(FEATURES)
     quartiles = [F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"q_{i}") for i, f in enumerate(names)]
-    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= LEAST_ROWS)
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least)
     start = [F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)]
     for i, floor in enumerate(FEATURES.values()):
         spread = F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(floor))
@@ -140,11 +141,25 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """docs (doc_id, lang, source, text) with the columns of statistics(), outlier (scaled squared distance) and kept.
 
     Documents that fail a base rule are not kept. Of the others, those beyond CUTOFF from their language and source's
-    robust centre are not kept; null languages and sources are values like others, and cells with fewer than LEAST_ROWS
-    documents reject nobody (outlier null). Repeated rows are judged alike; empty tables give empty results."""
+    robust centre are not kept; null languages and sources are values like others. Cells with fewer than LEAST_ROWS
+    documents that pass are judged by their language's estimate over all sources, and where that has too few as well by
+    the whole corpus's, however few it has. Repeated rows are judged alike; empty tables give empty results."""
     rows = write_table(_with_features(statistics(docs)), "quality-rows")
-    cells = robust_cells(rows.where("NOT base_failed"))
-    known = F.broadcast(cells) if cells.count() <= BROADCAST_GROUPS else cells
-    judged = _distance(rows.join(known, "cell", "left")).withColumn("outlier", F.col("distance") / F.col("scale"))
+    passing = rows.where("NOT base_failed")
+    cells = robust_cells(passing)
+    for name, least in (("lang_cell", LEAST_ROWS), (None, 1)):
+        wider = F.col(name) if name else F.lit("0")
+        cells = cells.unionByName(robust_cells(passing.withColumn("cell", wider), least))
+    cells = write_table(cells, "mcd-cells")
+    small = cells.count() <= BROADCAST_GROUPS
+    own = cells.select(F.col("cell").alias("estimated"))
+    # The estimate of each cell of the table: its own, its language's or the corpus's.
+    asked = rows.select("cell", "lang_cell").distinct()
+    for place, key in (("own", "cell"), ("wide", "lang_cell")):
+        asked = asked.join(F.broadcast(own) if small else own, F.col(key) == F.col("estimated"), "left").withColumnRenamed("estimated", place)
+    asked = asked.select("cell", F.coalesce("own", "wide", F.lit("0")).alias("by"))
+    asked = asked.join(cells.withColumnRenamed("cell", "by"), "by").drop("by")
+    known = write_table(asked, "mcd-known")
+    judged = _distance(rows.join(F.broadcast(known) if known.count() <= BROADCAST_GROUPS else known, "cell", "left")).withColumn("outlier", F.col("distance") / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce("outlier", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlier", kept.alias("kept"))

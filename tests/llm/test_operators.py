@@ -218,6 +218,15 @@ def test_outliers_go_and_others_stay(spark):
     assert quality.judge_quality(empty_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("langs", [("en", "en"), ("en", None)])
+def test_small_sources_are_judged_by_wider_estimates(spark, langs):
+    good = [(i, " ".join(f"w{(i * 31 + k * 7) % 997}x{k}" for k in range(60 + i % 40)), langs[i % 8 == 0], f"s{i % 12}", None) for i in range(120)]
+    bad = [(1000 + i, " ".join(f"w{k}%%%&&&$$$" for k in range(80)), langs[i % 2], f"s{i}" if i else "alone", None) for i in range(6)]
+    got = {r["doc_id"]: (r["kept"], r["outlier"]) for r in quality.judge_quality(spark.createDataFrame(good + bad, DOCS)).collect()}
+    assert len(got) == 126 and all(o is not None for _, o in got.values())
+    assert all(got[i][0] for i in range(120)) and not any(got[1000 + i][0] for i in range(6))
+
+
 # 8: Jaccard join
 
 
