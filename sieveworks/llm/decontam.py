@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.store import write_table
 
-#: Fixed masks over consecutive tokens: 1 is hashed, 0 may differ.
-MASKS = ("1101100111", "1011011011", "1110010111")
+#: Fixed masks over consecutive tokens: 1 is hashed, 0 may differ. Together they find every stretch with 12 equal tokens
+#: in which at most one token of five differs, wherever the differences are.
+MASKS = ("1101100111", "1011011011", "1110010111", "111101111", "11110011", "111111", "1111101", "1011111")
 #: Shorter benchmark texts are looked for as a whole, if they have this many tokens.
 LEAST_TOKENS = 5
 #: An alignment earns 1 for an equal token and loses 2 for a different one; a passage is the best stretch of that.

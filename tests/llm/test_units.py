@@ -2,12 +2,13 @@
 
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from sieveworks.llm import jaccard, langid, lm, sstable, subwords, tokencount, toxicity
+from sieveworks.llm import decontam, jaccard, langid, lm, sstable, subwords, tokencount, toxicity
 from sieveworks.llm.text import WORD_RE
 
 random.seed(5)
@@ -159,3 +160,16 @@ def test_chain_uses_earlier_links():
 
 def test_folds_follow_crc32():
     assert [zlib.crc32(str(i).encode()) % 5 for i in range(3)] == [zlib.crc32(b"0") % 5, zlib.crc32(b"1") % 5, zlib.crc32(b"2") % 5]
+
+
+@pytest.mark.parametrize("n", range(12, 30))
+def test_masks_find_every_stretch_with_one_token_of_five_changed(n):
+    """Longer stretches consist of pieces of 15 to 29 tokens, of which one has no larger share of changes."""
+    places = np.array(list(combinations(range(n), min(n // 5, n - 12))), np.int64)
+    same = (1 << n) - 1 - (1 << places).sum(1, dtype=np.int64)
+    found = np.zeros(len(same), bool)
+    for mask in decontam.MASKS:
+        for at in range(n - len(mask) + 1):
+            own = sum(1 << (at + i) for i, m in enumerate(mask) if m == "1")
+            found |= same & own == own
+    assert found.all()
