@@ -339,10 +339,16 @@ def search_candidates(spark, sf):
 
 @query("SELECT provider_id AS body_id, trim(title) AS title, url, description FROM results WHERE length(trim(title)) >= 3 AND pos % 7 = 0 QUALIFY row_number() OVER (PARTITION BY provider_id, url ORDER BY pos) = 1")
 def json_records(spark, sf):
+    # A body for each result, so that the bounds of the walk cut nothing and no provider's rows are gathered. The body's
+    # number holds pos and, in its last five bits, the provider (31: none).
     rows = T.results(spark, sf).where("pos % 7 = 0").withColumn("title", F.rtrim("title"))
-    items = rows.groupBy("provider_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("title").alias("Headline"), F.struct(F.col("url").alias("href")).alias("link"), F.col("description").alias("summary")))).alias("items"))
-    bodies = items.select(F.col("provider_id").alias("body_id"), F.lit("https://example.net/").alias("base_url"), F.to_json(F.struct(F.struct("items").alias("data"))).alias("body"))
-    return jsonbody.json_records(bodies).select("body_id", "title", "url", "description")
+    item = F.struct(F.col("title").alias("Headline"), F.struct(F.col("url").alias("href")).alias("link"), F.col("description").alias("summary"))
+    number = F.col("pos") * 32 + F.coalesce(F.col("provider_id") + 10, F.lit(31))
+    bodies = rows.select(number.alias("body_id"), F.lit("https://example.net/").alias("base_url"), F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("data"))).alias("body"))
+    low = F.col("body_id").bitwiseAND(31)
+    found = jsonbody.json_records(bodies).withColumn("provider", F.when(low < 31, low - 10))
+    first = found.groupBy("provider", "url").agg(F.min(F.struct(F.shiftright("body_id", 5).alias("pos"), "title", "description")).alias("r"))
+    return first.select(F.col("provider").alias("body_id"), "r.title", "url", "r.description")
 
 
 @query("SELECT user_id % 10 AS provider_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, sum(floor(value * 10)::BIGINT)::BIGINT AS ms FROM events GROUP BY 1")

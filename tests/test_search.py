@@ -126,3 +126,14 @@ def test_playlist(spark):
     text = "#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=100\nlow.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=900\n# note\nhigh.m3u8\n#EXT-X-STREAM-INF:X=1"
     assert one(spark, P.best_variant(F.lit(text))) == "high.m3u8"
     assert one(spark, P.robots_paths(F.lit("Disallow: /a\nAllow: /b \nDisallow: /a"))) == ["/a", "/b"]
+
+
+def test_json_records_are_whole_beyond_the_bounds_of_a_body(spark, tmp_path):
+    rows = [(7 * i, f"Title {i}\nrest", f"l{i % 8}", "src3" if i % 9 else None, 20) for i in range(1, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["body_id"], r["title"], r["url"]) for r in Q.queries()["json_records"](spark, str(tmp_path)).collect()]
+    first = {}
+    for i, _, lang, source, _ in rows:
+        first.setdefault((3 if source == "src3" else None, f"https://www.{lang}.example.com/doc-{i % 97}"), f"Title {i // 7}")
+    assert len(first) > 150 and sorted(got, key=str) == sorted(((p, t, u) for (p, u), t in first.items()), key=str)
