@@ -358,7 +358,7 @@ def stream_health(spark, sf):
 
 @query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, sf):
-    return stream.drain(stream.first_seen(stream.read_events(spark, sf)), "stream_dedup", "append").select("event_id", "event_type")
+    return stream.drain(stream.first_seen(stream.read_events(spark, sf)), "stream_dedup", "complete").select("event_id", "event_type")
 
 
 def _normal_sql() -> str:

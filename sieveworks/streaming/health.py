@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +19,27 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset, a local default on a local master only."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if folder:
+        return folder.rstrip("/")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'sieveworks-checkpoints')}"
+
+
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is available, and returns the memory table it filled."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is available, and returns the table it wrote; its state and rows are in the shared folder."""
+    spark = stream.sparkSession
+    top = f"{shared_folder(spark)}/sieveworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = out.format("parquet").start(f"{top}/rows")
+    else:  # each batch has the whole result
+        query = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{top}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{top}/rows")
 
 
 def provider_counts(events: DataFrame) -> DataFrame:
@@ -34,6 +54,7 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return counted.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """One event of each id, however often it is delivered within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def first_seen(events: DataFrame) -> DataFrame:
+    """The earliest event of each id over all events, however late or often it is delivered; null times are last."""
+    first = F.min(F.struct(F.col("ts").isNull().alias("untimed"), "ts", "event_type"))
+    return events.groupBy("event_id").agg(first.alias("e")).select("event_id", "e.ts", "e.event_type")

@@ -8,6 +8,7 @@ from sieveworks.functions import scores as S
 from sieveworks.operators import health, lists, profile, ranking
 from sieveworks.plans import queries as Q
 from sieveworks.sources import pages as P
+from sieveworks.streaming import health as stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -137,3 +138,14 @@ def test_json_records_are_whole_beyond_the_bounds_of_a_body(spark, tmp_path):
     for i, _, lang, source, _ in rows:
         first.setdefault((3 if source == "src3" else None, f"https://www.{lang}.example.com/doc-{i % 97}"), f"Title {i // 7}")
     assert len(first) > 150 and sorted(got, key=str) == sorted(((p, t, u) for (p, u), t in first.items()), key=str)
+
+
+def test_stream_keeps_one_event_of_an_id_however_far_apart(spark, tmp_path):
+    for i, (event, ts) in enumerate([(1, "2024-01-01 10:00:00"), (2, "2024-01-01 12:00:00"), (3, "2024-01-01 13:00:00"), (1, "2024-01-01 14:00:00"), (1, "2024-01-01 09:00:00")]):
+        spark.createDataFrame([(event, ts, f"type{i}")], "event_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    events = spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    found = stream.drain(stream.first_seen(events), "far_apart", "complete")
+    assert sorted((r["event_id"], r["event_type"]) for r in found.collect()) == [(1, "type4"), (2, "type1"), (3, "type2")]
+    assert found.inputFiles() and all("/sieveworks/" in f and "/far_apart-" in f for f in found.inputFiles())
+    counted = stream.drain(events.select("event_id"), "appended", "append")
+    assert counted.count() == 5
