@@ -28,3 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = write_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def roots_of_parents(parents: DataFrame) -> DataFrame:
+    """parents: node, parent, one row for each node, parent < node. A row (node, root) for each node.
+
+    Paths halve in each step: a node's parent is replaced by the parent's own. Rows never grow in number."""
+    now = write_table(parents.select("node", F.col("parent").alias("root")), "parents")
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = write_table(now.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "parents")
+        now = moved.select("node", "root")
+        if moved.where("moved").limit(1).count() == 0:
+            return now

@@ -1,17 +1,22 @@
-"""Exact n-gram Jaccard join and its classes: candidates by prefixes, size-banded tiles of bitmaps, then exact intersection.
-
-Two sets that link share at least t% of the larger one, so in any common order of all shingles their first
-n - ceil(t n / 100) + 1 shingles have one in common. The order puts shingles that are frequent in the corpus last; it
-changes the work, never the result. Documents that share such a prefix shingle form a bucket.
-
-Round 1 verifies each document against a neighbour or two of its buckets, which joins most of what belongs together.
-Round 2 takes the buckets that still hold several classes, splits them by size into tiles, and compares the bitmaps of
-documents of different classes within a tile: the bits in which two bitmaps differ are a lower bound of the shingles in
-which the sets differ, so most pairs end there. The rest is verified. Every pair that links is thus in one class after
-round 1, or verified in round 2; pairs within a class are not written out."""
+"""Exact n-gram Jaccard join and its classes: size bands, group signatures, tiles of bitmaps, then exact intersection.
+
+Sets of sizes m and n that link at t% differ in at most (m + n)(100 - t) / (100 + t) shingles. Sizes are cut into bands. In a
+band of sizes up to u, the space of shingle hashes is cut into g groups of equal width, more than c, the changes that two
+linked sets of the band may have; each group that holds a shingle gives a token, the hash of the band, the group's
+number and the shingles in it. A change spoils one group, so a set with more than c groups in use keeps one of them
+unchanged in every set it links with, and both have that token. A set with fewer groups in use also gives each shingle
+as a token. A set gives tokens for its own band and for higher bands that hold sizes it can link with.
+
+Sets that share a token form a bucket, all of one or two size bands. Round 1 verifies each set against one head of its
+buckets, which joins most of what belongs together. Round 2 takes the buckets that still hold several classes, cuts large
+ones by size and then by hash into tiles, and compares the bitmaps of sets of different classes within a tile: the bits in
+which two bitmaps differ bound the overlap from above, so most pairs end there. The others are verified by intersection of the
+sorted arrays at once, and a link joins their classes, so a tile gives fewer links than it has rows. Every pair that links
+is thus in one class after round 1, or verified in round 2."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,61 +26,69 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.components import components
+from sieveworks.llm import wordhash
+from sieveworks.llm.components import components, roots_of_parents
 from sieveworks.llm.store import write_table
-from sieveworks.llm.text import LOWER_ASCII, WORD_RE
+from sieveworks.llm.wordhash import mix
 
-KEPT_WORDS = 600_000
-#: Shingles that one batch of documents holds at least so often take part in the corpus count; the most frequent of
-#: all are sent to the tasks (8 bytes each) to be put last in the order.
-OFTEN, FREQUENT = 4, 400_000
 #: Rows of ids (8 bytes each) that are sent to all executors; beyond it, joins shuffle.
 BROADCAST_IDS = 1_000_000
-TILE = 2048
+#: Sets, and shingles of sets, that one side of a tile holds, as a rule.
+TILE, TILE_SHINGLES = 4096, 2_000_000
+#: Sets that are verified against one head in one place.
+HUB = 20_000
 MOST_BITS = 1 << 15
-_K = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text's lower-cased words; fewer words than n are one shingle."""
-
-    def __init__(self, n: int):
-        self.n, self.kept = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD_RE.findall(text.translate(LOWER_ASCII)) if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.n:
-            return np.array([xxhash.xxh3_64_intdigest("\n".join(words).encode("utf-8", "surrogatepass"), seed=len(words))], np.uint64)
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        kept = self.kept
-        try:
-            h = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in kept:
-                    kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            h = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-        size = len(h) - self.n + 1
-        joint = h[:size].copy()
-        for i in range(1, self.n):
-            joint = mix(joint * _K + h[i : i + size])
-        return np.unique(joint)
+#: Each size band ends at 3/2 of its start.
+BAND = 1.5
+_GROUP, _LEVEL, _SINGLE = np.uint64(0xD6E8FEB86659FD93), 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_WRAP = (1 << 64) - 1
+
+
+def _band_starts() -> list[int]:
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, int(starts[-1] * BAND)))
+    return starts
+
+
+_STARTS = _band_starts()
+
+
+def band(n: int) -> int:
+    return bisect_right(_STARTS, n) - 1
 
 
 @cache
-def shingler(n: int) -> Shingler:
-    """One for each Python worker, so that its memory serves all tasks that the worker runs."""
-    return Shingler(n)
+def band_groups(level: int, percent: int) -> tuple[int, int]:
+    """The changes that linked sets of a band (the larger set's) may have, and the groups of its tokens: enough that
+    sets of the least size that can take part mostly have more groups in use than changes."""
+    most = _STARTS[level + 1] - 1
+    changes = 2 * most * (100 - percent) // (100 + percent)
+    least = -(-percent * _STARTS[level] // 100)
+    groups = changes + 2
+    while groups < 3 * changes:
+        empty = np.exp(-least / groups)
+        if groups * (1 - empty) - 3 * np.sqrt(groups * empty * (1 - empty)) > changes + 1:
+            break
+        groups += max(1, groups >> 5)
+    return changes, groups
+
+
+def tokens(s: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of a sorted shingle array; sets that link, and are not equal, have one in common."""
+    n, out = len(s), []
+    mixed = mix(s ^ _GROUP)
+    for level in range(band(n), band(max(n, 100 * n // percent)) + 1):
+        changes, groups = band_groups(level, percent)
+        if not changes:
+            continue
+        place = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+        at = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
+        own = np.add.reduceat(mixed, at) + (place[at] + np.uint64(1)) * _GROUP
+        out.append(mix(own + np.uint64(_LEVEL * (level + 1) & _WRAP)))
+        if len(at) <= changes:
+            out.append(mix(mixed + np.uint64(_SINGLE * (level + 1) & _WRAP)))
+    return np.concatenate(out) if out else s[:0]
 
 
 def bitmap_bits(n: int) -> int:
@@ -83,9 +96,9 @@ def bitmap_bits(n: int) -> int:
     return min(MOST_BITS, max(64, 2 << max(0, int(n - 1).bit_length())))
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = bitmap_bits(len(tokens))
-    at = (mix(tokens) & np.uint64(bits - 1)).astype(np.int64)
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = bitmap_bits(len(shingles))
+    at = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
     out = np.zeros(bits, np.uint8)
     out[at] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -98,195 +111,210 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: intersection of sorted arrays against the threshold."""
-    same = len(np.intersect1d(a, b, assume_unique=True))
-    return len(a) > 0 and 100 * same >= percent * (len(a) + len(b) - same)
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def _batches(rows: DataFrame, work, schema: str) -> DataFrame:
-    """mapInArrow of a function from an iterator of column lists to an iterator of column lists."""
-    kinds = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[f.split()[1]]) for f in schema.split(", ")]
+    """mapInArrow of a function from an iterator of batches to an iterator of column lists."""
+    fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in work(b.columns for b in batches):
-            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+        for columns in work(batches):
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
     return rows.mapInArrow(run, schema)
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """The most frequent shingles of all documents, least frequent first; at most FREQUENT of them, so of bounded size."""
-
-    def count(batches):
-        shingles = shingler(n)
-        for (texts,) in batches:
-            sets = [shingles(t.as_py()) for t in texts]
-            if sets:
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= OFTEN
-                yield values[often].view(np.int64), counts[often].astype(np.int64)
-
-    counted = _batches(docs.select("text"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    return np.asarray(top["token"]).view(np.uint64)[::-1].copy()
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
-def _sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """id, n, two halves of the set's fingerprint, its bitmap and its prefix for each document."""
-    order = np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order + 1))
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n, two halves of the set's fingerprint and its tokens, for each document."""
 
     def describe(batches):
-        shingles, (values, ranks) = shingler(n), sent.value
-        for ids, texts in batches:
-            out = [[] for _ in range(6)]
-            for doc_id, text in zip(ids, texts, strict=True):
-                s = shingles(text.as_py())
-                size = len(s)
-                prefix = s[:0]
-                if size:
-                    p = size - -(-percent * size // 100) + 1
-                    mixed = mix(s + np.uint64(1))
-                    if len(values):
-                        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                        rank = np.where(values[at] == s, ranks[at], 0)
-                        prefix = s[np.lexsort((mixed, rank))[:p]]
-                    else:
-                        prefix = s[np.argsort(mixed)[:p]]
-                x = xxhash.xxh3_128_intdigest(s.tobytes())
-                row = (doc_id.as_py(), size, (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63, bitmap(s).tobytes() if size else b"", prefix.view(np.int64))
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-            yield out
+        for batch in batches:
+            for part in wordhash.slices(batch, 1):
+                sizes, halves, found = [], [], []
+                for s in wordhash.shingles(wordhash.split(part.column(1)), n):
+                    sizes.append(len(s))
+                    halves.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    found.append(tokens(s, percent) if len(s) else s)
+                f = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
+                ends = np.concatenate(([0], np.cumsum([len(t) for t in found]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield part.column(0), sizes, pa.array(f[:, 0]), pa.array(f[:, 1]), lists
 
-    return _batches(docs.select("id", "text"), describe, "id long, n int, f1 long, f2 long, bits binary, prefix array<long>")
+    return _batches(docs.select("id", "text"), describe, "id long, n int, f1 long, f2 long, tokens array<long>")
 
 
-def _buckets(postings: DataFrame, percent: int) -> DataFrame:
-    """From rows token, n, id in that order: kind 0 (a, b) pairs for round 1, kind 1 (token, id) rows of buckets with pairs.
+def _arrays(docs: DataFrame, n: int) -> DataFrame:
+    """id, n and the sorted shingle array of each document."""
 
-    The rows are read as a stream; a bucket is never held."""
+    def describe(batches):
+        for batch in batches:
+            for part in wordhash.slices(batch, 1):
+                found = wordhash.shingles(wordhash.split(part.column(1)), n)
+                yield part.column(0), [len(s) for s in found], [s.tobytes() for s in found]
 
-    def stream(batches):
-        token, first, last, kept = None, None, None, False
-        for tokens, sizes, ids in batches:
-            out = [[], [], []]
-
-            def put(kind, a, b, out=out):
-                out[0].append(kind)
-                out[1].append(a)
-                out[2].append(b)
-
-            for t, n, i in zip(tokens.to_pylist(), sizes.to_pylist(), ids.to_pylist(), strict=True):
-                if t != token:
-                    token, first, last, kept = t, (n, i), (n, i), False
-                    continue
-                if 100 * last[0] >= percent * n:
-                    if not kept:
-                        put(1, t, last[1])
-                    put(1, t, i)
-                    put(0, last[1], i)
-                    if 100 * first[0] >= percent * n:
-                        if first != last:
-                            put(0, first[1], i)
-                    else:
-                        first = (n, i)
-                    kept = True
-                else:
-                    first, kept = (n, i), False
-                last = (n, i)
-            yield out
+    return _batches(docs.select("id", "text"), describe, "id long, n int, shingles binary")
 
-    return _batches(postings, stream, "kind int, a long, b long")
 
+def _members(postings: DataFrame) -> DataFrame:
+    """From rows token, id in that order: the rows whose token stands on several, and the first and last of each task,
+    as a bucket may go on in the next one."""
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; texts: id, text."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    def stream(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, ids = (_longs(c) for c in batch.columns)
+            if last is not None:
+                token, ids = np.concatenate((last[0], token)), np.concatenate((last[1], ids))
+            same = token[1:] == token[:-1]
+            keep = np.concatenate(([last is None or last[2]], same))
+            keep[:-1] |= same
+            # The last row waits for the next batch, which may have its token.
+            yield pa.array(token[:-1][keep[:-1]]), pa.array(ids[:-1][keep[:-1]])
+            last = token[-1:], ids[-1:], bool(keep[-1])
+        if last is not None:
+            yield pa.array(last[0]), pa.array(last[1])
+
+    return _batches(postings, stream, "token long, id long")
+
+
+def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), one for each b, those whose sets link. The sets of one a come together in parts of about HUB."""
+    hubs = write_table(pairs.groupBy("a").count().where(F.col("count") > HUB).select("a", F.ceil(F.col("count") / HUB).cast("int").alias("parts")), "jaccard-hubs")
+    sized = pairs.join(_small(hubs), "a", "left")
+    keyed = write_table(sized.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), "b"), "jaccard-pairs")
+    heads = keyed.select("a", "part").distinct()
+    rows = arrays.select("id", "shingles")
+    rows = heads.select("a", "part", F.col("a").alias("id")).unionByName(keyed.select("a", "part", F.col("b").alias("id"))).join(rows, "id")
+    rows = rows.select("a", "part", (F.col("id") != F.col("a")).cast("int").alias("role"), "id", "shingles")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def check(batches):
-        shingles, own, known = shingler(n), None, None
-        for a, b, text_a, text_b in batches:
+        head = None
+        for batch in batches:
             out = [], []
-            for i in range(len(a)):
-                if own != (key := a[i].as_py()):
-                    own, known = key, shingles(text_a[i].as_py())
-                if links(known, shingles(text_b[i].as_py()), percent):
-                    out[0].append(key)
-                    out[1].append(b[i].as_py())
+            for role, i, body in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                s = np.frombuffer(body.as_buffer(), np.uint64)
+                if role == 0:
+                    head = i, s.copy()
+                elif links(head[1], s, percent):
+                    out[0].append(head[0])
+                    out[1].append(i)
             yield out
 
     return write_table(_batches(rows, check, "a long, b long"), "jaccard-links")
 
 
-def _plausible(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bitmaps of both do not rule out; small: id, n, bits."""
-    sides = [small.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
-
-    def compare(batches):
-        for a, b, n_a, n_b, bits_a, bits_b in batches:
-            keep = []
-            for m, n, x, y in zip(n_a.to_pylist(), n_b.to_pylist(), bits_a.to_pylist(), bits_b.to_pylist(), strict=True):
-                width = min(len(x), len(y)) // 8
-                x, y = (fold(np.frombuffer(z, np.uint64)[None, :], width) for z in (x, y))
-                keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (m + n) * (100 - percent))
-            yield a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))
-
-    rows = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return write_table(_batches(rows, compare, "a long, b long"), "jaccard-plausible")
+class Tile:
+    """Sets of a tile with the class of each; finds links between classes and joins the classes as it goes."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]], percent: int):
+        """rows: side (1 left, 2 right, 3 both), id, class, shingles; sets of different sides meet, and those of 3 all."""
+        rows = sorted(((np.frombuffer(r[3], np.uint64), *r[:3]) for r in rows), key=lambda r: len(r[0]))
+        self.sets = [r[0] for r in rows]
+        self.side, self.ids, self.percent = np.array([r[1] for r in rows]), [r[2] for r in rows], percent
+        _, self.group = np.unique(np.array([r[3] for r in rows]), return_inverse=True)
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        percent, left = self.percent, len(np.unique(self.group))
+        maps = [bitmap(s) for s in self.sets]
+        widths = np.array([len(m) for m in maps])
+        for width in np.unique(widths):
+            # A pair is compared at the width of its smaller bitmap; sizes ascend, and so do widths.
+            begin = int(np.searchsorted(widths, width))
+            bits = np.concatenate([fold(m[None, :], width) for m in maps[begin:]])
+            for i in range(begin, int(np.searchsorted(widths, width, "right"))):
+                if left < 2:
+                    return
+                to = int(np.searchsorted(self.size, 100 * self.size[i] // percent, "right"))
+                there = np.arange(i + 1, to)
+                there = there[(self.group[i + 1 : to] != self.group[i]) & ((self.side[i + 1 : to] | self.side[i]) == 3)]
+                if not len(there):
+                    continue
+                differ = np.bitwise_count(bits[there - begin] ^ bits[i - begin]).sum(1, dtype=np.int64)
+                for j in there[differ * (100 + percent) <= (self.size[there] + self.size[i]) * (100 - percent)]:
+                    if self.group[j] != self.group[i] and links(self.sets[i], self.sets[j], percent):
+                        self.group[self.group == self.group[j]] = self.group[i]
+                        left -= 1
+                        yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes whose bitmaps allow a link, from rows tile, left, right, n, id, class, bits."""
+    """Links between classes, fewer than the rows, from rows tile, side, id, class, shingles in order of tile."""
 
     def compare(batches):
         key, held = None, []
 
         def flush():
-            found = set()
-            if len(held) > 1 and any(h[4] != held[0][4] for h in held):
-                rows = sorted(held, key=lambda h: h[2])
-                size = np.array([h[2] for h in rows], np.int64)
-                ids, group = np.array([h[3] for h in rows]), np.array([h[4] for h in rows])
-                side = np.array([h[0] * 2 + h[1] for h in rows])
-                for width in sorted({len(h[5]) for h in rows}):
-                    # Each pair is compared at the width of its smaller bitmap.
-                    own = np.array([i for i, h in enumerate(rows) if len(h[5]) == width])
-                    wide = np.array([i for i, h in enumerate(rows) if len(h[5]) >= width])
-                    bits = np.concatenate([fold(np.frombuffer(rows[i][5], np.uint64)[None, :], width // 8) for i in wide])
-                    place = {int(w): k for k, w in enumerate(wide)}
-                    for i in own:
-                        k = place[int(i)]
-                        rest = slice(k + 1, None)
-                        there = wide[rest]
-                        if not len(there):
-                            continue
-                        total = size[there] + size[i]
-                        fits = (100 * size[i] >= percent * size[there]) & (group[there] != group[i]) & ((side[there] | side[i]) == 3)
-                        if not fits.any():
-                            continue
-                        differ = np.bitwise_count(bits[rest][fits] ^ bits[k]).sum(1, dtype=np.int64)
-                        ok = differ * (100 + percent) <= total[fits] * (100 - percent)
-                        found.update((min(int(ids[i]), int(x)), max(int(ids[i]), int(x))) for x in ids[there[fits][ok]])
+            found = list(Tile(held, percent).links())
             return [p[0] for p in found], [p[1] for p in found]
 
-        for columns in batches:
-            for tile, left, right, n, i, group, bits in zip(*(c.to_pylist() for c in columns), strict=True):
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for tile, *row in zip(*columns, strict=True):
                 if tile != key:
-                    if held:
+                    if len(held) > 1:
                         yield flush()
                     key, held = tile, []
-                held.append((left, right, n, i, group, bits))
-        if held:
+                held.append(row)
+        if len(held) > 1:
             yield flush()
 
     return _batches(members, compare, "a long, b long")
 
 
-def _semi(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """rows whose column is (or is not) in ids, a written table of one column of that name."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, with the hint to broadcast it if it is small enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """rows token, id, n, class, with the tiles each row goes to: tile and side.
+
+    A bucket is one tile if it fits. A larger one is cut into bands of sizes in the ratio of the threshold, so that sets
+    link within a band or with the next, and bands into parts by hash; a tile is a part, or two parts that can meet."""
+    measured = write_table(rows.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "jaccard-measured")
+    fits = (F.col("size") <= TILE) & (F.col("shingles") <= TILE_SHINGLES)
+    large = write_table(measured.where(~fits).select("token"), "jaccard-large")
+    whole = rows.join(_small(large), "token", "left_anti").select(F.xxhash64("token").alias("tile"), F.lit(3).alias("side"), "id", "class")
+    if large.limit(1).count() == 0:
+        return whole
+    step = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1.0
+    cut = rows.join(_small(large), "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    bands = write_table(cut.groupBy("token", "band").agg(parts.alias("parts")), "jaccard-bands")
+    above = bands.select("token", (F.col("band") - 1).alias("band"), F.col("parts").alias("parts_above"))
+    below = bands.select("token", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_below"))
+    bands = write_table(bands.join(above, ["token", "band"], "left").join(below, ["token", "band"], "left"), "jaccard-bands")
+    cut = cut.join(_small(bands), ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+
+    def pairs(low_band, low_part, high_band, high_part, side):
+        return F.struct(low_band.alias("lb"), low_part.cast("long").alias("lp"), high_band.alias("hb"), high_part.cast("long").alias("hp"), side.cast("int").alias("side"))
+
+    def upto(n):
+        return F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+
+    own, part = F.col("band"), F.col("part")
+    same = F.transform(upto(F.col("parts")), lambda q: pairs(own, F.least(part, q.cast("long")), own, F.greatest(part, q.cast("long")), F.when(q == part, 3).when(part < q, 1).otherwise(2)))
+    up = F.transform(upto(F.col("parts_above")), lambda q: pairs(own, part, own + 1, q, F.lit(1)))
+    down = F.transform(upto(F.col("parts_below")), lambda q: pairs(own - 1, q, own, part, F.lit(2)))
+    dealt = cut.select("token", "id", "class", F.explode(F.concat(same, up, down)).alias("t"))
+    return whole.unionByName(dealt.select(F.xxhash64("token", "t.lb", "t.lp", "t.hb", "t.hp").alias("tile"), F.col("t.side").alias("side"), "id", "class"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -294,45 +322,48 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     Two documents link when 100 x intersection >= percent x union of their sets of n-word shingles; component is the
     least id that links reach. Null texts and texts without words have no shingles and link with nothing, equal sets
-    always link. Documents of equal sets are represented by one from the start. An empty table gives an empty result."""
-    sets = write_table(_sets(docs, n, percent, _frequent(docs, n)), "jaccard-sets")
+    always link. Documents of equal sets are represented by one from the start. A very long text is shingled and compared whole, in
+    one task's memory. An empty table gives an empty result."""
+    sets = write_table(_sets(docs, n, percent), "jaccard-sets")
     full = sets.where("n > 0")
-    classes = write_table(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
+    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("count")).where("count > 1")
     copies = write_table(full.join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "jaccard-copies")
-    reps = _semi(full, copies.select("id"), "id", "left_anti")
-    postings = reps.select(F.explode("prefix").alias("token"), "n", "id").repartition("token").sortWithinPartitions("token", "n", "id")
-    buckets = write_table(_buckets(postings, percent), "jaccard-buckets")
-    members = buckets.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"))
+    reps = sets.where("size(tokens) > 0").join(_small(copies.select("id")), "id", "left_anti")
+    postings = reps.select(F.explode("tokens").alias("token"), "id").repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+    members = write_table(_members(postings), "jaccard-members")
+    buckets = members.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    # Buckets of the same members are one.
+    buckets = buckets.where("size > 1").groupBy("head", "last", "size", "sum").agg(F.min("token").alias("token"), F.count("*").alias("times"))
+    buckets = write_table(buckets.select("token", "head", "times"), "jaccard-buckets")
+    members = write_table(members.join(buckets, "token").select("token", "id", "head", "times"), "jaccard-members")
     involved = write_table(members.select("id").distinct(), "jaccard-ids")
-    texts = write_table(_semi(docs.select("id", "text"), involved, "id"), "jaccard-texts")
+    arrays = write_table(_arrays(docs.select("id", "text").join(_small(involved), "id", "left_semi"), n), "jaccard-arrays")
 
-    # Round 1: of a document's bucket neighbours, the nearest in size on either side of the pair.
-    pairs = buckets.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    first = write_table(best, "jaccard-pairs")
-    small = sets.select("id", "n", "bits")
-    linked = _verify(_plausible(first, small, percent), texts, n, percent)
-    roots = write_table(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
+    # Round 1: each set against the head that it shares most buckets with.
+    pairs = members.where("id <> head").groupBy("id", "head").agg(F.sum("times").alias("times"))
+    best = pairs.groupBy("id").agg(F.max(F.struct("times", "head")).alias("x")).select(F.col("x.head").alias("a"), F.col("id").alias("b"))
+    linked = _verify(best, arrays, percent)
+    roots = write_table(roots_of_parents(linked.select(F.col("b").alias("node"), F.col("a").alias("parent"))), "jaccard-roots")
 
     # Round 2: buckets that hold several classes.
     grouped = members.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("root", "id").alias("class"))
     grouped = write_table(grouped, "jaccard-grouped")
-    mixed = grouped.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low <> high")
-    rows = grouped.join(mixed.select("token", "size"), "token").join(small, "id")
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts)
-    # A large bucket is split into parts, and a tile holds two of them; a pair within one part is compared in the tile (part, part).
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    tile = F.xxhash64("token", low, high)
-    sides = [((F.col("own") == low) & (low != high) | (low == high)).cast("int").alias("left"), ((F.col("own") == high) & (low != high) | (low == high)).cast("int").alias("right")]
-    tiled = rows.select(tile.alias("tile"), *sides, "n", "id", "class", "bits").repartition("tile").sortWithinPartitions("tile")
-    second = write_table(_tiles(tiled, percent).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = _verify(second, texts, n, percent)
-    edges = [linked, more, copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))]
-    everything = edges[0].unionByName(edges[1]).unionByName(edges[2])
-    roots = write_table(components(everything.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
-    return sets.join(roots, F.col("id") == F.col("node"), "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component"))
+    mixed = grouped.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
+    rows = grouped.join(mixed, "token").join(arrays.select("id", "n"), "id").select("token", "id", "n", "class")
+    tiled = _dealt(write_table(rows, "jaccard-mixed"), percent).join(arrays.select("id", "shingles"), "id")
+    tiled = tiled.select("tile", "side", "id", "class", "shingles").repartition("tile").sortWithinPartitions("tile")
+    more = write_table(_tiles(tiled, percent), "jaccard-links")
+
+    # The links of round 2 join the classes of round 1.
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    joined = components(ends.select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")))
+    final = joined.select("node", "root").unionByName(
+        roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("node", F.coalesce("final", "root").alias("root"))
+    )
+    final = write_table(final, "jaccard-roots")
+    far = copies.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select(F.col("id").alias("node"), F.coalesce("root", "rep").alias("root"))
+    final = final.unionByName(far)
+    return sets.join(final, F.col("id") == F.col("node"), "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component"))
 
 
 def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -340,16 +371,21 @@ def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Rows of one doc_id and text are one document. A null doc_id takes part like others; a class has a null component_id
     only if none of its rows has an id. Other columns are not returned."""
-    key = F.xxhash64("doc_id", "text") if _ambiguous(docs) else F.col("doc_id").cast("long")
-    keyed = docs.select("doc_id", key.alias("id"), "text")
-    found = write_table(jaccard_classes(keyed.select("id", "text").dropDuplicates(["id"]) if _ambiguous(docs) else keyed.select("id", "text"), n, percent), "jaccard-rows")
-    if not _ambiguous(docs):
+    if not ids_repeat(docs):
+        found = jaccard_classes(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), n, percent)
         return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
-    rows = keyed.select("doc_id", "id").join(found, "id")
+    keyed = numbered(docs.select("doc_id", "text"))
+    found = write_table(jaccard_classes(keyed.select(F.col("__row").alias("id"), "text"), n, percent), "jaccard-rows")
+    rows = keyed.select("doc_id", F.col("__row").alias("id")).join(found, "id")
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component").select("doc_id", "n_shingles", "component_id")
 
 
-def _ambiguous(docs: DataFrame) -> bool:
-    """Whether an id is null or stands on several rows."""
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or stands on several rows."""
     return docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number __row for each row, written, so that the numbers stay."""
+    return write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
