@@ -1,15 +1,17 @@
 """Exact n-gram Jaccard join and its classes: size bands, group signatures, tiles of bitmaps, then exact intersection.
 
-Sets of sizes m and n that link at t% differ in at most (m + n)(100 - t) / (100 + t) shingles. Sizes are cut into bands. In a
-band of sizes up to u, the space of shingle hashes is cut into g groups of equal width, more than c, the changes that two
-linked sets of the band may have; each group that holds a shingle gives a token, the hash of the band, the group's
-number and the shingles in it. A change spoils one group, so a set with more than c groups in use keeps one of them
-unchanged in every set it links with, and both have that token. A set with fewer groups in use also gives each shingle
-as a token. A set gives tokens for its own band and for higher bands that hold sizes it can link with.
-
-Sets that share a token form a bucket, all of one or two size bands. Round 1 verifies each set against one head of its
+Sets of sizes m and n that link at t% differ in at most (m + n)(100 - t) / (100 + t) shingles. Sizes are cut into bands. For
+each band the space of shingle hashes is cut into groups of equal width; each group that holds a shingle gives a token,
+the hash of the band, the group's number and the shingles in it. A change spoils one group, so a set with g groups in use
+that differs by at most c from any it can link with has at least g - c tokens in common with each of those. A set with
+no more than c groups in use also gives each shingle as a token. A set gives tokens for its own band and for higher
+bands that hold sizes it can link with.
+
+Sets that share a token form a bucket, all of one or two size bands. As g - c tokens are common, one still is when every set
+leaves out the g - c - 1 of its tokens that stand on most sets (in one order for all); so tokens that nobody shares
+count against a set, and most sets that are only similar leave all their buckets. Round 1 verifies each set against one head of its
 buckets, which joins most of what belongs together. Round 2 takes the buckets that still hold several classes, cuts large
-ones by size and then by hash into tiles, and compares the bitmaps of sets of different classes within a tile: the bits in
+ones by size and then by hash into tiles (a tile is a family of buckets where they fit), and compares the bitmaps of sets of different classes within a tile: the bits in
 which two bitmaps differ bound the overlap from above, so most pairs end there. The others are verified by intersection of the
 sorted arrays at once, and a link joins their classes, so a tile gives fewer links than it has rows. Every pair that links
 is thus in one class after round 1, or verified in round 2."""
@@ -23,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.llm import wordhash
@@ -34,14 +36,19 @@ from sieveworks.llm.wordhash import mix
 #: Rows of ids (8 bytes each) that are sent to all executors; beyond it, joins shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets, and shingles of sets, that one side of a tile holds, as a rule.
-TILE, TILE_SHINGLES = 4096, 2_000_000
+TILE, TILE_SHINGLES = 8192, 6_000_000
 #: Sets that are verified against one head in one place.
 HUB = 20_000
 MOST_BITS = 1 << 15
 #: Each size band ends at 3/2 of its start.
 BAND = 1.5
+#: Groups of a band for each change: more give more tokens, and leave fewer sets in buckets.
+SPREAD = 1.25
 _GROUP, _LEVEL, _SINGLE = np.uint64(0xD6E8FEB86659FD93), 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _WRAP = (1 << 64) - 1
+#: Kinds of tokens: the last three bits.
+KINDS = 8
+_TOKEN = np.uint64(_WRAP - KINDS + 1)
 
 
 def _band_starts() -> list[int]:
@@ -58,37 +65,46 @@ def band(n: int) -> int:
     return bisect_right(_STARTS, n) - 1
 
 
+def most_changes(n: int, level: int, percent: int) -> int:
+    """The shingles in which a set of n can differ from one that it links with, the larger of both being of the band."""
+    other = min(_STARTS[level + 1] - 1, 100 * n // percent)
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
 @cache
-def band_groups(level: int, percent: int) -> tuple[int, int]:
-    """The changes that linked sets of a band (the larger set's) may have, and the groups of its tokens: enough that
-    sets of the least size that can take part mostly have more groups in use than changes."""
-    most = _STARTS[level + 1] - 1
+def band_groups(level: int, percent: int) -> int:
+    """The groups of a band's tokens: SPREAD times the changes at its largest size, and so many that sets of the least
+    size that can take part mostly have more groups in use than changes."""
+    most, least = _STARTS[level + 1] - 1, -(-percent * _STARTS[level] // 100)
     changes = 2 * most * (100 - percent) // (100 + percent)
-    least = -(-percent * _STARTS[level] // 100)
-    groups = changes + 2
+    groups, needed = int(SPREAD * changes) + 2, most_changes(least, level, percent) + 1
     while groups < 3 * changes:
         empty = np.exp(-least / groups)
-        if groups * (1 - empty) - 3 * np.sqrt(groups * empty * (1 - empty)) > changes + 1:
+        if groups * (1 - empty) - 3 * np.sqrt(groups * empty * (1 - empty)) > needed:
             break
         groups += max(1, groups >> 5)
-    return changes, groups
+    return groups
 
 
-def tokens(s: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of a sorted shingle array; sets that link, and are not equal, have one in common."""
-    n, out = len(s), []
+def tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """The tokens of a sorted shingle array, and how many of each kind may be left out; sets that link, and are not equal,
+    have one in common. The last bits of a token tell its kind: the band's number modulo 4, and group or shingle."""
+    n, out, spare = len(s), [], [0] * KINDS
     mixed = mix(s ^ _GROUP)
     for level in range(band(n), band(max(n, 100 * n // percent)) + 1):
-        changes, groups = band_groups(level, percent)
+        changes = most_changes(n, level, percent)
         if not changes:
             continue
-        place = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+        place = ((s >> np.uint64(32)) * np.uint64(band_groups(level, percent))) >> np.uint64(32)
         at = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
         own = np.add.reduceat(mixed, at) + (place[at] + np.uint64(1)) * _GROUP
-        out.append(mix(own + np.uint64(_LEVEL * (level + 1) & _WRAP)))
+        kind = level % (KINDS // 2) * 2
+        out.append(mix(own + np.uint64(_LEVEL * (level + 1) & _WRAP)) & _TOKEN | np.uint64(kind))
+        spare[kind] = max(0, len(at) - changes - 1)
         if len(at) <= changes:
-            out.append(mix(mixed + np.uint64(_SINGLE * (level + 1) & _WRAP)))
-    return np.concatenate(out) if out else s[:0]
+            out.append(mix(mixed + np.uint64(_SINGLE * (level + 1) & _WRAP)) & _TOKEN | np.uint64(kind + 1))
+            spare[kind + 1] = max(0, n - changes - 1)
+    return np.concatenate(out) if out else s[:0], spare
 
 
 def bitmap_bits(n: int) -> int:
@@ -138,22 +154,24 @@ def _longs(column: pa.Array) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n, two halves of the set's fingerprint and its tokens, for each document."""
+    """id, n, two halves of the set's fingerprint, its tokens and how many of each kind it can spare, for each document."""
 
     def describe(batches):
         for batch in batches:
             for part in wordhash.slices(batch, 1):
-                sizes, halves, found = [], [], []
+                sizes, halves, found, spare = [], [], [], []
                 for s in wordhash.shingles(wordhash.split(part.column(1)), n):
                     sizes.append(len(s))
                     halves.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    found.append(tokens(s, percent) if len(s) else s)
+                    own, spared = tokens(s, percent) if len(s) else (s, [0] * KINDS)
+                    found.append(own)
+                    spare.append(spared)
                 f = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
                 ends = np.concatenate(([0], np.cumsum([len(t) for t in found]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield part.column(0), sizes, pa.array(f[:, 0]), pa.array(f[:, 1]), lists
+                yield part.column(0), sizes, pa.array(f[:, 0]), pa.array(f[:, 1]), lists, spare
 
-    return _batches(docs.select("id", "text"), describe, "id long, n int, f1 long, f2 long, tokens array<long>")
+    return _batches(docs.select("id", "text"), describe, "id long, n int, f1 long, f2 long, tokens array<long>, spare array<long>")
 
 
 def _arrays(docs: DataFrame, n: int) -> DataFrame:
@@ -192,6 +210,18 @@ def _members(postings: DataFrame) -> DataFrame:
     return _batches(postings, stream, "token long, id long")
 
 
+def _needed(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """shared: token, id of tokens that stand on several sets (and a few others). Those of each set that it cannot spare:
+    of every kind it leaves out as many as it may, beginning with the tokens on most sets."""
+    sizes = shared.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    ids = write_table(shared.select("id").distinct(), "jaccard-ids")
+    kind = F.pmod(F.col("token"), F.lit(KINDS))
+    rows = shared.join(sizes, "token").join(sets.join(_small(ids), "id", "left_semi"), "id")
+    rows = rows.select("token", "id", "size", kind.alias("kind"), F.element_at("spare", (kind + 1).cast("int")).alias("spare"))
+    order = Window.partitionBy("id", "kind").orderBy(F.desc("size"), F.desc("token"))
+    return rows.withColumn("place", F.row_number().over(order)).where("place > spare").select("token", "id")
+
+
 def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), one for each b, those whose sets link. The sets of one a come together in parts of about HUB."""
     hubs = write_table(pairs.groupBy("a").count().where(F.col("count") > HUB).select("a", F.ceil(F.col("count") / HUB).cast("int").alias("parts")), "jaccard-hubs")
@@ -284,10 +314,26 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, percent: int) -> DataFrame:
-    """rows token, id, n, class, with the tiles each row goes to: tile and side.
+    """rows token, id, n, class of buckets that hold several classes: tile, side, id and class for each place a set goes to.
 
-    A bucket is one tile if it fits. A larger one is cut into bands of sizes in the ratio of the threshold, so that sets
+    Buckets that have sets in common make a family. A family that fits is one tile, so each of its sets goes to one place.
+    Of other families, a bucket is one tile if it fits. A larger one is cut into bands of sizes in the ratio of the threshold, so that sets
     link within a band or with the next, and bands into parts by hash; a tile is a part, or two parts that can meet."""
+    heads = rows.groupBy("token").agg(F.min("id").alias("head"))
+    families = components(rows.join(heads, "token").select(F.col("id").alias("u"), F.col("head").alias("v")).where("u <> v").distinct())
+    sets = rows.select("id", "n", "class").distinct().join(families, F.col("id") == F.col("node"), "left")
+    sets = write_table(sets.select("id", "n", "class", F.coalesce("root", "id").alias("family")), "jaccard-families")
+    fits = (F.count("*") <= TILE) & (F.sum("n") <= TILE_SHINGLES)
+    wide = write_table(sets.groupBy("family").agg(fits.alias("fits")).where("NOT fits").select("family"), "jaccard-wide")
+    together = sets.join(_small(wide), "family", "left_anti").select(F.xxhash64("family", F.lit("family")).alias("tile"), F.lit(3).alias("side"), "id", "class")
+    if wide.limit(1).count() == 0:
+        return together
+    rows = write_table(rows.join(sets.join(_small(wide), "family", "left_semi").select("id"), "id", "left_semi"), "jaccard-mixed")
+    return together.unionByName(_dealt_buckets(rows, percent))
+
+
+def _dealt_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """The tiles of single buckets, as _dealt says."""
     measured = write_table(rows.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "jaccard-measured")
     fits = (F.col("size") <= TILE) & (F.col("shingles") <= TILE_SHINGLES)
     large = write_table(measured.where(~fits).select("token"), "jaccard-large")
@@ -330,7 +376,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     copies = write_table(full.join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "jaccard-copies")
     reps = sets.where("size(tokens) > 0").join(_small(copies.select("id")), "id", "left_anti")
     postings = reps.select(F.explode("tokens").alias("token"), "id").repartitionByRange("token", "id").sortWithinPartitions("token", "id")
-    members = write_table(_members(postings), "jaccard-members")
+    shared = write_table(_members(postings), "jaccard-shared")
+    members = write_table(_needed(shared, reps.select("id", "spare")), "jaccard-members")
     buckets = members.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
     # Buckets of the same members are one.
     buckets = buckets.where("size > 1").groupBy("head", "last", "size", "sum").agg(F.min("token").alias("token"), F.count("*").alias("times"))

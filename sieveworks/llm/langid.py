@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sieveworks.llm import wordhash
 from sieveworks.llm.text import is_fold
 
 #: First code point and name of the ranges that hold letters of one script.
@@ -30,13 +32,35 @@ SCRIPT_SHARE = 0.01
 #: Cost of changing the language between two words, and the most one word can speak for a language against another.
 SWITCH, MOST = 12.0, 4.0
 SMOOTH = 2.0
-KEPT_WORDS = 400_000
+#: Bytes of text whose distinct words are scored together.
+SLICE = 8 << 20
 
 
 def script_of(char: str) -> str:
     return _NAMES[bisect_right(_STARTS, ord(char)) - 1]
 
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether a word can hold it, whether it is a letter, and its lower case if that is one code point."""
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    inside, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for m in WORD_RE.finditer(every):
+        inside[[ord(c) for c in m.group()]] = True
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in every:
+        if c.isalpha():
+            letter[ord(c)] = True
+            if len(low := c.lower()) == 1:
+                lower[ord(c)] = ord(low)
+    return inside, letter, lower
+
+
+def _key(a, b, c):
+    """Three code points as one number."""
+    return (a << np.uint64(42)) | (b << np.uint64(21)) | c
+
+
 class LanguageModel:
     """Conditional letter trigrams of each language, and the scripts that each uses."""
 
@@ -53,98 +77,146 @@ class LanguageModel:
             if gram[2] != "$":
                 letters.setdefault(script_of(gram[2]), np.zeros(len(self.languages)))[place[lang]] += n
         uniform = 1 / max(1, len({g[2] for g in grams}))
-        self.grams = {g: np.log((n + SMOOTH * uniform) / (contexts[g[:2]] + SMOOTH)).astype("f4") for g, n in grams.items()}
-        self.unseen = {c: np.log(SMOOTH * uniform / (n + SMOOTH)).astype("f4") for c, n in contexts.items()}
+        self.gram_keys, self.gram_rows = self._table({g: np.log((n + SMOOTH * uniform) / (contexts[g[:2]] + SMOOTH)) for g, n in grams.items()})
+        self.context_keys, self.context_rows = self._table({c: np.log(SMOOTH * uniform / (n + SMOOTH)) for c, n in contexts.items()})
         total = np.maximum(1, sum(letters.values())) if letters else 1
-        self.candidates = {s: n / total >= SCRIPT_SHARE for s, n in letters.items()}
-        self.nothing = np.zeros(len(self.languages), "f4")
-        self.own_labeller: Labeller | None = None
-
-    def labeller(self) -> Labeller:
-        """One for each copy of the model, so that its memory serves all tasks of a Python worker."""
-        self.own_labeller = self.own_labeller or Labeller(self)
-        return self.own_labeller
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log-probability of each language less the best, at least -MOST; -MOST for languages that the script rules out."""
-        padded = f"^^{word.lower()}$"
-        score = self.nothing.copy()
-        for i in range(len(padded) - 2):
-            gram = padded[i : i + 3]
-            found = self.grams.get(gram)
-            score += self.unseen.get(gram[:2], self.nothing) if found is None else found
-        allowed = self.candidates.get(script_of(word[0]))
-        if allowed is not None and allowed.any():
-            score = np.where(allowed, score - score[allowed].max(), -MOST)
-        else:
-            score -= score.max()
-        return np.maximum(score, -MOST)
+        # A script without letters in the training texts rules no language out.
+        self.candidates = np.ones((len(SCRIPTS), len(self.languages)), bool)
+        for i, name in enumerate(_NAMES):
+            if name in letters and (own := letters[name] / total >= SCRIPT_SHARE).any():
+                self.candidates[i] = own
+
+    def _table(self, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and their rows; one more row of zeros stands for what is not there."""
+        keys = np.array([_key(*(np.uint64(ord(c)) for c in f"{g:\0<3}")) for g in rows], np.uint64)
+        order = np.argsort(keys)
+        out = np.zeros((len(rows) + 1, len(self.languages)), "f4")
+        if len(rows):
+            out[:-1] = np.array(list(rows.values()))[order]
+        return keys[order], out
+
+    def word_scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of a text a row of scores (log-probability of each language less the best, at least -MOST, and
+        -MOST for languages that the script rules out; 0 throughout for numerals), whether it has a letter, and the
+        words in each run between blanks."""
+        inside, letter, lower = _characters()
+        codes = np.frombuffer(f"{text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        within = inside[codes]
+        before = np.concatenate(([False], within[:-1]))
+        starts = np.flatnonzero(within & ~before)
+        run = np.cumsum(codes == 0x20)
+        counts = np.bincount(run[starts], minlength=int(run[-1]))
+        if not len(starts) or not self.languages:
+            return np.zeros((len(starts), max(1, len(self.languages))), "f4"), np.zeros(len(starts), bool), counts
+        # The places of a word and the one after it, where the word ends.
+        at = np.flatnonzero(within | before)
+        low = np.where(within, lower[codes], np.uint32(ord("^"))).astype(np.uint64)
+        one = np.where(at > 0, low[at - 1], np.uint64(ord("^")))
+        two = np.where((at > 1) & before[at], low[at - 2], np.uint64(ord("^")))
+        keys = _key(two, one, np.where(within[at], low[at], np.uint64(ord("$"))))
+        found = _find(self.gram_keys, keys)
+        rows, lost = self.gram_rows[found], np.flatnonzero(found == len(self.gram_keys))
+        rows[lost] = self.context_rows[_find(self.context_keys, keys[lost] & ~np.uint64((1 << 21) - 1))]
+        firsts = np.searchsorted(at, starts)
+        score = np.add.reduceat(rows, firsts)
+        allowed = self.candidates[np.searchsorted(_STARTS, codes[starts], "right") - 1]
+        score = np.where(allowed, score - np.where(allowed, score, -np.inf).max(1, keepdims=True), -MOST)
+        has_letter = np.logical_or.reduceat(letter[codes[at]], firsts)
+        return np.where(has_letter[:, None], np.maximum(score, -MOST), 0).astype("f4"), has_letter, counts
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among sorted keys, or their number."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, len(keys))
 
 
 class Labeller:
-    """Labels the words of texts; word scores are kept for words seen before."""
+    """Labels the words of texts."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self._empty()
-
-    def _empty(self) -> None:
-        self.places: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.languages)), "f4")
-
-    def _place(self, word: str) -> int:
-        """Row 0 is for words of numerals only."""
-        if not any(map(str.isalpha, word)):
-            place = 0
-        else:
-            place = len(self.places) + 1
-            if place >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[place] = self.model.word_scores(word)
-        self.places[word] = place
-        return place
 
     def labels(self, found: list[str]) -> np.ndarray | None:
         """The language's place for each word by the best path, or None if no word has a letter."""
-        if len(self.places) > KEPT_WORDS:
-            self._empty()
-        places = self.places
-        try:
-            at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
-        except KeyError:
-            at = np.fromiter((p if (p := places.get(w)) is not None else self._place(w) for w in found), np.int64, len(found))
-        if not at.any() or not self.model.languages:
-            return None
-        return best_path(self.table[at])
+        scores, letters, _ = self.model.word_scores(" ".join(found))
+        return best_path(scores) if letters.any() and self.model.languages else None
 
+    def label_texts(self, texts: pa.Array) -> Iterator[np.ndarray | None]:
+        """The same for each text; a distinct run between blanks is scored once for all texts."""
+        words = wordhash.split(texts, fold_case=False)
+        if not len(words.hashes) or not self.model.languages:
+            yield from (None for _ in range(len(texts)))
+            return
+        _, first, kind = np.unique(words.hashes, return_index=True, return_inverse=True)
+        data, ends = words.data.tobytes(), words.ends[first].tolist()
+        scores, letters, counts = self.model.word_scores(b" ".join([data[a:b] for a, b in zip(words.starts[first].tolist(), ends, strict=True)]).decode("utf-8", "replace"))
+        begin = np.cumsum(counts) - counts
+        own = counts[kind]
+        after = np.concatenate(([0], np.cumsum(own)))
+        rows = np.repeat(begin[kind] - after[:-1], own) + np.arange(after[-1])
+        bounds = after[words.first].tolist()
+        spoken = np.concatenate(([0], np.cumsum(letters[rows])))[bounds]
+        some = np.flatnonzero(spoken[1:] > spoken[:-1]).tolist()
+        paths = dict(zip(some, best_paths([scores[rows[bounds[i] : bounds[i + 1]]] for i in some]), strict=True))
+        yield from map(paths.get, range(len(texts)))
 
-def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The labels that maximise the sum of scores less switch for each change; ties go to the earlier language.
 
-    One language throughout is the answer if no stretch gains more than half a switch in another language: k stretches
-    in others then gain less than the k - 1 or more changes they cost. Else dynamic programming finds the path."""
-    n, k = scores.shape
+def one_language(scores: np.ndarray, switch: float) -> int | None:
+    """The language of the whole path, if one is the answer: no stretch gains more than half a switch in another. Then k
+    stretches in others gain less than the k - 1 or more changes they cost."""
     best = int(scores.sum(0, dtype="f8").argmax())
-    gain = scores - scores[:, best : best + 1]
-    run = np.cumsum(gain, axis=0, dtype="f8")
-    low = np.minimum(np.minimum.accumulate(run, axis=0), 0)
-    low = np.concatenate([np.zeros((1, k)), low[:-1]])
-    if (run - low).max() <= switch / 2:
-        return np.full(n, best)
-    value, came = scores[0].astype("f8"), np.zeros((n, k), np.int16)
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        stay = value >= value[top] - switch
-        came[t] = np.where(stay, own, top)
-        value = np.where(stay, value, value[top] - switch) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = came[t, out[t]]
+    run = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype="f8")
+    low = np.minimum.accumulate(run, axis=0)
+    low[1:] = np.minimum(low[:-1], 0)
+    low[0] = 0
+    return best if (run - low).max() <= switch / 2 else None
+
+
+def best_paths(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
+    """For each text (scores, a row for each word) the labels that maximise the sum of scores less switch for each change;
+    ties go to the earlier language. Dynamic programming takes a step of all texts at a time."""
+    out: list = [None] * len(texts)
+    hard = []
+    for i, scores in enumerate(texts):
+        if (whole := one_language(scores, switch)) is None:
+            hard.append(i)
+        else:
+            out[i] = np.full(len(scores), whole)
+    if not hard:
+        return out
+    hard.sort(key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in hard])
+    first = np.cumsum(sizes) - sizes
+    scores = np.concatenate([texts[i] for i in hard]).astype("f8")
+    came, own = np.empty(scores.shape, np.int16), np.arange(scores.shape[1])
+    value = scores[first]
+    # Texts still under way at each step, the longest first.
+    active = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "left")
+    for t in range(1, sizes[0]):
+        m = active[t]
+        at, now = first[:m] + t, value[:m]
+        top = now.argmax(1)
+        changed = now[np.arange(m), top][:, None] - switch
+        came[at] = np.where(now >= changed, own, top[:, None])
+        value[:m] = np.maximum(now, changed) + scores[at]
+    path = np.empty(len(scores), np.int64)
+    path[first + sizes - 1] = value.argmax(1)
+    for t in range(sizes[0] - 1, 0, -1):
+        at = first[: active[t]] + t
+        path[at - 1] = came[at, path[at]]
+    for i, a, n in zip(hard, first, sizes, strict=True):
+        out[i] = path[a : a + n]
     return out
 
 
+def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """best_paths of one text."""
+    return best_paths([scores], switch)[0]
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Fits on docs (doc_id, lang, text) with a language and a text: about train_docs of each language, by a hash of the id.
 
@@ -168,7 +240,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     lang_pred is the language of most words on the best path and score their share; und, 0 and no spans for null texts,
     texts without a letter, and models without languages. Repeated rows are labelled alike; columns of docs with the
-    names of the results are replaced. No shuffle; one row's text and one Arrow batch are in memory at a time."""
+    names of the results are replaced. No shuffle; one Arrow batch is in memory at a time, and a very long text is labelled whole."""
     rows = docs.drop("lang_pred", "score", "spans")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = rows.columns.index(text)
@@ -176,13 +248,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     schema = StructType([*rows.schema.fields, *added.fields])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, names = sent.value.labeller(), sent.value.languages
+        labeller, names = Labeller(sent.value), sent.value.languages
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, place, SLICE)):
             preds, scores, spans = [], [], []
-            for value in batch.column(place):
+            for value, path in zip(batch.column(place), labeller.label_texts(batch.column(place)), strict=True):
                 whole = value.as_py() or ""
-                path = labeller.labels(WORD_RE.findall(whole))
                 if path is None:
                     preds.append("und")
                     scores.append(0.0)
