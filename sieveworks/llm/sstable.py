@@ -22,15 +22,15 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveworks.llm import subwords
+from sieveworks.llm import subwords, wordhash
 from sieveworks.llm.store import write_table
-from sieveworks.llm.text import WORD_RE
 
 MAGIC = b"SWT1"
 END = b"\n"
@@ -38,8 +38,8 @@ BLOCK_BYTES = 64 << 10
 BITS_A_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QIQIQQB3x4s")
 ENTRY, INDEX = struct.Struct("<HHI"), struct.Struct("<QIH")
-#: Rows whose texts are split and encoded at a time.
-ROWS_AT_ONCE = 64
+#: Bytes of text of one shard: at most, and least where more shards would give more tasks.
+LARGE_SHARD, SMALL_SHARD = 256 << 20, 16 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -151,48 +151,55 @@ class Shard:
         return np.frombuffer(value, f"<u{self.id_bytes}").astype("<u4")
 
 
+def shard_number(spark: SparkSession, text_bytes: int) -> int:
+    """One for each LARGE_SHARD of text at least, else one for each SMALL_SHARD up to the session's shuffle partitions."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-text_bytes // LARGE_SHARD), min(parts, -(-text_bytes // SMALL_SHARD)))
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, id_bytes: int = 2) -> None:
     """Writes doc_id and text of docs as shards under path, in ascending doc_id order over shards and within them.
 
     tokenizer: a file of the tokenizers library whose tokens never cross ASCII white space. id_bytes 2 holds vocabularies
     up to 65,536, 4 any. Null and empty texts give the end id alone; a null id sorts first; repeated ids stay as
-    repeated entries, in the order of their texts. Texts are dealt by id ranges and encoded where they arrive, so ids are never shuffled; one
-    block and one Arrow batch of texts are in a task's memory. An empty table gives shards without documents."""
-    spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    repeated entries, in the order of their texts' hashes, and may go on in the next shard. A very long text is one entry
+    and is encoded whole. Other columns are not read. Texts are dealt by ranges of id and hash and encoded where they arrive, so ids
+    are never shuffled; one block and one slice of texts are in a task's memory. The number of shards follows the
+    bytes of text. An empty table gives shards without documents."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
+    n = shards or shard_number(docs.sparkSession, rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     kind, end = f"<u{id_bytes}", np.asarray([end_id], f"<u{id_bytes}").tobytes()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = subwords.memory(tokenizer, kind)
+        encode = subwords.memory(tokenizer, kind)
 
         def entries():
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
-                    chunks = [WORD_RE.findall(t or "") for t in part.column(1).to_pylist()]
-                    memory.learn(chunks)
-                    for doc_id, own in zip(part.column(0).to_pylist(), chunks, strict=True):
-                        yield key_of(doc_id), b"".join(map(memory.kept.__getitem__, own)) + end
+            for part in (p for batch in batches for p in wordhash.slices(batch, 1, subwords.SLICE)):
+                ids, word_ends, words = encode(part.column(1))
+                bounds = word_ends[words.first].tolist()
+                for doc_id, a, b in zip(part.column(0).to_pylist(), bounds, bounds[1:], strict=False):
+                    yield key_of(doc_id), ids[a:b].tobytes() + end
 
         for record in build_shard(entries(), id_bytes):
             yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
 
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    records = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(build, "record binary")
+    order = F.col("doc_id").asc_nulls_first(), F.col("hash")
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    records = ranged.mapInArrow(build, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
 def _each_shard(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
-    """read(file name, Shard) gives tuples of schema; a file is one row, at most as large as its id range makes it."""
+    """read(file name, Shard) gives tuples of schema; a file is one row, of about LARGE_SHARD of text at most."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = zip(*(f.split() for f in schema.split(",")), strict=True)
         kinds = [{"string": pa.string(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}[t] for t in types]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(read(name.as_py(), Shard(content.as_buffer())))
-                for at in range(0, len(rows), 4096):
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 4096], strict=True), kinds, strict=True)], list(names))
+                rows = read(name.as_py(), Shard(content.as_buffer()))
+                while some := list(islice(rows, 4096)):
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], list(names))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, schema)
 

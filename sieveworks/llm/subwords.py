@@ -1,27 +1,20 @@
-"""Subword ids of chunks of text, for tokenizers that never join text across ASCII white space and drop it."""
+"""Subword ids of words of Arrow text columns, for tokenizers that never join text across ASCII white space and drop it."""
 
 from __future__ import annotations
 
-import json
 import os
-import re
 from functools import cache
 
 import numpy as np
-import regex
-
-#: Distinct chunks whose ids a Python worker keeps; the memory is emptied when full.
-KEPT_CHUNKS = 1_200_000
-#: The form of tokenizer file whose pieces are cut here; others are cut by the library.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
-PRETOKENIZERS = [
-    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
-    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-]
-#: Such characters are in NFC, and each has one lower-case form.
-_PLAIN = re.compile(r"[\x21-\x7E\xA1-\xAC\xAE-įı-ňŊ-ž]+")
-_CUT = regex.compile(rf"\n|{PIECES}")
+import pyarrow as pa
+
+from sieveworks.llm import wordhash
+from sieveworks.llm.text import LOWER_ASCII
+
+#: Distinct words whose ids a Python worker keeps; the memory is emptied when full.
+KEPT_WORDS = 1_500_000
+#: Bytes of text whose distinct words are looked up together.
+SLICE = 8 << 20
 
 
 @cache
@@ -32,58 +25,51 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-@cache
-def _byte_characters() -> dict[int, str]:
-    """The characters that byte-level vocabularies use for bytes: visible ones stand for themselves, others follow from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
-class ChunkMemory:
-    """kept: chunk -> bytes of its ids. A chunk or piece seen before is not encoded again."""
+class WordMemory:
+    """The library's ids of distinct words, by hash; a word seen before is not encoded again."""
 
     def __init__(self, path: str, kind: str):
-        self.tokenizer, self.kind, self.kept = load(path), np.dtype(kind), {}
-        self.model = self.tokenizer.model
-        self.id_bytes = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
-        form = json.loads(self.tokenizer.to_str())
-        parts = [(form.get(k) or {}).get(n) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        self.cuts = parts == [NORMALIZERS, PRETOKENIZERS] and form["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in form["added_tokens"])
-
-    def _piece(self, piece: str) -> bytes:
-        """The library's merges of one piece in the vocabulary's byte characters."""
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_byte_characters())
-        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
-
-    def _plain(self, chunk: str) -> bool:
-        """Whether pieces can be cut here: no special token (all start with <|) and only plain characters."""
-        return "<|" not in chunk and bool(chunk.isprintable() if chunk.isascii() else _PLAIN.fullmatch(chunk))
-
-    def learn(self, chunk_lists: list[list[str]]) -> None:
-        """Afterwards kept has every chunk of the lists. New plain chunks are cut into pieces all at once; a piece that
-        stands alone as a chunk has the same ids, so pieces and chunks share the memory."""
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        kept = self.kept
-        new = set().union(*chunk_lists) - kept.keys()
-        plain = [*filter(self._plain, new)] if self.cuts else []
-        parts, at = [], 0
-        for piece in _CUT.findall("\n".join([*plain, ""]).lower()):
-            if piece == "\n":
-                kept[plain[at]] = parts[0] if len(parts) == 1 else b"".join(parts)
-                parts, at = [], at + 1
-                continue
-            ids = kept.get(piece)
-            if ids is None:
-                ids = kept[piece] = self._piece(piece)
-            parts.append(ids)
-        rest = list(new.difference(plain))
-        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            kept[chunk] = np.asarray(found.ids, self.kind).tobytes()
+        self.tokenizer, self.kind = load(path), np.dtype(kind)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, self.kind)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        begin = np.cumsum(size) - size + len(self.pool)
+        self.pool = np.concatenate([self.pool, np.fromiter((i for f in found for i in f), self.kind, int(size.sum()))])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def __call__(self, texts: pa.Array, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray, wordhash.Words]:
+        """The ids of all texts, one after another, where the ids of each word end (after a 0), and the words."""
+        words = wordhash.split(texts, fold_case)
+        keys, first, kind = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > KEPT_WORDS:
+            self._empty()
+        at, known = self._find(keys)
+        if not known.all():
+            data, new = words.data.tobytes(), first[~known]
+            own = [data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)]
+            self._learn(keys[~known], [w.translate(LOWER_ASCII) for w in own] if fold_case else own)
+            at, _ = self._find(keys)
+        size = self.size[at][kind]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        places = np.repeat(self.begin[at][kind] - ends[:-1], size) + np.arange(ends[-1])
+        return self.pool[places], ends, words
 
 
 @cache
-def memory(path: str, kind: str) -> ChunkMemory:
+def memory(path: str, kind: str) -> WordMemory:
     """One for each Python worker, so that it serves all tasks that the worker runs."""
-    return ChunkMemory(path, kind)
+    return WordMemory(path, kind)
