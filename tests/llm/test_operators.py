@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,12 +152,12 @@ def test_scores_of_odd_rows(spark, monkeypatch):
 
 def test_weights_learn_from_all_training_documents(spark, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 5)
-    monkeypatch.setattr(lm, "TRAIN_DOCS", 2)
+    monkeypatch.setattr(lm, "FIRST_WINDOWS", 2)
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    docs = spark.createDataFrame([(i, f"alone{i} " + "river stone table green " * 30 + f"word{i * 7919}") for i in range(200)], "doc_id long, text string")
-    scorer = lm.train_model(docs, lm.word_counts(docs), 200, tokenizer)
-    ids = {i for found, _ in lm.WordEncoder(tokenizer)([r["text"].split() for r in docs.collect()]) for i in found}
-    used = scorer.vocabulary.inputs[sorted(ids)]
+    docs = spark.createDataFrame([(i, f"word{i * 7919} river stone") for i in range(200)], "doc_id long, text string")
+    scorer = lm.train_model(docs, lm.word_counts(docs), tokenizer)
+    symbols, _, first, _ = lm.symbols_of(subwords.memory(tokenizer, "<i4"), pa.array([r["text"] for r in docs.collect()]))
+    used = np.unique(scorer.inputs(symbols, first))
     fresh = lm.AttentionModel(scorer.vocabulary.row_class, lm.SINGLE + lm.TAILS)
     assert (scorer.model.p["embed"][used] != fresh.p["embed"][used]).any(1).all()
 

@@ -6,9 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from sieveworks.llm import decontam, jaccard, langid, lm, sstable, subwords, tokencount, toxicity
+from sieveworks.llm import decontam, jaccard, langid, lm, sstable, subwords, tokencount, toxicity, wordhash
 from sieveworks.llm.text import WORD_RE
 
 random.seed(5)
@@ -62,12 +63,50 @@ def test_shard_round_trip_and_lookup():
     assert list(empty) == [] and empty.get(sstable.key_of(1)) == []
 
 
-def test_encoder_equals_the_library():
-    memory = subwords.ChunkMemory(public_tokenizers.path("word_bpe_49k.json"), "<u2")
-    for t in [*texts(1500), "x<|endoftext|>Y's ΣΑΣ Éa'LL I\u0307 e\u0301 ½x² \x7f", "a \x01 b\x01c", "\x01"]:
-        chunks = WORD_RE.findall(t)
-        memory.learn([chunks, ["the"]])
-        assert b"".join(memory.kept[c] for c in chunks) == np.asarray(memory.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), repr(t)
+@pytest.mark.parametrize("kept", [10**6, 50])
+def test_encoder_equals_the_library(monkeypatch, kept):
+    monkeypatch.setattr(subwords, "KEPT_WORDS", kept)
+    memory = subwords.WordMemory(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    every = [*texts(1500), None, "x<|endoftext|>Y's ΣΑΣ Éa'LL I\u0307 e\u0301 ½x² \x7f", "a \x01 b\x01c", "\x01", "", "w" * 700_000, "the end " * 90_000]
+    for at in range(0, len(every), 200):
+        part = every[at : at + 200]
+        ids, ends, words = memory(pa.array(part))
+        bounds = ends[words.first]
+        for i, t in enumerate(part):
+            want = memory.tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == want, repr(t)[:200]
+
+
+def test_words_equal_the_expression():
+    for t in [texts(800), [None, "", " \t", "A", "b" * (3 << 18), "c " * (3 << 17)]]:
+        found = wordhash.split(pa.array(t, pa.string()))
+        for i, x in enumerate(t):
+            own = range(found.first[i], found.first[i + 1])
+            assert [found.word(k).decode() for k in own] == WORD_RE.findall(x or "")
+        low = {}
+        for i in range(len(found.hashes)):
+            assert low.setdefault(int(found.hashes[i]), found.word(i).lower()) == found.word(i).lower()
+        assert len(low) == len({found.word(i).lower() for i in range(len(found.hashes))})
+
+
+def test_linked_sets_share_a_token_that_neither_spares():
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 90):
+        for _ in range(1500):
+            n = int(rng.choice([3, 4, 5, 7, 9, 11, 14, 20, 33, 60, 150, 400]))
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            keep = rng.random(len(a)) < rng.choice([0.8, 0.9, 0.95, 1])
+            b = np.unique(np.concatenate([a[keep], rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)]))
+            if not jaccard.links(a, b, percent) or np.array_equal(a, b):
+                continue
+            kept = []
+            for s in (a, b):
+                found, spare = jaccard.tokens(s, percent)
+                for kind in range(jaccard.KINDS):  # any one order of all tokens will do
+                    own = sorted(t for t in found.tolist() if t % jaccard.KINDS == kind)
+                    kept.append((s is a, set(own[: len(own) - spare[kind]])))
+            left = set().union(*(k for side, k in kept if side))
+            assert left & set().union(*(k for side, k in kept if not side)), (percent, n)
 
 
 def brute_path(scores, switch):
@@ -117,7 +156,7 @@ def test_attention_is_causal_and_gradients_are_right(monkeypatch):
     y = x.copy()
     y[:, 6:] = 7
     assert np.allclose(h.reshape(2, 10, -1)[:, :6], model.forward(y)[0].reshape(2, 10, -1)[:, :6], atol=1e-5)
-    target, weight = rng.integers(0, 100, 20), np.full(20, 1 / 20, np.float32)
+    target, weight = rng.integers(0, lm.SINGLE + lm.TAILS, 20), np.full(20, 1 / 20, np.float32)
 
     def loss():
         h2, kept = model.forward(x)
@@ -139,11 +178,28 @@ def test_attention_is_causal_and_gradients_are_right(monkeypatch):
 def test_each_token_is_scored_once():
     vocabulary = lm.Vocabulary(300, {1: 5})
     scorer = lm.Scorer(vocabulary, lm.AttentionModel(vocabulary.row_class, lm.SINGLE + lm.TAILS))
-    for n in (0, 1, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 200):
-        assert scorer.tensors([np.arange(n, dtype=np.int32)])[2].sum() == n + 1
+    sizes = [1, 2, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 200, 1, 777]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    symbols = np.random.default_rng(1).integers(0, 300, first[-1]).astype(np.int32)
+    together = scorer(symbols, first)
+    assert (together < 0).all()
+    alone = [scorer(symbols[a:b], np.array([0, b - a])) for a, b in zip(first, first[1:])]
+    assert np.allclose(np.concatenate(alone), together, atol=1e-4)
     assert abs(np.bincount(vocabulary.classes, np.exp(vocabulary.within), lm.SINGLE + lm.TAILS)[: vocabulary.classes.max() + 1] - 1).max() < 1e-3
 
 
+def test_symbols_tell_words_apart():
+    encode = subwords.WordMemory(public_tokenizers.path("word_bpe_49k.json"), "<i4")
+    size = encode.tokenizer.get_vocab_size()
+    symbols, begin, first, words = lm.symbols_of(encode, pa.array(["a b", "ab", None, "\u00a0 The thingness", ""]))
+    ids = lambda t: encode.tokenizer.encode(t, add_special_tokens=False).ids
+    word = lambda t: [*(2 * i for i in ids(t)[:-1]), 2 * ids(t)[-1] + 1]
+    end = 2 * size + 1
+    want = [[*word("a"), *word("b"), end], [*word("ab"), end], [end], [2 * size, *word("the"), *word("thingness"), end], [end]]
+    assert [symbols[a:b].tolist() for a, b in zip(first, first[1:])] == want
+    assert begin.tolist()[:3] == [0, 1, 3] and len(begin) == len(words.hashes) == 6
+
+
 def test_chain_uses_earlier_links():
     rng = random.Random(1)
     rows = []
