@@ -18,20 +18,26 @@ SHINGLE, PERCENT = 5, 80
 BROADCAST_ROWS = 500_000
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
-    """Tells rows apart by id and text; rows equal in both are one document."""
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """docs with a column that tells its rows apart, the name of that column, and whether it was added: doc_id where no id is
+    null or repeated, else a number of the row, of a name that docs does not have."""
+    if not jaccard.ids_repeat(docs):
+        return docs, "doc_id", False
+    name, taken = "row_number", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return write_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name, True
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = write_table(gone.select("__row").distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "__row", "left_anti")
+def _joined(docs: DataFrame, key: str, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined with rows (__key, and columns whose names begin with two underscores)."""
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, F.col(key) == F.col("__key"), how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of which no language has LEAST_SHARE of the words. A null lang does
-    not matter; the model learns from the labelled documents of this input."""
+    """Drops documents without a letter (null and empty ones too) and those of which no language has LEAST_SHARE of the
+    words. A null lang does not matter; the model learns from the labelled documents of this input. Repeated rows are
+    judged alike; other columns are kept, whatever their names."""
     model = langid.train(docs)
     labelled = langid.identify(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"}), model)
     kept = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
@@ -39,44 +45,44 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least row key stays, one row of it; documents without
-    words link with nothing and stay once each. Rows equal in id and text are one document."""
+    """Of each class of near duplicates one row stays: that of the least doc_id, or the first row as stored where ids are null or repeat.
+    Rows without words link with nothing and stay. Equal rows are near duplicates like others; other columns are kept."""
     columns = docs.columns
-    keyed = _row_key(docs)
-    ids = keyed.groupBy("__row").count()
-    repeated = ids.where("count > 1").limit(1).count() > 0
-    one = keyed.dropDuplicates(["__row"]) if repeated else keyed
-    found = write_table(jaccard.jaccard_classes(one.select(F.col("__row").alias("id"), "text"), SHINGLE, PERCENT), "pipeline-classes")
-    return _without(one, found.where("id <> component").select(F.col("id").alias("__row"))).select(*columns)
+    rows, key, _ = _keyed(docs)
+    found = jaccard.jaccard_classes(rows.select(F.col(key).cast("long").alias("id"), "text"), SHINGLE, PERCENT)
+    gone = write_table(found.where("id <> component").select(F.col("id").alias("__key")), "gone")
+    return _joined(rows, key, gone, "left_anti").select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that share a passage with a benchmark text."""
+    """Drops the documents that share a passage with a benchmark text. Null and empty texts share nothing and stay;
+    repeated rows go or stay together; an empty benchmark drops nothing."""
     columns = docs.columns
+    rows, key, _ = _keyed(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    leaks = decontam.find_leaks(docs.select("doc_id", "text"), bench)
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64("text")))
-    return _without(rows, leaks.select(F.xxhash64("doc_id", "row_hash").alias("__row"))).select(*columns)
+    leaks = decontam.find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), bench)
+    gone = write_table(leaks.select(F.col("doc_id").alias("__key")).distinct(), "gone")
+    return _joined(rows, key, gone, "left_anti").select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those that it takes 0 times go."""
+    """Repeats each row as often as the mix takes it; those that it takes 0 times go. Null sources are one source; rows
+    without words are free; equal rows are taken each for itself; other columns are kept."""
     columns = docs.columns
+    keyed, key, _ = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
     weights = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.when(F.max("quality") >= 1, 2.0).otherwise(0.5).alias("quality"))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing.text_tie(F.col("text")).alias("tie"), F.col(key).alias("__key"))
     rows = rows.join(weights, F.col("doc_id") == F.col("label_id"), "left")
-    rows = rows.select("doc_id", "source", "size", "tie", F.coalesce("quality", F.lit(1.0)).alias("quality"))
-    taken = mixing.take_counts(rows).select(F.xxhash64("doc_id", "source", "tie").alias("__row"), "times").groupBy("__row").agg(F.max("times").alias("times"))
-    taken = write_table(taken.where("times > 0"), "taken")
-    small = taken.count() <= BROADCAST_ROWS
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "source", F.xxhash64("text")))
-    mixed = keyed.join(F.broadcast(taken) if small else taken, "__row")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*columns)
+    rows = rows.select("doc_id", "source", "size", "tie", F.coalesce("quality", F.lit(1.0)).alias("quality"), "__key")
+    taken = write_table(mixing.take_counts(rows).where("times > 0").select("__key", F.col("times").alias("__times")), "taken")
+    mixed = _joined(keyed, key, taken, "inner")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*columns)
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes all rows as token shards and returns what a reader finds in them, a row for each."""
+    """Writes all rows as token shards and returns what a reader finds in them, a row for each. Null and empty texts have the
+    end id alone; repeated rows are repeated entries; other columns are not written."""
     path = fresh_path(spark, "pipeline-shards")
     sstable.write_shards(docs.select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
     return sstable.read_digests(spark, path)

@@ -23,6 +23,11 @@ def uniform(row: Column, seed: str = SEED) -> Column:
     return (bits.cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def text_tie(text: Column) -> Column:
+    """A long that tells texts apart: 60 bits of MD5; null is like empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_TIMES) -> DataFrame:
     """sizes: source, n_rows, source_size, a row for each source. Adds target and budget of its last, partial epoch.
 
@@ -60,7 +65,8 @@ def take_counts(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     -ln(u) / quality, as long as the middle of a row's words lies within the budget, so a source ends within half
     of one document of its target. Null sources are one source; null ids and repeated rows are rows like others;
     rows without words are free, and taken 0 words. An empty table gives an empty result."""
-    rows = write_table(rows.withColumn("rank_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality")), "mix-rows")
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("tie").cast("string"))
+    rows = write_table(rows.withColumn("rank_key", -F.log(uniform(row, seed)) / F.col("quality")), "mix-rows")
     sources = write_table(
         source_targets(rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size")), weights, share, most),
         "mix-sources",

@@ -23,7 +23,7 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing.text_tie(F.col("text")).alias("tie"))
     rows = rows.join(quality_weights(spark, sf_dir), F.col("doc_id") == F.col("label_id"), "left")
     rows = rows.select("doc_id", "source", "size", "tie", F.coalesce("quality", F.lit(1.0)).alias("quality"))
     return mixing.take_counts(rows).select("doc_id", "size", "source_size", "target", "taken")
@@ -32,9 +32,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-           / coalesce(q, 1.0::DOUBLE) AS rank_key
-  FROM documents LEFT JOIN (SELECT doc_id AS label_id, CASE WHEN max(quality) >= 1 THEN 2.0 ELSE 0.5 END::DOUBLE AS q
+         -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || tie), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+           / coalesce(q, 1.0::DOUBLE) AS rank_key, tie
+  FROM (SELECT *, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS tie FROM documents) LEFT JOIN (SELECT doc_id AS label_id, CASE WHEN max(quality) >= 1 THEN 2.0 ELSE 0.5 END::DOUBLE AS q
                             FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1) ON doc_id = label_id),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM rows GROUP BY source),
 weighted AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap,
@@ -47,7 +47,7 @@ found AS (SELECT levels.*, free.level FROM levels LEFT JOIN free ON true),
 targets AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM found),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
 ranked AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget,
-                  sum(size) OVER (PARTITION BY rows.source ORDER BY rank_key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
+                  sum(size) OVER (PARTITION BY rows.source ORDER BY rank_key, doc_id, size, tie ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
            FROM rows JOIN epochs ON rows.source IS NOT DISTINCT FROM epochs.source)
 SELECT doc_id, size, source_size, target, (size * least(epochs + (middle <= budget)::BIGINT, 2))::BIGINT AS taken FROM ranked
 """
