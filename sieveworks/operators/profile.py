@@ -37,3 +37,11 @@ def preference_boost(rows: DataFrame, likes: DataFrame) -> DataFrame:
         out = out.join(other, key, "left")
     total = sum((F.coalesce(c, F.lit(0.0)) for c in ("by_words", "by_provider", "by_quality")), F.coalesce("by_url", F.lit(0.0)))
     return out.withColumn("boost", total).drop("by_words", "by_provider", "by_quality", "by_url", "tag")
+
+
+def encoded_weights(weighted: DataFrame, key: str) -> DataFrame:
+    """One row, encoded: k:w;k:w of weights() by falling count; empty for no rows. The profile is one row by its nature, so
+    its keys come together."""
+    entry = F.struct((-F.col("n")).alias("n"), F.col(key).alias("k"), F.round("weight", 4).alias("w"))
+    listed = F.array_sort(F.collect_list(entry))
+    return weighted.agg(F.array_join(F.transform(listed, lambda e: F.concat(e["k"], F.lit(":"), e["w"].cast("string"))), ";").alias("encoded"))

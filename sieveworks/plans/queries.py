@@ -10,23 +10,13 @@ from pyspark.sql import functions as F
 from sieveworks.functions import querytext as N
 from sieveworks.functions import scores as S
 from sieveworks.operators import health, lists, profile, ranking, relevance
+from sieveworks.plans.registry import FOUND, query
 from sieveworks.sources import jsonbody
 from sieveworks.sources import pages as P
 from sieveworks.sources import tables as T
 from sieveworks.streaming import health as stream
 
 QUERY = "the of and"
-FOUND: dict[str, tuple[Callable, str | None]] = {}
-
-
-def query(sql: str | None = None, views: bool = True):
-    """Registers a function by its name, with SQL over the views."""
-
-    def add(f):
-        FOUND[f.__name__] = (f, T.with_views(sql) if sql and views else sql)
-        return f
-
-    return add
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -461,6 +451,10 @@ def text_relevance(spark, sf):
     return relevance.text_relevance(T.results(spark, sf), TEXT_QUERY).select("pos", F.round("relevance", 6).alias("relevance"))
 
 
+# Modules that register queries of their own.
+from sieveworks.plans import learning, statements, texts  # noqa: E402, F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in FOUND.items()}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 DATES = ("today", "3 hours ago", "yesterday", "5 days ago", "2 weeks ago", "1 month ago", "3 months ago", "1 year ago")
 QUALITIES = ("4K", "1080p", "720p", "HDTV", "CAM")
 CATEGORIES = ("Movies", "TV", "Music", "Games")
+STRATEGIES = ("HTML_PARSING", "API_BASED", "DYNAMIC_CONTENT", "HEADLESS_BROWSER", "HYBRID")
 KINDS = ("GENERAL", "STREAMING", "TORRENT", "NEWS", "MEDIA", "API_BASED", "CUSTOM", "OTHER")
 
 
@@ -76,6 +77,45 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.array_join(first, " ").alias("query"))
 
 
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as analyses of providers' sites."""
+    p = table(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    return p.select(
+        i.alias("id"), (i % 10).alias("provider_id"), (i * 37 % 1009).alias("analyzed_at"), "url", F.length("html").cast("long").alias("size"),
+        (i % 3 == 0).alias("needs_script"), (i % 4 == 1).alias("has_api"), _pick(STRATEGIES, i % 5).alias("strategy"),
+    )
+
+
+def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several scraping settings for each provider."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("id"), (k % 20).alias("provider_id"), F.when(k % 3 != 0, F.concat(F.lit("/find?q={query}&n="), k.cast("string"))).alias("template"), (1000 + k * 10).alias("timeout_ms"))
+
+
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as corrections of providers' fields."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("provider_id"), F.col("event_type").alias("field"),
+        F.round(F.col("value") / 500, 3).alias("confidence"), "ts",
+    )
+
+
+def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A learned schema for each of 25 providers."""
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        k.alias("provider_id"), F.concat(F.lit('{"name":"'), "n_name", F.lit('"}')).alias("schema_json"), ((k % 10) / 10.0).alias("confidence"),
+        F.concat(F.lit('{"raw":"'), F.lower("n_name"), F.lit('"}')).alias("category_map"), F.when(k % 2 == 0, "page").alias("pagination"),
+    )
+
+
+def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one row of stored preferences."""
+    return table(spark, sf_dir, "region").where("r_regionkey = 1").select("r_regionkey", F.lit("[]").alias("categories"), F.lit("[]").alias("genres"), F.concat(F.lit('["'), F.lower("r_name"), F.lit('"]')).alias("qualities")).withColumnRenamed("r_regionkey", "id")
+
+
 def _sql_pick(values: tuple[str, ...], place: str) -> str:
     return "CASE " + " ".join(f"WHEN {place} = {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
@@ -97,9 +137,16 @@ VIEWS = {
         FROM results WHERE pos IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "search_log": r"""SELECT conv_id * 100 + turn AS ts, array_to_string(list_filter(string_split_regex(lower(text), '[ \t\n\f\r]+'), lambda w: w <> '')[1:2], ' ') AS query
         FROM conversations WHERE role = 'user'""",
+    "analyses": f"""SELECT page_id AS id, page_id % 10 AS provider_id, page_id * 37 % 1009 AS analyzed_at, url, length(html) AS size, page_id % 3 = 0 AS needs_script,
+        page_id % 4 = 1 AS has_api, {_sql_pick(STRATEGIES, 'page_id % 5')} AS strategy FROM pages""",
+    "configs": "SELECT s_suppkey AS id, s_suppkey % 20 AS provider_id, CASE WHEN s_suppkey % 3 <> 0 THEN '/find?q={query}&n=' || s_suppkey END AS template, 1000 + s_suppkey * 10 AS timeout_ms FROM supplier",
+    "corrections": "SELECT event_id AS id, user_id % 10 AS provider_id, event_type AS field, round(value / 500, 3) AS confidence, ts FROM events",
+    "schemas": """SELECT n_nationkey AS provider_id, '{"name":"' || n_name || '"}' AS schema_json, (n_nationkey % 10)::DOUBLE / 10 AS confidence,
+        '{"raw":"' || lower(n_name) || '"}' AS category_map, CASE WHEN n_nationkey % 2 = 0 THEN 'page' END AS pagination FROM nation""",
+    "preferences": """SELECT r_regionkey AS id, '[]' AS categories, '[]' AS genres, '["' || lower(r_name) || '"]' AS qualities FROM region WHERE r_regionkey = 1""",
 }
 
 
 def with_views(sql: str) -> str:
     """SQL over the views, as one statement."""
-    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in (*((n, VIEWS[n]) for n in ("results", "provider_events", "providers", "likes", "search_log")),)) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)
+    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)
