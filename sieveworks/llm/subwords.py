@@ -14,7 +14,7 @@ from sieveworks.llm.text import LOWER_ASCII
 #: Distinct words whose ids a Python worker keeps; the memory is emptied when full.
 KEPT_WORDS = 1_500_000
 #: Bytes of text whose distinct words are looked up together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 @cache
