@@ -1 +1,162 @@
-"""Named queries."""
+"""Queries of the URL and similarity functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sieveworks.functions import scores as S
+from sieveworks.functions import similarity as M
+from sieveworks.functions import urls as U
+from sieveworks.operators import relevance
+from sieveworks.plans.registry import query
+from sieveworks.sources import tables as T
+
+#: URLs of many kinds, from results: the host and path of each differ by pos.
+FORMS = (
+    "https://www.example.com/category/films/", "https://cdn.example.com/hls/{n}/1080p.m3u8", "https://m.example.com/watch/old-film_{n}.html",
+    "http://example.com/video/{n}.mp4?token=1", "/login?next=/all", "https://example.org/a_b/c-d{n}?page=3&x=1", "mailto:someone@example.com",
+    "https://media.example.net/{n}/4k/film.webm", "#top", "https://example.net/list?paged=12", "https://example.net/get_video?id={n}&quality=720p", "https://example.net/Latest/",
+)
+_SQL_URL = "CASE pos % 12 " + " ".join(f"WHEN {i} THEN replace('{f}', '{{n}}', pos::VARCHAR)" for i, f in enumerate(FORMS)) + " END"
+_URLS = f"u AS (SELECT pos, title, seeders, {_SQL_URL} AS url FROM results)"
+
+
+def _urls(spark, sf):
+    form = F.get(F.array(*map(F.lit, FORMS)), (F.col("pos") % len(FORMS)).cast("int"))
+    return T.results(spark, sf).select("pos", "title", "seeders", F.replace(form, F.lit("{n}"), F.col("pos").cast("string")).alias("url"))
+
+
+def _has(parts, text="lower(url)"):
+    return "(" + " OR ".join(f"strpos({text}, '{p}') > 0" for p in parts) + ")"
+
+
+@query(f"""WITH {_URLS} SELECT pos, NOT starts_with(url, '#') AND NOT {_has(U.NOT_CONTENT)} AS content, {_has(U.NOT_NAVIGATION)} AS no_navigation, {_has(U.GENERIC_TABS, "lower(url || ' ' || title)")} AS generic_tab,
+ {_has(U.CATEGORY_MARKS)} AS category FROM u""")
+def url_kinds(spark, sf):
+    u = F.col("url")
+    return _urls(spark, sf).select("pos", U.is_content(u).alias("content"), U.is_navigation_excluded(u).alias("no_navigation"), U.is_generic_tab(u, F.col("title")).alias("generic_tab"), U.is_category_url(u).alias("category"))
+
+
+@query(rf"""WITH {_URLS} SELECT pos, {_has(U.MEDIA_PARTS)} AS likely_media, {_has(U.VIDEO_PARTS)} AS video, regexp_matches(lower(url), '\.({"|".join(U.VIDEO_EXTENSIONS)})($|\?)') AS direct,
+ {_has((".m3u8", ".mpd", "/hls/", "/dash/"))} AS stream, NOT {_has(U.PAGE_PARTS)} AND (regexp_matches(lower(url), '\.({"|".join(U.VIDEO_EXTENSIONS)})') OR {_has(U.PLAYABLE_PARTS)}) AS playable FROM u""")
+def url_media_tests(spark, sf):
+    u = F.col("url")
+    return _urls(spark, sf).select("pos", U.is_likely_media(u).alias("likely_media"), U.is_video(u).alias("video"), U.is_direct_media(u).alias("direct"), S.is_stream_url(u).alias("stream"), U.is_playable(u).alias("playable"))
+
+
+@query(rf"""WITH {_URLS} SELECT pos, coalesce(nullif(regexp_extract(lower(url), '2160p|4k|1080p|720p|480p|360p|240p'), ''), 'Unknown') AS download_quality, regexp_extract(lower(url), '\.(m3u8|mpd|mp4|webm|mkv|avi|mov)', 1) AS download_format,
+ CASE WHEN {_has(("2160", "4k"))} THEN '4K' WHEN strpos(url, '1080') > 0 THEN '1080p' WHEN strpos(url, '720') > 0 THEN '720p' WHEN strpos(url, '480') > 0 THEN '480p' WHEN strpos(url, '360') > 0 THEN '360p' WHEN {_has((".m3u8", ".mpd"))} THEN 'Auto' ELSE 'Unknown' END AS resolved_quality,
+ CASE WHEN strpos(url, '.m3u8') > 0 THEN 'HLS' WHEN strpos(url, '.mp4') > 0 THEN 'MP4' WHEN strpos(url, '.webm') > 0 THEN 'WebM' ELSE 'Unknown' END AS pattern,
+ CASE WHEN seeders * 10000 > 10000000 THEN 8000 WHEN seeders * 10000 > 5000000 THEN 4000 WHEN seeders * 10000 > 1000000 THEN 2000 ELSE 1000 END AS bitrate,
+ CASE WHEN strpos(url, '.mp4') > 0 THEN 'video/mp4' WHEN strpos(url, '.webm') > 0 THEN 'video/webm' ELSE 'application/octet-stream' END AS mime FROM u WHERE pos % 1440 <> 1440""")
+def url_media_labels(spark, sf):
+    u = F.col("url")
+    ext = F.concat(F.lit("."), U.download_format(u))
+    return _urls(spark, sf).select(
+        "pos", U.download_quality(u).alias("download_quality"), U.download_format(u).alias("download_format"), U.resolved_quality(u).alias("resolved_quality"), U.url_pattern(u).alias("pattern"),
+        U.bitrate(F.col("seeders") * 10_000).alias("bitrate"), S.mime_type(F.when(ext.isin(".mp4", ".webm"), ext).otherwise(F.lit(""))).alias("mime"),
+    )
+
+
+@query(rf"""WITH {_URLS}, s AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)', 1) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS host, trim(replace(replace(split_part(list_last(string_split(url, '/')), '?', 1), '-', ' '), '_', ' ')) AS t FROM u)
+ SELECT pos, CASE WHEN host <> '' THEN scheme || '://' || host ELSE url END AS base, CASE WHEN host <> '' THEN translate(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '-_/', '   ') ELSE lower(url) END AS words,
+ CASE WHEN length(t) > 2 THEN upper(t[1]) || t[2:] END AS named, regexp_replace(CASE WHEN regexp_matches(trim(url), '^https?://') THEN trim(url) ELSE 'https://' || trim(url) END, '/+$', '') AS complete,
+ CASE WHEN starts_with(url, 'http') THEN url WHEN starts_with(url, '/') THEN 'https://example.net' || url ELSE 'https://example.net/' || url END AS resolved FROM s""")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return _urls(spark, sf).select("pos", U.base_url(u).alias("base"), U.url_words(u).alias("words"), U.title_of_url(u).alias("named"), S.full_url(u).alias("complete"), S.resolve_url(u, F.lit("https://example.net/")).alias("resolved"))
+
+
+@query(r"""WITH """ + _URLS + r""" SELECT pos, array_to_string(list_transform(CASE WHEN starts_with(url, 'http') THEN [2, 3] ELSE [] END, lambda p: CASE WHEN regexp_matches(url, '[?&]page=\d+') THEN regexp_replace(url, '([?&]page=)\d+', '\1' || p, 'g')
+ WHEN regexp_matches(url, '[?&]paged=\d+') THEN regexp_replace(url, '([?&]paged=)\d+', '\1' || p, 'g') WHEN strpos(url, '?') > 0 THEN url || '&page=' || p ELSE rtrim(url, '/') || '/page/' || p END), ' ') AS pages FROM u""")
+def url_pages(spark, sf):
+    return _urls(spark, sf).select("pos", F.array_join(U.page_urls(F.col("url"), 2, 2), " ").alias("pages"))
+
+
+@query("""WITH v AS (SELECT id, url, [url, CASE WHEN contains(url, '://www.') THEN replace(url, '://www.', '://') ELSE replace(url, '://', '://www.') END, replace(url, '://www.', '://m.'), replace(url, '://', '://m.'), 'http' || substr(url, 6)] AS vs FROM providers)
+ SELECT id, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), ' ') AS variants, rtrim(url, '/') || '/search?q=old+film&page=' || (id % 3) AS search,
+ CASE id % 3 WHEN 0 THEN url || '/go?q=old+film' WHEN 1 THEN url || '/api/search?q=old+film' ELSE url || '/search?q=old+film' END AS analysed, CASE WHEN id % 4 = 3 THEN 250 ELSE least(100 * (1 << least(id % 9, 6)), 8000) END AS backoff FROM v""")
+def url_made(spark, sf):
+    u, i = F.col("url"), F.col("id")
+    form = F.when(i % 3 == 0, F.lit("form[action='/go']"))
+    endpoints = F.when(i % 3 == 1, F.lit("/api/search")).otherwise(F.lit(""))
+    return T.providers(spark, sf).select(
+        "id", F.array_join(U.url_variants(u), " ").alias("variants"), U.search_url(u, F.lit("old film"), i % 3).alias("search"),
+        U.analysed_search_url(u, F.lit("old film"), form, i % 3 == 1, endpoints).alias("analysed"), U.backoff_ms(i % 9, F.when(i % 4 == 3, 250).otherwise(0)).alias("backoff"),
+    )
+
+
+_MARKS = "',.!?\"''()'"
+
+
+def _in(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"""WITH asked AS (SELECT conv_id * 100 + turn AS ts, text FROM conversations WHERE role = 'user'), w AS (SELECT ts, text, string_split_regex(lower(text), '\\s+') AS raw FROM asked),
+ s AS (SELECT *, list_filter(list_transform(raw, lambda x: trim(x, {_MARKS})), lambda x: length(x) > 1) AS ws FROM w)
+ SELECT ts, array_to_string(list_filter(list_transform(list_filter(raw, lambda x: length(x) > 1), lambda x: trim(x, {_MARKS})), lambda x: x <> '' AND x NOT IN {_in(M.STOP_WORDS)}), '|') AS words,
+ array_to_string(list_concat(list_filter(ws, lambda x: x NOT IN {_in(M.STOP_WORDS)}), list_transform(list_filter(range(1, len(ws)), lambda i: ws[i] NOT IN {_in(M.STOP_WORDS)} AND ws[i + 1] NOT IN {_in(M.STOP_WORDS)}), lambda i: ws[i] || ' ' || ws[i + 1])), '|') AS terms FROM s""")
+def query_terms(spark, sf):
+    c = T.table(spark, sf, "conversations").where("role = 'user'")
+    q = F.col("text")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.array_join(M.query_words(q), "|").alias("words"), F.array_join(M.query_terms(q), "|").alias("terms"))
+
+
+@query(f"""WITH k AS (SELECT conv_id * 100 + turn AS ts, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 1 AND w NOT IN {_in(relevance.STOP_WORDS)}) AS ws FROM conversations WHERE role = 'user')
+ SELECT ts, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), '|') AS keywords FROM k""")
+def query_keywords(spark, sf):
+    c = T.table(spark, sf, "conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.array_join(M.keywords(F.col("text"), relevance.STOP_WORDS), "|").alias("keywords"))
+
+
+@query(r"""WITH w AS (SELECT pos, list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), '\W+'), lambda x: length(x) > 1 AND abs(length(x) - 5) <= 2) AS ws FROM results), d AS (SELECT pos, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
+ b AS (SELECT pos, w FROM d WHERE levenshtein(w, 'thore') <= 1 QUALIFY row_number() OVER (PARTITION BY pos ORDER BY levenshtein(w, 'thore'), i) = 1)
+ SELECT r.pos, b.w AS near, round(CASE WHEN t = 'ben ora' THEN 1 WHEN t = '' THEN 0 WHEN starts_with(t, 'ben ora') OR ends_with(t, 'ben ora') OR starts_with('ben ora', t) OR ends_with('ben ora', t) THEN 0.9 WHEN contains(t, 'ben ora') OR contains('ben ora', t) THEN 0.85
+ ELSE 1 - levenshtein(t, 'ben ora') / greatest(length(t), 7) END, 6)::DOUBLE AS similar FROM (SELECT pos, substr(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), 1, 12) AS t FROM results) r LEFT JOIN b USING (pos)""")
+def text_near(spark, sf):
+    t = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")  # distances of the two engines agree on ASCII
+    return T.results(spark, sf).select("pos", M.fuzzy_match(t, F.lit("thore")).alias("near"), F.round(M.similarity(F.substring(t, 1, 12), F.lit("ben ora")), 6).alias("similar"))
+
+
+@query("""WITH x AS (SELECT pos, lower(substr(title, 1, 6)) AS t, lower(url) AS u, lower(title || ' ' || coalesce(description, '')) AS c, lower(title || ' ' || coalesce(description, '') || ' ' || url) AS whole FROM results)
+ SELECT pos, round((SELECT sum(CASE WHEN t = w THEN 1 WHEN contains(t, w) THEN 0.7 WHEN contains(u, w) THEN 0.5 WHEN contains(w, t) OR length(t) >= 4 AND length(w) >= 4 AND substr(t, 1, 4) = substr(w, 1, 4) THEN 0.3 ELSE 0 END) FROM (SELECT unnest(['the', 'doc-1', 'thereof']) AS w)), 6)::DOUBLE AS tab,
+ 6.0::DOUBLE * (contains(c, 'then')::INT + contains(c, 'and')::INT) AS concepts, contains(whole, 'then') OR contains(whole, 'onion') AS matches FROM x""")
+def text_matches(spark, sf):
+    words = F.array(*map(F.lit, ("the", "doc-1", "thereof")))
+    whole = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit("")), "url"))
+    return T.results(spark, sf).select(
+        "pos", F.round(M.tab_relevance(F.substring("title", 1, 6), F.col("url"), words), 6).alias("tab"),
+        M.concept_similarity(F.col("title"), F.col("description"), F.array(*map(F.lit, ("then", "of", "and", "then")))).alias("concepts"), S.any_of(whole, ("then", "onion")).alias("matches"),
+    )
+
+
+@query(f"""WITH q AS (SELECT ts, lower(query) AS q, ['STREAMING', 'TORRENT', 'NEWS', 'MEDIA', 'OTHER'][ts % 5 + 1] AS kind FROM search_log) SELECT ts, kind, CASE kind {" ".join(f"WHEN '{k}' THEN {_has(ws, 'q')}" for k, ws in M.CATEGORY_WORDS.items())} ELSE false END AS fits,
+ (100.0::DOUBLE * len(list_filter(list_filter(string_split_regex(q, '\\W+'), lambda w: w <> ''), lambda w: w IN ('the', 'and', 'video'))) / greatest(len(list_filter(string_split_regex(q, '\\W+'), lambda w: w <> '')), 1))::DOUBLE AS image FROM q""")
+def query_fits(spark, sf):
+    kind = F.get(F.array(*map(F.lit, ("STREAMING", "TORRENT", "NEWS", "MEDIA", "OTHER"))), (F.col("ts") % 5).cast("int"))
+    words = F.array(*map(F.lit, ("the", "and", "video")))
+    return T.search_log(spark, sf).select("ts", kind.alias("kind"), M.fits_category(kind, F.col("query")).alias("fits"), M.thumbnail_score(words, F.col("query")).alias("image"))
+
+
+@query(f"""WITH m AS (SELECT pos, pos % 50 AS grp, {_SQL_URL} AS url FROM results), s AS (SELECT *, CASE WHEN {_has(("2160", "4k"))} THEN 100 WHEN strpos(url, '1080') > 0 THEN 80 WHEN strpos(url, '720') > 0 THEN 60 WHEN strpos(lower(url), 'hd') > 0 THEN 60 WHEN strpos(url, '480') > 0 THEN 40 WHEN strpos(url, '360') > 0 THEN 25 WHEN strpos(url, '240') > 0 THEN 15 ELSE 30 END + CASE WHEN {_has((".m3u8", ".mpd", "/hls/", "/dash/"))} THEN 5 ELSE 0 END AS sc,
+ NOT {_has(U.PAGE_PARTS)} AND (regexp_matches(lower(url), '\\.({"|".join(U.VIDEO_EXTENSIONS)})') OR {_has(U.PLAYABLE_PARTS)}) AS ok FROM m WHERE pos % 12 NOT IN (0, 4, 5, 6, 8, 9, 11) OR pos < 50)
+ SELECT grp, pos FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ok DESC, CASE WHEN ok THEN sc END DESC NULLS LAST, pos) = 1""")
+def media_best(spark, sf):
+    """The best playable candidate of each group, or its first where none is playable."""
+    u = F.col("url")
+    rows = _urls(spark, sf).where("pos % 12 NOT IN (0, 4, 5, 6, 8, 9, 11) OR pos < 50")
+    score = S.media_score(u) + F.when(S.is_stream_url(u), 5).otherwise(0)
+    key = F.struct(U.is_playable(u).alias("ok"), F.when(U.is_playable(u), score).otherwise(0).alias("score"), (-F.col("pos")).alias("first"))
+    return rows.groupBy((F.col("pos") % 50).alias("grp")).agg(F.max(key).alias("k")).select("grp", (-F.col("k.first")).alias("pos"))
+
+
+@query(f"""WITH m AS (SELECT pos, pos % 40 AS grp, {_SQL_URL} AS url, ['4K', '1080p', 'SD', ''][pos % 4 + 1] AS q FROM results), t AS (SELECT *, lower(q || chr(10) || url) AS x, regexp_extract(lower(url), '\\.(m3u8|mpd|mp4|webm|mkv|avi|mov)', 1) AS f FROM m),
+ s AS (SELECT *, greatest(0, {", ".join(f"CASE WHEN strpos(x, '{m}') > 0 THEN {v} ELSE 0 END" for m, v in U.DOWNLOAD_SCORE)}) + CASE WHEN f = 'mp4' THEN 10 WHEN f = 'webm' THEN 5 WHEN {_has((".m3u8", ".mpd", "/hls/", "/dash/"))} THEN -5 ELSE 0 END AS sc FROM t)
+ SELECT grp, pos, sc AS score FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY sc DESC, pos) = 1""")
+def media_for_download(spark, sf):
+    u = F.col("url")
+    tag = F.get(F.array(*map(F.lit, ("4K", "1080p", "SD", ""))), (F.col("pos") % 4).cast("int"))
+    rows = _urls(spark, sf).withColumn("score", U.download_score(tag, u, U.download_format(u), S.is_stream_url(u)))
+    best = rows.groupBy((F.col("pos") % 40).alias("grp")).agg(F.max(F.struct("score", (-F.col("pos")).alias("first"))).alias("k"))
+    return best.select("grp", (-F.col("k.first")).alias("pos"), "k.score")
