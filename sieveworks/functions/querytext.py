@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sieveworks.functions.similarity import STOP_WORDS as FALLBACK_STOP_WORDS
+
 # Replaced anywhere, in this order.
 CONTRACTIONS = {
     "i'm": "i am", "i've": "i have", "i'll": "i will", "i'd": "i would", "you're": "you are", "you've": "you have",
@@ -120,7 +122,7 @@ def expand_query(query: Column, most: int = 5) -> Column:
 def fallback_queries(query: Column, most: int = 8) -> Column:
     """The query's words over 2 letters, no stop words: ever shorter beginnings, then single words, longest first."""
     stripped = F.transform(F.split(F.lower(query), r"\s+"), lambda w: F.regexp_replace(w, r"""^[,.!?"']+|[,.!?"']+$""", ""))
-    words = F.array_distinct(F.filter(stripped, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
+    words = F.array_distinct(F.filter(stripped, lambda w: (F.length(w) > 2) & ~w.isin(*FALLBACK_STOP_WORDS)))
     begins = F.filter(F.transform(F.reverse(F.sequence(F.lit(1), F.size(words))), lambda i: F.array_join(F.slice(words, 1, i), " ")), lambda s: s != F.lower(query))
     placed = F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
     singles = F.transform(F.sort_array(placed), lambda s: s["w"])

@@ -20,12 +20,16 @@ def moving_average(events: DataFrame, key: str, value: Column, start: float, dec
     return whole.select(key, "n", (F.col("b") + start * F.pow(F.lit(decay), F.col("n"))).alias("ema"))
 
 
-def halving_average(events: DataFrame, key: str, value: str) -> DataFrame:
-    """key and avg: 0, moved by each event to the whole part of (avg + value) / 2. Rounding each step down is the same as
-    rounding the weighted sum down once; weights beyond the last 60 events are below the rounding."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id")))
-    recent = events.select(key, "ts", "event_id", value).withColumn("place", place).where("place <= 60")
-    return recent.groupBy(key).agg(F.floor(F.sum(F.col(value) / F.pow(F.lit(2.0), F.col("place"))) + 1e-9).cast("long").alias("avg"))
+def running_totals(events: DataFrame, key: str, value: Column, slice_seconds: int = 3600) -> DataFrame:
+    """events with total and place: sum and number of a key's events up to each, in the order of (ts, event_id). Only a slice of
+    time of a key is sorted in one place; what went before is a sum over slices."""
+    sliced = events.withColumn("slice", F.floor(F.unix_timestamp("ts") / slice_seconds))
+    within = Window.partitionBy(key, "slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sliced.groupBy(key, "slice").agg(F.sum(value).alias("own_total"), F.count("*").alias("own_place"))
+    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(key, "slice", *[F.coalesce(F.sum(f"own_{c}").over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("total", "place")])
+    rows = sliced.withColumns({"own_total": F.sum(value).over(within), "own_place": F.count("*").over(within)}).join(before, [key, "slice"])
+    return rows.withColumns({c: F.col(f"own_{c}") + F.col(f"{c}_before") for c in ("total", "place")}).drop("slice", "own_total", "own_place", "total_before", "place_before")
 
 
 def streaks(events: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions import scores as S
+from sieveworks.functions.urls import url_words
 from sieveworks.operators.lists import keep_first
+from sieveworks.operators.relevance import SYNONYMS, edits_of, terms_of
+from sieveworks.sources.store import write_table
 
 # Marks of category pages in URLs, and names of generic categories.
 CATEGORY_URLS = ("/genre/", "/category/", "/browse/", "/filter/", "/tags/", "/type/", "/sort/", "/order/", "?genre=", "?category=", "?type=", "/all-", "/list/genre", "/movies/genre")
@@ -17,12 +20,15 @@ GENERIC_TITLES = (
 )
 LEAST_TOP, RELATED_SHARE, TOP_ROWS, RELATED_ROWS = 15.0, 0.4, 30, 50
 LEAST_AFFINE = 8.0
+#: A top list shorter than this is filled up; points of rows found by related words, and how many of them.
+SHORT_TOP, LEAST_RELATED, NEAR_POINTS, NEAR_ROWS = 8, 5.0, 7.0, 8
 
 
-def final_score(rows: DataFrame, query: str) -> DataFrame:
-    """results joined with providers (searches, failed, avg_ms, health): score on 0 to 100 before boosts."""
+def final_score(rows: DataFrame) -> DataFrame:
+    """results joined with providers (searches, failed, avg_ms, health), relevance (0 to 1) and preference boost (points): score
+    on 0 to 100 before the boost across providers."""
     parts = {
-        "text": S.simple_relevance(F.col("title"), query) / 100.0,
+        "text": F.coalesce("relevance", F.lit(0.0)),
         "provider": S.provider_score(F.col("searches"), F.col("failed"), F.col("avg_ms"), F.col("health")),
         "fresh": S.freshness(F.col("date")),
         "engagement": S.engagement(F.col("seeders"), F.col("views"), F.col("rating")),
@@ -32,7 +38,8 @@ def final_score(rows: DataFrame, query: str) -> DataFrame:
     for name, value in parts.items():
         term = value * S.WEIGHTS[name]
         total = term if total is None else total + term
-    return rows.withColumn("score", F.least(F.greatest(F.round(total * 100.0, 6), F.lit(0.0)), F.lit(100.0)))
+    score = F.round(total * 100.0 + F.coalesce("boost", F.lit(0.0)), 6)
+    return rows.withColumn("score", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
 
 
 def cross_provider_boost(rows: DataFrame) -> DataFrame:
@@ -51,15 +58,77 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return bar.withColumn("related_from", F.col("top_from") * RELATED_SHARE)
 
 
-def top_and_related(rows: DataFrame) -> DataFrame:
-    """The two result lists with segment and rank. In the top list the first-seen row of equal titles stays, in the
-    related list the best-scored one, as one is deduplicated before and the other after sorting."""
-    barred = rows.withColumn("norm_title", S.normal_title(F.col("title"))).crossJoin(F.broadcast(thresholds(rows)))
-    top = keep_first(barred.where("score >= top_from"), ["norm_title"], ["pos"]).orderBy(F.desc("score"), "pos").limit(TOP_ROWS)
+def _capped(rows: DataFrame, order: list, n: int) -> DataFrame:
+    return rows.orderBy(*order).limit(n)
+
+
+def _appended(first: DataFrame, more: DataFrame, when: Column) -> DataFrame:
+    """The list (stage, at, pos, url, title, score), and more after it where when holds of its row count n; then the first of each URL
+    stays. Where it does not hold the list stays as it is."""
+    counted = first.agg(F.count("*").alias("n"))
+    stage = first.agg(F.coalesce(F.max("stage"), F.lit(0)).alias("last"))
+    added = more.crossJoin(F.broadcast(counted)).where(when).drop("n").crossJoin(F.broadcast(stage)).withColumn("stage", F.col("last") + 1).drop("last")
+    both = first.unionByName(added.select(*first.columns))
+    # Lists of bounded length: a window over all of one is small.
+    n = F.row_number().over(Window.partitionBy("url").orderBy("stage", "at"))
+    grown = both.withColumn("n_url", n).crossJoin(F.broadcast(counted)).where(~when | (F.col("n_url") == 1))
+    return grown.select(*first.columns)
+
+
+def top_and_related(rows: DataFrame, query: str) -> DataFrame:
+    """The two result lists (segment, rank, pos, title, score) of scored rows (pos, title, description, url, score).
+
+    In the top list the first-seen row of equal titles stays, in the related list the best-scored one, as one is
+    deduplicated before and the other after sorting. Where the top list is short, rows with related words of the query join it
+    (7 points more), then the best of the related list, which leave that, then rows with any word of the query, near spellings
+    included. What the passes ask of a text is settled where it is read, so only narrow rows are used again. An empty table
+    gives no rows."""
+    terms = [t for t in query.lower().split() if len(t) > 1]
+    near = list(dict.fromkeys(n for t in terms for n in SYNONYMS.get(t, ())))
+    keys = terms_of(query)
+    text = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))
+    t, d = F.lower("title"), F.lower(F.coalesce("description", F.lit("")))
+    by_near = S.any_of(t, tuple(near)) | S.any_of(d, tuple(near)) if near else F.lit(False)
+    combined = F.concat_ws(" ", text, url_words(F.col("url")))
+    words = F.split(combined, r"\W+")
+    by_key = S.any_of(combined, tuple(keys)) if len(keys) > 1 else F.lit(False)
+    for k in keys if len(keys) > 1 else []:
+        by_key = by_key | F.exists(words, _within(k))
+    narrow = write_table(rows.select("pos", "url", "title", "score", S.normal_title(F.col("title")).alias("norm_title"), by_near.alias("by_near"), by_key.alias("by_key")), "ranked-rows")
+    barred = narrow.crossJoin(F.broadcast(thresholds(narrow)))
+    best = [F.desc("score"), "pos"]
+
+    def listed(found: DataFrame) -> DataFrame:
+        """A list of bounded length, written, as the passes use it several times."""
+        return write_table(found.select(F.lit(0).alias("stage"), F.row_number().over(Window.orderBy(*best)).alias("at"), "pos", "url", "title", "score"), "ranked-list")
+
+    top = listed(_capped(keep_first(barred.where("score >= top_from"), ["norm_title"], ["pos"]), best, TOP_ROWS))
     related = barred.where("score < top_from AND score >= related_from")
-    related = keep_first(related, ["norm_title"], [F.desc("score"), "pos"]).orderBy(F.desc("score"), "pos").limit(RELATED_ROWS)
-    both = top.withColumn("segment", F.lit("top")).unionByName(related.withColumn("segment", F.lit("related")))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("score"), "pos")))
+    related = listed(_capped(keep_first(related, ["norm_title"], best), best, RELATED_ROWS))
+    short = F.col("n") < SHORT_TOP
+
+    def others(*lists: DataFrame) -> DataFrame:
+        """Rows whose URL is in none of the lists."""
+        rest = narrow
+        for one in lists:
+            rest = rest.join(F.broadcast(one.select(F.col("url").alias("seen"))), F.col("url") == F.col("seen"), "left_anti")
+        return rest
+
+    by_words = listed(_capped(others(top, related).where(F.col("by_near") & (F.col("score") >= LEAST_RELATED)), best, NEAR_ROWS)).withColumn("score", F.col("score") + NEAR_POINTS)
+    second = write_table(_capped(_appended(top, by_words, short), ["stage", "at"], TOP_ROWS), "ranked-list")
+    moved = related.crossJoin(F.broadcast(second.agg(F.count("*").alias("have")))).where((F.col("have") < SHORT_TOP) & (F.col("at") <= SHORT_TOP - F.col("have"))).drop("have")
+    third = write_table(_appended(second, moved, short), "ranked-list")
+    left = related.join(F.broadcast(third.select(F.col("url").alias("seen"))), F.col("url") == F.col("seen"), "left_anti")
+    few = second.agg((F.count("*") < SHORT_TOP).alias("few"))
+    kept = related.crossJoin(F.broadcast(few)).where("NOT few").drop("few").unionByName(left.crossJoin(F.broadcast(few)).where("few").drop("few"))
+    by_keys = listed(_capped(others(third, kept).where("by_key"), best, SHORT_TOP)).withColumn("score", F.greatest("score", F.lit(LEAST_RELATED)))
+    last = _capped(_appended(third, by_keys, short), ["stage", "at"], TOP_ROWS)
+    both = last.withColumn("segment", F.lit("top")).unionByName(kept.withColumn("segment", F.lit("related")))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy("stage", "at"))).select("segment", "rank", "pos", "url", "title", "score")
+
+
+def _within(term: str):
+    return lambda w: F.levenshtein(w, F.lit(term)) <= edits_of(term)
 
 
 def has_affinity(query: str) -> Column:
@@ -76,7 +145,8 @@ def display_filter(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
     title = F.lower("title")
     generic = F.trim(title).isin(*GENERIC_TITLES) & (F.coalesce("thumbnail", F.lit("")) == "")
     valid = rows.where((F.length("title") >= 3) & ~S.any_of(F.lower("url"), CATEGORY_URLS) & ~generic)
-    valid = keep_first(valid, ["url"], ["pos"]).withColumn("affine", has_affinity(query))
+    valid = keep_first(valid, ["url"], ["pos"]).withColumn("affine", has_affinity(query)).select("pos", "url", "title", "score", "affine")
+    valid = write_table(valid, "display-rows")
     some = valid.agg(F.coalesce(F.max("affine"), F.lit(False)).alias("some"))
     return valid.crossJoin(F.broadcast(some)).where("affine OR NOT some").orderBy(F.desc("score"), "pos").limit(limit).drop("some")
 

@@ -44,7 +44,7 @@ def terms_of(query: str) -> list[str]:
     return [t for t in query.lower().split() if len(t) > 1 and t not in STOP_WORDS]
 
 
-def _edits(term: str) -> int:
+def edits_of(term: str) -> int:
     return 0 if len(term) <= 3 else 1 if len(term) <= 5 else 2
 
 
@@ -54,7 +54,7 @@ def _term_table(query: str) -> Column:
     for t in terms_of(query):
         grams = list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) or [t]
         rows.append(F.struct(
-            F.lit(t).alias("term"), F.lit(_edits(t)).alias("edits"), F.array(*map(F.lit, grams)).alias("grams"),
+            F.lit(t).alias("term"), F.lit(edits_of(t)).alias("edits"), F.array(*map(F.lit, grams)).alias("grams"),
             F.array(*map(F.lit, SYNONYMS.get(t, ()))).cast("array<string>").alias("near"), F.lit(t[:-1] if len(t) >= 3 else None).cast("string").alias("stem")))
     return F.array(*rows)
 

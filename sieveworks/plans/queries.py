@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions import querytext as N
 from sieveworks.functions import scores as S
-from sieveworks.operators import health, lists, profile, ranking, relevance
+from sieveworks.operators import folds, health, lists, profile, ranking, relevance
 from sieveworks.plans.registry import FOUND, query
 from sieveworks.sources import jsonbody
 from sieveworks.sources import pages as P
@@ -19,9 +19,14 @@ from sieveworks.streaming import health as stream
 QUERY = "the of and"
 
 
+TEXT_QUERY = "then onion movie thand"
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     known = T.providers(spark, sf).select(F.col("id").alias("provider_id"), "searches", "failed", "avg_ms", "health")
-    return ranking.final_score(T.results(spark, sf).join(known, "provider_id"), QUERY)
+    rows = profile.preference_boost(T.results(spark, sf), T.likes(spark, sf))
+    rows = rows.join(relevance.text_relevance(T.results(spark, sf), TEXT_QUERY), "pos")
+    return ranking.final_score(rows.join(known, "provider_id"))
 
 
 def _like(text: str, marks, otherwise: str) -> str:
@@ -40,8 +45,45 @@ _ENGAGE = f"coalesce(list_avg(list_filter([{_SEED}, {_VIEW}, least(greatest(rati
 _QUALITY = "least(greatest(" + ", ".join(f"CASE WHEN contains(lower(title), '{w}') OR contains(lower(coalesce(quality, '')), '{w}') THEN {s} ELSE 0 END::DOUBLE" for w, s in S.QUALITY_WORDS.items()) + ") + CASE WHEN coalesce(thumbnail, '') <> '' THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN coalesce(description, '') <> '' THEN 0.05 ELSE 0 END::DOUBLE, 1)"
 _PROVIDER = "least(greatest(0.5::DOUBLE + CASE WHEN searches > 0 THEN (1 - failed / searches) * 0.3 ELSE 0 END::DOUBLE + CASE WHEN avg_ms < 1000 THEN 0.1 WHEN avg_ms < 3000 THEN 0.05 ELSE 0 END::DOUBLE + health * 0.1, 0), 1)"
 _SIMPLE = "least(CASE WHEN contains(lower(title), 'the of and') THEN 50 ELSE 0 END" + "".join(f" + CASE WHEN contains(lower(title), '{t}') THEN CASE WHEN starts_with(lower(title), '{t}') THEN 15 ELSE 10 END ELSE 0 END" for t in QUERY.split()) + ", 100)::DOUBLE"
-_SCORED = f"""scored AS (SELECT * EXCLUDE (nr), least(greatest(round(({_SIMPLE} / 100 * 0.6::DOUBLE + {_PROVIDER} * 0.05::DOUBLE + ({_FRESH}) * 0.08::DOUBLE + ({_ENGAGE}) * 0.15::DOUBLE + ({_QUALITY}) * 0.12::DOUBLE) * 100, 6), 0), 100) AS score
- FROM (SELECT r.*, p.searches, p.failed, p.avg_ms, p.health, {_NUMBER} AS nr FROM results r JOIN providers p ON r.provider_id = p.id))"""
+_PREFERENCE = rf"""WITH kc AS (SELECT keyword, count(*) AS n FROM (SELECT unnest(string_split(title_keywords, ',')) AS keyword FROM likes) WHERE trim(keyword) <> '' GROUP BY 1), kw AS (SELECT keyword, n / (SELECT max(n) FROM kc) AS w FROM kc),
+ bw AS (SELECT pos, least(sum(w) * 10, 10) AS b FROM (SELECT pos, unnest(string_split_regex(lower(title), '\W+')) AS keyword FROM results) JOIN kw USING (keyword) WHERE length(keyword) > 2 GROUP BY pos),
+ pc AS (SELECT provider_id, count(*) AS n FROM likes GROUP BY 1), qc AS (SELECT lower(quality) AS tag, count(*) AS n FROM likes WHERE trim(quality) <> '' GROUP BY 1)
+ SELECT r.pos, coalesce(b, 0) + coalesce(pc.n / (SELECT max(n) FROM pc) * 5, 0) + coalesce(qc.n / (SELECT max(n) FROM qc) * 3, 0) + CASE WHEN url IN (SELECT url FROM likes) THEN 15 ELSE 0 END AS boost
+ FROM results r LEFT JOIN bw USING (pos) LEFT JOIN pc USING (provider_id) LEFT JOIN qc ON lower(r.quality) = qc.tag"""
+
+
+def _text_sql() -> str:
+    terms, near = relevance.terms_of(TEXT_QUERY), relevance.SYNONYMS
+    quoted = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]::VARCHAR[]"
+    values = ", ".join(f"('{t}', {relevance.edits_of(t)}, {quoted(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2)))}, {quoted(near.get(t, ()))}, '{t[:-1]}')" for t in terms)
+    last = "0"
+    order = []
+    for t in terms:
+        last = f"(CASE WHEN strpos(substr(t, {last} + 1), '{t}') > 0 THEN strpos(substr(t, {last} + 1), '{t}') + {last} ELSE NULL END)"
+        order.append(f"{last} IS NOT NULL")
+    edit = lambda ws: f"list_filter(list_transform({ws}, lambda w: levenshtein(w, term)), lambda x: x >= 1 AND x <= edits)[1]"
+    n = len(terms)
+    return f"""WITH base AS (SELECT pos, title, lower(title) AS t, lower(coalesce(description, '')) AS d FROM results),
+ words AS (SELECT *, list_filter(string_split_regex(t, '\\W+'), lambda w: length(w) > 1) AS tw, list_filter(string_split_regex(d, '\\W+'), lambda w: length(w) > 1) AS dw,
+   CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS tg FROM base),
+ q(term, edits, grams, near, stem) AS (VALUES {values}),
+ each AS (SELECT *, (length(t) - length(replace(t, term, ''))) / length(term) AS n_t, (length(d) - length(replace(d, term, ''))) / length(term) AS n_d, {edit('tw')} AS t_edit, {edit('dw')} AS d_edit,
+   len(list_intersect(grams, tg)) / len(grams) AS share FROM words, q),
+ marks AS (SELECT *, n_t > 0 AS here, n_d > 0 AS there, NOT n_t > 0 AND t_edit IS NOT NULL AS fuzzy, NOT n_t > 0 AND t_edit IS NULL AND length(term) >= 4 AND share >= 0.5 AS gram,
+   NOT n_t > 0 AND len(list_filter(near, lambda s: contains(t, s))) > 0 AS syn FROM each),
+ sums AS (SELECT pos, sum(CASE WHEN here THEN (1 + ln(n_t)) * 7 + greatest(0, 8 - (strpos(t, term) - 1) / 12) ELSE 0 END + CASE WHEN fuzzy THEN 8 * (1 - t_edit / (edits + 1)) ELSE 0 END + CASE WHEN gram THEN 5 * share ELSE 0 END
+   + CASE WHEN syn THEN 7 ELSE 0 END + CASE WHEN NOT here AND contains(t, stem) THEN 7.2::DOUBLE ELSE 0 END
+   + CASE WHEN there THEN (1 + ln(n_d)) * 5 ELSE CASE WHEN d_edit IS NOT NULL THEN 4.8::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(near, lambda s: contains(d, s))) > 0 THEN 3.5::DOUBLE ELSE 0 END END) AS points,
+   sum(here::INT) AS h, sum(there::INT) AS dh, sum(fuzzy::INT) AS f, sum(syn::INT) AS s, sum(gram::INT) AS g,
+   any_value(CASE WHEN contains(t, '{TEXT_QUERY}') THEN 40 ELSE 0 END + CASE WHEN contains(d, '{TEXT_QUERY}') THEN 25 ELSE 0 END + CASE WHEN starts_with(t, '{TEXT_QUERY}') THEN 30 ELSE 0 END + CASE WHEN {' AND '.join(order)} THEN 18 ELSE 0 END) AS whole,
+   any_value(length(title) > 150) AS long FROM marks GROUP BY pos),
+ final AS (SELECT *, (points + whole + 25 * CASE WHEN h = {n} THEN 1 WHEN h + f * 0.6::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE >= {n} * 0.6::DOUBLE THEN 0.6 WHEN h + dh >= {n} THEN 0.5 WHEN h + f * 0.6::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE >= {n} * 0.3::DOUBLE THEN 0.25 ELSE 0 END::DOUBLE)
+   * (0.3::DOUBLE + (h + dh * 0.6::DOUBLE + f * 0.5::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE) / {n} * 0.7::DOUBLE) AS score FROM sums)
+ SELECT pos, least(greatest(CASE WHEN h + dh > 0 THEN greatest(score, 2) ELSE score END * CASE WHEN long THEN 0.85 ELSE 1 END::DOUBLE, 0), 100) / 100 AS relevance FROM final"""
+
+
+_SCORED = f"""rel AS ({_text_sql()}), pref AS ({_PREFERENCE}), scored AS (SELECT * EXCLUDE (nr), least(greatest(round((relevance * 0.6::DOUBLE + {_PROVIDER} * 0.05::DOUBLE + ({_FRESH}) * 0.08::DOUBLE + ({_ENGAGE}) * 0.15::DOUBLE + ({_QUALITY}) * 0.12::DOUBLE) * 100 + boost, 6), 0), 100) AS score
+ FROM (SELECT r.*, p.searches, p.failed, p.avg_ms, p.health, relevance, boost, {_NUMBER} AS nr FROM results r JOIN providers p ON r.provider_id = p.id JOIN rel ON r.pos = rel.pos JOIN pref ON r.pos = pref.pos))"""
 _BOOSTED = f"""{_SCORED}, keyed AS (SELECT *, {_NORM_URL} AS norm_url FROM scored), seen AS (SELECT norm_url, count(DISTINCT provider_id) AS n_providers FROM keyed GROUP BY 1),
  boosted AS (SELECT keyed.* EXCLUDE (score), n_providers, CASE WHEN n_providers > 1 THEN least(100, round(score * (1 + 0.1::DOUBLE * (n_providers - 1)), 6)) ELSE score END AS score FROM keyed JOIN seen USING (norm_url))"""
 _LISTS = f"""{_BOOSTED}, bar AS (SELECT 15.0::DOUBLE * CASE WHEN count(*) < 10 THEN 0.6 WHEN count(*) < 30 THEN 0.75 WHEN count(*) < 60 THEN 0.9 ELSE 1 END::DOUBLE AS t FROM boosted),
@@ -52,7 +94,7 @@ _LISTS = f"""{_BOOSTED}, bar AS (SELECT 15.0::DOUBLE * CASE WHEN count(*) < 10 T
 
 @query(f"WITH {_LISTS} SELECT 'top' AS segment, row_number() OVER (ORDER BY score DESC, pos) AS rank, pos, title, score FROM top UNION ALL SELECT 'related', row_number() OVER (ORDER BY score DESC, pos), pos, title, score FROM related")
 def rank_results(spark, sf):
-    found = ranking.top_and_related(ranking.cross_provider_boost(_scored(spark, sf)))
+    found = ranking.top_and_related(ranking.cross_provider_boost(_scored(spark, sf)), TEXT_QUERY)
     return found.select("segment", F.col("rank").cast("long"), "pos", "title", "score")
 
 
@@ -98,11 +140,11 @@ def dedup_keep_first(spark, sf):
     return lists.keep_first(T.results(spark, sf), ["url"], ["pos"]).select("url", "pos", "title")
 
 
-@query(f"""WITH parts AS (SELECT 0 AS part, pos, url, title, 0.7::DOUBLE AS confidence FROM results WHERE pos % 3 = 0 UNION ALL SELECT 1, pos, url, title, rating / 10 FROM results WHERE pos % 2 = 0)
+@query(f"""WITH parts AS (SELECT 0 AS part, pos, url, title, 0.7::DOUBLE AS confidence FROM results UNION ALL SELECT 1, pos, url, title, rating / 10 FROM results)
  SELECT pos, url, title, confidence FROM parts QUALIFY row_number() OVER (PARTITION BY url || '|' || substr(lower(title), 1, 30) ORDER BY confidence DESC, part, pos) = 1""")
 def merge_by_confidence(spark, sf):
     rows = T.results(spark, sf)
-    parts = [rows.where("pos % 3 = 0").select("pos", "url", "title", F.lit(0.7).alias("confidence")), rows.where("pos % 2 = 0").select("pos", "url", "title", (F.col("rating") / 10).alias("confidence"))]
+    parts = [rows.select("pos", "url", "title", F.lit(0.7).alias("confidence")), rows.select("pos", "url", "title", (F.col("rating") / 10).alias("confidence"))]
     return lists.merge_by_confidence(parts, F.concat("url", F.lit("|"), F.substring(F.lower("title"), 1, 30)), "confidence", "pos").drop("first_place")
 
 
@@ -240,11 +282,7 @@ def profile_categories(spark, sf):
     return profile.weights(T.likes(spark, sf).select(F.lower("category").alias("tag")), "tag")
 
 
-@query(rf"""WITH kc AS (SELECT keyword, count(*) AS n FROM ({_KEYS}) WHERE trim(keyword) <> '' GROUP BY 1), kw AS (SELECT keyword, n / (SELECT max(n) FROM kc) AS w FROM kc),
- bw AS (SELECT pos, least(sum(w) * 10, 10) AS b FROM (SELECT pos, unnest(string_split_regex(lower(title), '\W+')) AS keyword FROM results) JOIN kw USING (keyword) WHERE length(keyword) > 2 GROUP BY pos),
- pc AS (SELECT provider_id, count(*) AS n FROM likes GROUP BY 1), qc AS (SELECT lower(quality) AS tag, count(*) AS n FROM likes WHERE trim(quality) <> '' GROUP BY 1)
- SELECT r.pos, round(coalesce(b, 0) + coalesce(pc.n / (SELECT max(n) FROM pc) * 5, 0) + coalesce(qc.n / (SELECT max(n) FROM qc) * 3, 0) + CASE WHEN url IN (SELECT url FROM likes) THEN 15 ELSE 0 END, 6) AS boost
- FROM results r LEFT JOIN bw USING (pos) LEFT JOIN pc USING (provider_id) LEFT JOIN qc ON lower(r.quality) = qc.tag""")
+@query(f"SELECT pos, round(boost, 6) AS boost FROM ({_PREFERENCE})")
 def preference_boost(spark, sf):
     return profile.preference_boost(T.results(spark, sf), T.likes(spark, sf)).select("pos", F.round("boost", 6).alias("boost"))
 
@@ -258,9 +296,9 @@ def ema_provider(spark, sf):
     return found.select("provider_id", "n", F.round("ema", 6).alias("ema"))
 
 
-@query(f"SELECT provider_id, floor(sum(ms / pow(2.0::DOUBLE, r)) + 1e-9)::BIGINT AS avg FROM ({_RANKED}) WHERE r <= 60 GROUP BY 1")
+@query("SELECT provider_id, list_reduce(list(ms ORDER BY ts, event_id), lambda a, x: (a + x) // 2, 0) AS avg FROM provider_events GROUP BY 1")
 def integer_running_avg(spark, sf):
-    return health.halving_average(T.provider_events(spark, sf), "provider_id", "ms")
+    return folds.halving_average(T.provider_events(spark, sf), "provider_id", "ms")
 
 
 _STREAKS = """s AS (SELECT provider_id, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, coalesce(sum(ms) FILTER (ok), 0)::BIGINT AS success_ms,
@@ -293,10 +331,7 @@ def retry_decision(spark, sf):
 
 @query("SELECT provider_id, event_id, sum(n_results) OVER w AS offset_after, row_number() OVER w AS page_after, n_results > 0 AS has_more FROM provider_events WINDOW w AS (PARTITION BY provider_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def pagination_state(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("provider_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return T.provider_events(spark, sf).select("provider_id", "event_id", F.sum("n_results").over(w).alias("offset_after"), F.count("*").over(w).alias("page_after"), (F.col("n_results") > 0).alias("has_more"))
+    return health.running_totals(T.provider_events(spark, sf), "provider_id", F.col("n_results")).select("provider_id", "event_id", F.col("total").alias("offset_after"), F.col("place").alias("page_after"), (F.col("n_results") > 0).alias("has_more"))
 
 
 @query("SELECT page_id, " + ", ".join(rf"len(regexp_extract_all(html, '(?i)<{t}[\s>]')) AS n_{t}" for t in P.COUNTED_TAGS) + " FROM pages")
@@ -327,11 +362,11 @@ def search_candidates(spark, sf):
     return T.providers(spark, sf).select("id", F.array_join(P.search_candidates(F.col("url"), F.lit("old film")), " ").alias("candidates"))
 
 
-@query("SELECT provider_id AS body_id, trim(title) AS title, url, description FROM results WHERE length(trim(title)) >= 3 AND pos % 7 = 0 QUALIFY row_number() OVER (PARTITION BY provider_id, url ORDER BY pos) = 1")
+@query("SELECT provider_id AS body_id, trim(title) AS title, url, description FROM results WHERE length(trim(title)) >= 3 QUALIFY row_number() OVER (PARTITION BY provider_id, url ORDER BY pos) = 1")
 def json_records(spark, sf):
     # A body for each result, so that the bounds of the walk cut nothing and no provider's rows are gathered. The body's
     # number holds pos and, in its last five bits, the provider (31: none).
-    rows = T.results(spark, sf).where("pos % 7 = 0").withColumn("title", F.rtrim("title"))
+    rows = T.results(spark, sf).withColumn("title", F.rtrim("title"))
     item = F.struct(F.col("title").alias("Headline"), F.struct(F.col("url").alias("href")).alias("link"), F.col("description").alias("summary"))
     number = F.col("pos") * 32 + F.coalesce(F.col("provider_id") + 10, F.lit(31))
     bodies = rows.select(number.alias("body_id"), F.lit("https://example.net/").alias("base_url"), F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("data"))).alias("body"))
@@ -402,51 +437,7 @@ def query_variants(spark, sf):
     return T.search_log(spark, sf).select("ts", F.array_join(N.query_variants(F.col("query"), 2024), "|").alias("variants"))
 
 
-@query()
-def query_expand(spark, sf):
-    q = F.concat_ws(" ", F.lit("watch full movie"), "query")
-    return T.search_log(spark, sf).select("ts", N.expand_query(q).alias("queries"))
-
-
-@query()
-def query_decompose(spark, sf):
-    return _asked(spark, sf).select("ts", N.fallback_queries(F.col("text")).alias("queries"))
-
-
-TEXT_QUERY = "then onion movie thand"
-
-
-def _text_sql() -> str:
-    terms, near = relevance.terms_of(TEXT_QUERY), relevance.SYNONYMS
-    quoted = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]::VARCHAR[]"
-    values = ", ".join(f"('{t}', {relevance._edits(t)}, {quoted(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2)))}, {quoted(near.get(t, ()))}, '{t[:-1]}')" for t in terms)
-    last = "0"
-    order = []
-    for t in terms:
-        last = f"(CASE WHEN strpos(substr(t, {last} + 1), '{t}') > 0 THEN strpos(substr(t, {last} + 1), '{t}') + {last} ELSE NULL END)"
-        order.append(f"{last} IS NOT NULL")
-    edit = lambda ws: f"list_filter(list_transform({ws}, lambda w: levenshtein(w, term)), lambda x: x >= 1 AND x <= edits)[1]"
-    n = len(terms)
-    return f"""WITH base AS (SELECT pos, title, lower(title) AS t, lower(coalesce(description, '')) AS d FROM results),
- words AS (SELECT *, list_filter(string_split_regex(t, '\\W+'), lambda w: length(w) > 1) AS tw, list_filter(string_split_regex(d, '\\W+'), lambda w: length(w) > 1) AS dw,
-   CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS tg FROM base),
- q(term, edits, grams, near, stem) AS (VALUES {values}),
- each AS (SELECT *, (length(t) - length(replace(t, term, ''))) / length(term) AS n_t, (length(d) - length(replace(d, term, ''))) / length(term) AS n_d, {edit('tw')} AS t_edit, {edit('dw')} AS d_edit,
-   len(list_intersect(grams, tg)) / len(grams) AS share FROM words, q),
- marks AS (SELECT *, n_t > 0 AS here, n_d > 0 AS there, NOT n_t > 0 AND t_edit IS NOT NULL AS fuzzy, NOT n_t > 0 AND t_edit IS NULL AND length(term) >= 4 AND share >= 0.5 AS gram,
-   NOT n_t > 0 AND len(list_filter(near, lambda s: contains(t, s))) > 0 AS syn FROM each),
- sums AS (SELECT pos, sum(CASE WHEN here THEN (1 + ln(n_t)) * 7 + greatest(0, 8 - (strpos(t, term) - 1) / 12) ELSE 0 END + CASE WHEN fuzzy THEN 8 * (1 - t_edit / (edits + 1)) ELSE 0 END + CASE WHEN gram THEN 5 * share ELSE 0 END
-   + CASE WHEN syn THEN 7 ELSE 0 END + CASE WHEN NOT here AND contains(t, stem) THEN 7.2::DOUBLE ELSE 0 END
-   + CASE WHEN there THEN (1 + ln(n_d)) * 5 ELSE CASE WHEN d_edit IS NOT NULL THEN 4.8::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(near, lambda s: contains(d, s))) > 0 THEN 3.5::DOUBLE ELSE 0 END END) AS points,
-   sum(here::INT) AS h, sum(there::INT) AS dh, sum(fuzzy::INT) AS f, sum(syn::INT) AS s, sum(gram::INT) AS g,
-   any_value(CASE WHEN contains(t, '{TEXT_QUERY}') THEN 40 ELSE 0 END + CASE WHEN contains(d, '{TEXT_QUERY}') THEN 25 ELSE 0 END + CASE WHEN starts_with(t, '{TEXT_QUERY}') THEN 30 ELSE 0 END + CASE WHEN {' AND '.join(order)} THEN 18 ELSE 0 END) AS whole,
-   any_value(length(title) > 150) AS long FROM marks GROUP BY pos),
- final AS (SELECT *, (points + whole + 25 * CASE WHEN h = {n} THEN 1 WHEN h + f * 0.6::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE >= {n} * 0.6::DOUBLE THEN 0.6 WHEN h + dh >= {n} THEN 0.5 WHEN h + f * 0.6::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE >= {n} * 0.3::DOUBLE THEN 0.25 ELSE 0 END::DOUBLE)
-   * (0.3::DOUBLE + (h + dh * 0.6::DOUBLE + f * 0.5::DOUBLE + s * 0.4::DOUBLE + g * 0.3::DOUBLE) / {n} * 0.7::DOUBLE) AS score FROM sums)
- SELECT pos, round(least(greatest(CASE WHEN h + dh > 0 THEN greatest(score, 2) ELSE score END * CASE WHEN long THEN 0.85 ELSE 1 END::DOUBLE, 0), 100) / 100, 6) AS relevance FROM final"""
-
-
-@query(_text_sql())
+@query(f"SELECT pos, round(relevance, 6) AS relevance FROM ({_text_sql()})")
 def text_relevance(spark, sf):
     return relevance.text_relevance(T.results(spark, sf), TEXT_QUERY).select("pos", F.round("relevance", 6).alias("relevance"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sieveworks.functions import querytext as N
 from sieveworks.functions import scores as S
 from sieveworks.functions import similarity as M
 from sieveworks.functions import urls as U
@@ -160,3 +161,26 @@ def media_for_download(spark, sf):
     rows = _urls(spark, sf).withColumn("score", U.download_score(tag, u, U.download_format(u), S.is_stream_url(u)))
     best = rows.groupBy((F.col("pos") % 40).alias("grp")).agg(F.max(F.struct("score", (-F.col("pos")).alias("first"))).alias("k"))
     return best.select("grp", (-F.col("k.first")).alias("pos"), "k.score")
+
+
+_EXPANSIONS = "map([" + ", ".join(f"'{w}'" for w in N.EXPANSIONS) + "], [" + ", ".join("[" + ", ".join(f"'{t}'" for t in ts) + "]" for ts in N.EXPANSIONS.values()) + "])"
+
+
+@query(f"""WITH e AS (SELECT ts, 'watch full movie ' || query AS q, {_EXPANSIONS} AS m FROM search_log), w AS (SELECT ts, q, list_filter(string_split_regex(q, '\\s+'), lambda x: x IN {_in(N.EXPANSIONS)}) AS ws, m FROM e),
+ v AS (SELECT ts, list_concat([q], flatten(list_transform(ws, lambda x: list_transform(m[x], lambda t: replace(q, x, t))))) AS vs FROM w)
+ SELECT ts, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i)[1:5], '|') AS queries FROM v""")
+def query_expand(spark, sf):
+    q = F.concat_ws(" ", F.lit("watch full movie"), "query")
+    return T.search_log(spark, sf).select("ts", F.array_join(N.expand_query(q), "|").alias("queries"))
+
+
+@query(f"""WITH a AS (SELECT conv_id * 100 + turn AS ts, text FROM conversations WHERE role = 'user'),
+ w AS (SELECT ts, text, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: trim(x, ',.!?"''')), lambda x: length(x) > 2 AND x NOT IN {_in(M.STOP_WORDS)}) AS raw FROM a),
+ d AS (SELECT ts, text, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS ws FROM w),
+ b AS (SELECT ts, text, ws, list_filter(list_transform(range(len(ws), 0, -1), lambda k: array_to_string(ws[1:k], ' ')), lambda s: s <> lower(text)) AS begins FROM d),
+ s AS (SELECT ts, list(x ORDER BY length(x) DESC, i) AS singles FROM (SELECT ts, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM d) GROUP BY ts),
+ c AS (SELECT b.ts, text, ws, list_concat(begins, coalesce(singles, [])) AS every FROM b LEFT JOIN s USING (ts))
+ SELECT ts, CASE WHEN len(ws) = 0 THEN text ELSE array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i)[1:8], '|') END AS queries FROM c""")
+def query_decompose(spark, sf):
+    c = T.table(spark, sf, "conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.array_join(N.fallback_queries(F.col("text")), "|").alias("queries"))

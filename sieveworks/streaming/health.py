@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.sources.store import fresh_path
 from sieveworks.sources.tables import table
 
 
@@ -19,20 +16,10 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, a local default on a local master only."""
-    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if folder:
-        return folder.rstrip("/")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'sieveworks-checkpoints')}"
-
-
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all that is available, and returns the table it wrote; its state and rows are in the shared folder."""
     spark = stream.sparkSession
-    top = f"{shared_folder(spark)}/sieveworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    top = fresh_path(spark, name)
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
     if mode == "append":
         query = out.format("parquet").start(f"{top}/rows")
