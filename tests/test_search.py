@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.functions import scores as S
-from sieveworks.operators import health, lists, profile, ranking
+from sieveworks.operators import folds, health, lists, profile, ranking
 from sieveworks.plans import queries as Q
 from sieveworks.sources import pages as P
 from sieveworks.streaming import health as stream
@@ -96,9 +96,9 @@ def test_display_filter_falls_back_to_all_valid_rows(spark):
 
 
 def test_top_keeps_the_first_seen_and_related_the_best(spark):
-    rows = result_rows(spark, [(1, "Same", "u1", None, None, 20.0), (2, "same!", "u2", None, None, 30.0), (3, "Other", "u3", None, None, 6.0), (4, "other", "u4", None, None, 7.0)])
-    got = {(r["segment"], r["pos"]) for r in ranking.top_and_related(rows).collect()}
-    assert got == {("top", 1), ("related", 4)}
+    rows = result_rows(spark, [(1, "Same", "u1", None, None, 20.0), (2, "same!", "u2", None, None, 30.0), (3, "Other", "u3", None, None, 6.0), (4, "other", "u4", None, None, 7.0), *((10 + i, f"Full {i}", f"f{i}", None, None, 50.0) for i in range(8))])
+    got = {(r["segment"], r["pos"]) for r in ranking.top_and_related(rows, "of the").collect()}
+    assert got == {("top", 1), ("related", 4), *(("top", 10 + i) for i in range(8))}
 
 
 def test_moving_average_equals_the_fold(spark):
@@ -116,7 +116,37 @@ def test_halving_average_equals_the_fold(spark):
     x = 0
     for v in values:
         x = (x + v) // 2
-    assert health.halving_average(rows, "k", "v").first()["avg"] == x
+    assert folds.halving_average(rows, "k", "v").first()["avg"] == x
+
+
+@pytest.mark.parametrize("values", [[100] * 50, [100] * 700, [1] * 3, [0], [99, *[100] * 400], [5] * 161])
+def test_halving_average_is_exact(spark, values):
+    rows = spark.createDataFrame([("p", i, v) for i, v in enumerate(values)], "k string, event_id int, v int").withColumn("ts", F.timestamp_seconds("event_id"))
+    x = 0
+    for v in values:
+        x = (x + v) // 2
+    assert folds.halving_average(rows, "k", "v").first()["avg"] == x
+
+
+def test_short_top_lists_are_filled(spark):
+    """The passes by literal cases: related words first (7 points more), then the best related rows, then rows with a word of the query."""
+    rows = [(1, "old film night", "u1", 20.0), (2, "cinema of old", "u2", 6.0), (3, "garden walk", "u3", 5.5), (4, "movie night", "u4", 1.0), (5, "nothing here", "u5", 0.5), (6, "film twice", "u1", 19.0)]
+    frame = spark.createDataFrame([(p, t, None, f"https://e.net/{u}", s) for p, t, u, s in rows], "pos int, title string, description string, url string, score double")
+    got = ranking.top_and_related(frame, "movie night").orderBy("segment", "rank").collect()
+    top = [(r["pos"], r["score"]) for r in got if r["segment"] == "top"]
+    assert top == [(1, 20.0), (2, 6.0), (3, 5.5), (4, 5.0)]
+    assert [r["pos"] for r in got if r["segment"] == "related"] == []
+
+
+def test_folds_with_bounds(spark):
+    ups = [True] * 30 + [False] * 3 + [True]
+    rows = spark.createDataFrame([("p", i, i, u) for i, u in enumerate(ups)], "k string, event_id int, t int, ok boolean").withColumn("ts", F.timestamp_seconds(F.col("t") * 1500))
+    step = folds.step(F.when(F.col("ok"), 1.0).otherwise(0.5), F.when(F.col("ok"), 5.0).otherwise(0.0), None, F.when(F.col("ok"), 100.0).otherwise(float("inf")))
+    x = 50.0
+    for u in ups:
+        x = min(x + 5, 100) if u else x * 0.5
+    assert folds.fold(rows, ["k"], {"x": step}, {"x": 50.0}).first()["x"] == pytest.approx(x)
+    assert folds.fold(rows.limit(0), ["k"], {"x": step}, {"x": 50.0}).count() == 0
 
 
 def test_weight_text(spark):
