@@ -47,8 +47,9 @@ def playlist_variants(text: Column) -> Column:
 
 
 def best_variant(text: Column) -> Column:
-    """The URL of the variant of most bandwidth."""
-    return F.array_max(F.filter(playlist_variants(text), lambda v: v["url"].isNotNull()))["url"]
+    """The URL of the variant of most bandwidth, the first among equals."""
+    found = F.filter(playlist_variants(text), lambda v: v["url"].isNotNull())
+    return F.array_max(F.transform(found, lambda v, i: F.struct(v["bandwidth"], (-i).alias("first"), v["url"].alias("url"))))["url"]
 
 
 # Classes and tags that hold result items, first wins ties.
