@@ -427,9 +427,9 @@ def nlp_intent(spark, sf):
     return _tokens(spark, sf).select("ts", N.intent(F.col("t")).alias("intent"))
 
 
-@query(f"WITH {_TOKENS} SELECT ts, len(t) > 2 AND (len(list_filter(t, lambda w: w IN {_IN(N.STOP_WORDS)})) / greatest(len(t), 1) > 0.25 OR (len(list_filter(t, lambda w: w IN {_IN(N.PRONOUNS)})) > 0 AND len(list_filter(t, lambda w: regexp_matches(w, '({'|'.join(N.VERB_ENDS)})$|^({'|'.join(N.VERB_STARTS)})'))) > 0) OR len(t) >= 6) AS is_natural FROM tokens")
+@query(f"WITH {_TOKENS} SELECT ts, len(t) > 2 AND (len(list_filter(t, lambda w: w IN {_IN(N.STOP_WORDS)})) / greatest(len(t), 1) > 0.25 OR (len(list_filter(t, lambda w: w IN {_IN(N.PRONOUNS)})) > 0 AND len(list_filter(t, lambda w: w IN {_IN(("show", "find", "make", "give", "tell", "write", "read", "open", "move"))} OR regexp_matches(w, '({'|'.join(N.VERB_ENDS)})$|^({'|'.join(N.VERB_STARTS)})'))) > 0) OR len(t) >= 6) AS is_natural FROM tokens")
 def nlp_natural(spark, sf):
-    return _tokens(spark, sf).select("ts", N.is_natural(F.col("t")).alias("is_natural"))
+    return _tokens(spark, sf).select("ts", N.is_natural(F.col("t"), language.LEXICON.verbs).alias("is_natural"))
 
 
 @query(f"WITH base AS (SELECT ts, lower(trim(query)) AS b FROM search_log) SELECT ts, array_to_string(list_distinct_in_order, '|') AS variants FROM (SELECT ts, list_filter([b, replace(b, ' ', '.'), replace(b, ' ', '-'), replace(b, ' ', '+'), b || ' 2024', b || ' 2023'], lambda x, i: list_position([b, replace(b, ' ', '.'), replace(b, ' ', '-'), replace(b, ' ', '+'), b || ' 2024', b || ' 2023'], x) = i) AS list_distinct_in_order FROM base)")
@@ -443,7 +443,7 @@ def text_relevance(spark, sf):
 
 
 # Modules that register queries of their own.
-from sieveworks.plans import documents, learning, sites, statements, texts  # noqa: E402, F401
+from sieveworks.plans import documents, language, learning, sites, statements, texts  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
