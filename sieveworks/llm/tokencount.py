@@ -26,6 +26,8 @@ MARK = "▁"
 CHUNK = 1 << 16
 #: Segments, pairs and states that a task keeps; each memory is emptied when full.
 KEPT_SEGMENTS, KEPT_PAIRS, KEPT_STATES = 300_000, 300_000, 300_000
+#: Texts that models with another normaliser, prefix, byte fallback or pieces across white space count otherwise.
+PROBES = ("", " ", "a", " a", "a  b", "the  end ", "A\u0301 \uff21 \u2460", "\u00a0x", "a\n\tb", "\x00\x01", "\U0001f600\u6f22", "<s> </s> <unk>", "\u2581\u2581a")
 _SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -193,7 +195,11 @@ def piece_counter(model: str) -> Counter:
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=model)
     usable = (i for i in range(pieces.get_piece_size()) if not (pieces.is_byte(i) or pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_unused(i)))
-    return Counter({pieces.id_to_piece(i): pieces.get_score(i) for i in usable})
+    counter = Counter({pieces.id_to_piece(i): pieces.get_score(i) for i in usable})
+    for probe in PROBES:
+        if counter(probe) != len(pieces.encode(probe)):
+            raise ValueError(f"{model} does not count as a transducer without normalising: {probe!r}")
+    return counter
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:

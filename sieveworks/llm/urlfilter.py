@@ -84,7 +84,9 @@ def listed_rows(rows: DataFrame, key: str, listed: DataFrame, flag: str) -> Data
     hit = F.lit(True)
     for i, w in enumerate(names):
         hit = hit & (F.col(w).bitwiseAND(_bit(F.col(key), i)) != 0)
-    probed = rows.withColumn("__block", _block(F.coalesce(F.col(key), F.lit("")), blocks)).join(filter_rows, "__block", "left")
+    # Null keys are in no block; they are spread over places that no block has.
+    nowhere = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(4096))
+    probed = rows.withColumn("__block", F.when(F.col(key).isNull(), nowhere).otherwise(_block(F.col(key), blocks))).join(filter_rows, "__block", "left")
     probed = probed.withColumn("__maybe", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("__block", *names)
     exact = own.select(F.col(key).alias("__listed"))
     possible = probed.where("__maybe").join(exact, F.col(key) == F.col("__listed"), "left")
