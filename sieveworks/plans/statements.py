@@ -288,3 +288,21 @@ def provider_replace(spark, sf):
     rows = T.results(spark, sf).select("pos", "provider_id", "url")
     fresh = rows.where("provider_id = 4").withColumn("url", F.concat("url", F.lit("?fresh")))
     return rows.join(F.broadcast(fresh.select("provider_id").distinct()), "provider_id", "left_anti").unionByName(fresh).select("pos", "url")
+
+
+@query("""WITH w AS (SELECT id, 'a:' || id || ';b:x;c;a:' || (id + 1) || ';d:0.5' AS raw FROM providers) SELECT id, (id + 1)::DOUBLE AS a, 0.0::DOUBLE AS b, 0.5::DOUBLE AS d, 3 AS n FROM w""")
+def profile_parse(spark, sf):
+    """Stored weights read back: entries without a colon go, what is no number is 0, the last of a key holds."""
+    from sieveworks.operators import profile
+
+    i = F.col("id").cast("string")
+    raw = F.concat(F.lit("a:"), i, F.lit(";b:x;c;a:"), (F.col("id") + 1).cast("string"), F.lit(";d:0.5"))
+    rows = T.providers(spark, sf).select("id", profile.parse_weights(raw).alias("m"))
+    return rows.select("id", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.d").alias("d"), F.size("m").alias("n"))
+
+
+@query("SELECT id FROM providers WHERE id NOT IN (SELECT provider_id FROM results) UNION ALL SELECT id FROM providers WHERE id IN (SELECT provider_id FROM results)")
+def provider_partition(spark, sf):
+    """Providers without results, then those with."""
+    ids, seen = T.providers(spark, sf).select("id"), T.results(spark, sf).select(F.col("provider_id").alias("id")).distinct()
+    return ids.join(seen, "id", "left_anti").unionByName(ids.join(seen, "id", "left_semi"))
