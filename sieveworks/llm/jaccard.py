@@ -373,7 +373,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     sets = write_table(_sets(docs, n, percent), "jaccard-sets")
     full = sets.where("n > 0")
     classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("count")).where("count > 1")
-    copies = write_table(full.join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "jaccard-copies")
+    classes = write_table(classes.select("f1", "f2", "n", "rep"), "jaccard-classes")
+    copies = write_table(full.join(_small(classes), ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "jaccard-copies")
     reps = sets.where("size(tokens) > 0").join(_small(copies.select("id")), "id", "left_anti")
     postings = reps.select(F.explode("tokens").alias("token"), "id").repartitionByRange("token", "id").sortWithinPartitions("token", "id")
     shared = write_table(_members(postings), "jaccard-shared")
