@@ -33,7 +33,7 @@ SCRIPT_SHARE = 0.01
 SWITCH, MOST = 12.0, 4.0
 SMOOTH = 2.0
 #: Bytes of text whose distinct words are scored together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def script_of(char: str) -> str:
