@@ -103,11 +103,11 @@ def halving_average(events: DataFrame, key: str, value: str) -> DataFrame:
     totals = events.groupBy(key).agg(F.count("*").alias("total"), F.max(value).cast("long").alias("most"))
     recent = events.select(key, F.col(value).cast("long").alias("v"), "ts", "event_id").withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < LOOK_BACK)
     steps = recent.groupBy(key, F.floor(F.col("place") / LOOK).alias("part")).agg(
-        F.count("*").cast("int").alias("k"), F.struct(F.max("place").alias("last"), F.collect_list(F.struct("place", "v")).alias("vs")).alias("p"))
+        F.count("*").cast("int").alias("__steps"), F.struct(F.max("place").alias("last"), F.collect_list(F.struct("place", "v")).alias("vs")).alias("p"))
     weight = lambda p, e: F.call_function("shiftleft", e["v"], (p["last"] - e["place"]).cast("int"))
-    steps = steps.select(key, "part", "k", F.aggregate("p.vs", F.lit(0).cast("long"), lambda x, e: x + weight(F.col("p"), e)).alias("sum"))
-    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "k", "sum")), asc=False).alias("ss")).join(totals, key)
-    through = lambda start: F.aggregate("ss", start, lambda x, s: F.call_function("shiftright", x + s["sum"], s["k"]))
+    steps = steps.select(key, "part", "__steps", F.aggregate("p.vs", F.lit(0).cast("long"), lambda x, e: x + weight(F.col("p"), e)).alias("sum"))
+    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "__steps", "sum")), asc=False).alias("ss")).join(totals, key)
+    through = lambda start: F.aggregate("ss", start, lambda x, s: F.call_function("shiftright", x + s["sum"], s["__steps"]))
     # Averages never leave 0 to the largest value.
     known = listed.select(key, through(F.lit(0).cast("long")).alias("low"), through(F.when(F.col("total") > LOOK_BACK, F.col("most")).otherwise(0).cast("long")).alias("high"))
     sure = known.where("low = high").select(key, F.col("low").alias("avg"))
