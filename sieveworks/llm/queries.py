@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontam, jaccard, langid, lm, mixing, quality, sstable, tokencount, toxicity, urlfilter
+from sieveworks.llm import alignment, decontam, importance, jaccard, langid, lm, mixing, quality, setsketch, sstable, tokencount, toxicity, urlfilter
 from sieveworks.llm.store import fresh_path
 from sieveworks.llm.text import word_count
 
@@ -134,9 +134,61 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "n_matches", "n_substituted", "doc_start", "item_start")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
+
+
+#: crc32 is a table of 256 values, computed here, and a fold over the bytes of each distinct word.
+OP11_SQL = r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256))::BIGINT AS i))),
+found AS (SELECT d AS src, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+          FROM (SELECT 'docs' AS d, doc_id AS id, text FROM documents UNION ALL SELECT 'target', NULL, text FROM benchmark)),
+vocab AS (SELECT DISTINCT unnest(ws) AS word FROM found),
+hashed AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), 2 * i::INT + 1, 2))::BIGINT),
+             lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM vocab, crc),
+placed AS (SELECT src, id, unnest(ws) AS word FROM found),
+counts AS (SELECT bucket, count(*) FILTER (src = 'docs') AS s, count(*) FILTER (src = 'target') AS t FROM placed JOIN hashed USING (word) GROUP BY 1),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * (all_s + 10000.0::DOUBLE)) / ((s + 1)::DOUBLE * (all_t + 10000.0::DOUBLE))))::BIGINT AS gain FROM counts, totals),
+summed AS (SELECT id, sum(gain)::BIGINT AS total FROM placed JOIN hashed USING (word) JOIN gains USING (bucket) WHERE src = 'docs' GROUP BY id),
+weighed AS (SELECT f.id AS doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) > 0 THEN (total - ((total % len(ws)) + len(ws)) % len(ws)) // len(ws) ELSE 0 END::BIGINT AS weight,
+                   ('0x' || substr(sha256('2024:' || coalesce(f.id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h
+            FROM found f LEFT JOIN summed s ON f.id IS NOT DISTINCT FROM s.id WHERE src = 'docs'),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weighed),
+placed_rows AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END::BIGINT AS rank FROM placed_rows
+"""
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), 5, 85)
+
+
+#: All pairs by their shingles, and what links reach; small tables only.
+OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS t, len(sh) AS n FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+reach(node, other) AS (SELECT u, v FROM l UNION SELECT r.node, l.v FROM reach r JOIN l ON r.other = l.u)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) AS component_id, s.doc_id <= coalesce(m.least, s.doc_id) AS kept
+FROM s LEFT JOIN (SELECT node, min(other) AS least FROM reach GROUP BY 1) m ON s.doc_id = m.node
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_language_id, op4_token_shards, op5_lm_scores, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts, op10_decontaminate)}
+    found = (
+        op1_mix_sources, op2_toxicity, op3_language_id, op4_token_shards, op5_lm_scores, op6_url_filter, op7_quality_rules, op8_jaccard_join, op9_token_counts,
+        op10_decontaminate, op11_importance_resample, op12_align_tokenizers, op13_near_duplicates,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op11_importance_resample": OP11_SQL, "op13_near_duplicates": OP13_SQL}
