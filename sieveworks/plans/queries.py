@@ -443,7 +443,7 @@ def text_relevance(spark, sf):
 
 
 # Modules that register queries of their own.
-from sieveworks.plans import documents, language, learning, sites, statements, texts  # noqa: E402, F401
+from sieveworks.plans import documents, language, layouts, learning, sites, statements, texts  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,9 @@
 """Pages as tables of elements, and what is drawn from them: structure, content areas, items, forms, links, media.
 
 elements() gives one row for each element in document order; place and last bound its subtree, so an element lies within
-another if its place is between them. A page is parsed whole in one task; pages meet nothing but themselves."""
+another if its place is between them; path lists the places of all it lies in, outermost first, sibling its number among
+the children of its parent, and size the characters of source within it. A page is parsed whole in one task; pages
+meet nothing but themselves. stored() writes the table, so that several steps read it and parse nothing again."""
 
 from __future__ import annotations
 
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.scores import resolve_url
+from sieveworks.sources.store import write_table
 
 # Fixed values.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -23,6 +26,17 @@ BLOCKS = frozenset((
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td",
     "th", "thead", "title", "tr", "ul", "video",
 ))
+#: Of the elements whose end may be left out: what a start tag ends, and what it does not look beyond.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set()),
+}
+ENDS_PARAGRAPH = frozenset((
+    "address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
+    "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+))
+KEEPS_PARAGRAPH = frozenset(("button", "caption", "object", "table", "td", "th", "html"))
 SEARCH_NAMES = ("q", "query", "search", "s", "keyword", "keywords", "term", "text", "search_query", "kw", "wd", "k")
 IMAGE_ATTRIBUTES = ("src", "data-src", "data-lazy-src", "data-original", "data-lazy", "data-thumb", "data-thumbnail", "data-poster", "data-image", "poster")
 VIDEO_ATTRIBUTES = ("src", "data-src", "data-url", "data-video", "data-hls", "data-file")
@@ -30,21 +44,52 @@ MEDIA_DATA = ("data-src", "data-url", "data-video", "data-stream", "data-file",
 MEDIA_META = ("og:video", "og:video:url", "og:video:secure_url", "twitter:player:stream")
 SCHEMA_TYPES = ("Movie", "TVSeries", "TVEpisode", "VideoObject", "MediaObject", "Article", "SearchResultsPage", "ItemList", "WebPage")
 _SPACE = re.compile(r"\s+")
-SCHEMA = "page_id long, place int, parent int, last int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string"
+SCHEMA = "page_id long, place int, parent int, last int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string, sibling int, path array<int>, size int"
 
 
 class _Tree(HTMLParser):
-    """Rows of one page: [place, parent, last, depth, tag, attrs, texts]."""
+    """Rows of one page: [place, parent, last, depth, tag, attrs, texts, sibling, first and last offset of what is within]."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.children: dict[int, int] = {}
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.length = len(html)
+        self.feed(html)
+
+    def _offset(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _leave(self, depth: int) -> None:
+        """Ends all open elements from this depth on."""
+        for place in self.open[depth:]:
+            self.rows[place][2], self.rows[place][9] = len(self.rows) - 1, self._offset()
+        del self.open[depth:]
+
+    def _end_implied(self, names, stops) -> None:
+        depth = None
+        for i in range(len(self.open) - 1, -1, -1):
+            tag = self.rows[self.open[i]][4]
+            if tag in names:
+                depth = i
+            elif tag in stops:
+                break
+        if depth is not None:
+            self._leave(depth)
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_PARAGRAPH:
+            self._end_implied({"p"}, KEEPS_PARAGRAPH)
+        if tag in ENDS:
+            self._end_implied(*ENDS[tag])
         self._parted(tag)
-        place = len(self.rows)
-        self.rows.append([place, self.open[-1] if self.open else -1, place, len(self.open), tag, {k: v or "" for k, v in reversed(attrs)}, []])
+        place, parent = len(self.rows), self.open[-1] if self.open else -1
+        sibling = self.children[parent] = self.children.get(parent, -1) + 1
+        begin = self._offset() + len(self.get_starttag_text() or "")
+        self.rows.append([place, parent, place, len(self.open), tag, {k: v or "" for k, v in reversed(attrs)}, [], sibling, begin, begin])
         if tag not in VOID:
             self.open.append(place)
 
@@ -56,9 +101,7 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[i]][4] == tag:
-                for place in self.open[i:]:
-                    self.rows[place][2] = len(self.rows) - 1
-                del self.open[i:]
+                self._leave(i)
                 self._parted(tag)
                 return
 
@@ -74,7 +117,7 @@ class _Tree(HTMLParser):
     def done(self) -> list[tuple]:
         self.close()
         for place in self.open:
-            self.rows[place][2] = len(self.rows) - 1
+            self.rows[place][2], self.rows[place][9] = len(self.rows) - 1, self.length
         pieces = sorted((at, n, place, text) for place, row in enumerate(self.rows) for n, (at, text) in enumerate(row[6]))
         own: list[list[str]] = [[] for _ in self.rows]
         for _, _, place, text in pieces:
@@ -85,30 +128,36 @@ class _Tree(HTMLParser):
                 if up == place or not kept:
                     own[up].append(text)
                 up = self.rows[up][1]
-        out = []
-        for (place, parent, last, depth, tag, attrs, _), texts in zip(self.rows, own, strict=True):
+        out, paths = [], {-1: []}
+        for (place, parent, last, depth, tag, attrs, _, sibling, begin, end), texts in zip(self.rows, own, strict=True):
+            paths[place] = [*paths[parent], place]
             joined = "".join(texts)
             text = joined if tag in ("script", "style") else _SPACE.sub(" ", joined).strip()
-            out.append((place, parent, last, depth, tag, attrs.get("id"), list(dict.fromkeys(attrs.get("class", "").split())), list(attrs.items()), text))
+            out.append((place, parent, last, depth, tag, attrs.get("id"), list(dict.fromkeys(attrs.get("class", "").split())), list(attrs.items()), text, sibling, paths[parent], end - begin))
         return out
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """pages: page_id, html. A row for each element; null and empty pages give none. What is not closed ends with what is around it."""
+    """pages: page_id, html. A row for each element; null and empty pages give none. A start tag ends the paragraph, list item,
+    row or cell that it cannot lie in; what else is not closed ends with what is around it."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32())
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tree = _Tree()
-                tree.feed(html.as_py() or "")
+                tree = _Tree(html.as_py() or "")
                 if rows := [(page, *r) for r in tree.done()]:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(parse, SCHEMA)
 
 
+def stored(pages: DataFrame) -> DataFrame:
+    """The element table of pages, written once to the shared folder."""
+    return write_table(elements(pages), "elements")
+
+
 def has_class(name: str) -> Column:
     return F.array_contains("classes", name)
 

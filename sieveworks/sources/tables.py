@@ -94,6 +94,27 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"), (k % 20).alias("provider_id"), F.when(k % 3 != 0, F.concat(F.lit("/find?q={query}&n="), k.cast("string"))).alias("template"), (1000 + k * 10).alias("timeout_ms"))
 
 
+#: Stored selectors by the number of a configuration modulo 4: result, title, url, description, thumbnail.
+SELECTORS = (
+    ("nav li", "a", "a[href]", None, "img"),
+    ("body", "article > h1", "nav > ul > li > a", ".ad, #ad", None),
+    ("ul > li + li", "a[href^='/']", "li > a[href*=/]", "a", None),
+    ("nav li:first-child, .missing", "b, a", "*[href]", "footer", "img[src]"),
+)
+
+
+def config_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selectors of the first configuration of each provider."""
+    first = configs(spark, sf_dir).groupBy("provider_id").agg(F.min("id").alias("id"))
+    pick = lambda n: _pick(tuple(s[n] for s in SELECTORS), F.col("id") % len(SELECTORS))
+    return first.select("provider_id", "id", *[pick(n).alias(c) for n, c in enumerate(("result", "title", "url", "description", "thumbnail"))])
+
+
+def provider_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages, dealt to the providers of the configurations."""
+    return table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 20).alias("provider_id"), "url", "html")
+
+
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as corrections of providers' fields."""
     return table(spark, sf_dir, "events").select(
