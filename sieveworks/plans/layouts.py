@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sieveworks.operators import containers, layout
+from sieveworks.operators import containers, layout, semantic
 from sieveworks.plans.registry import query
-from sieveworks.sources import dom, selectors
+from sieveworks.sources import dom, selectors, state
 from sieveworks.sources import tables as T
 
 
@@ -110,3 +111,43 @@ def page_layouts(spark, sf):
 def sibling_similarity(spark, sf):
     """How alike the children of each element are built."""
     return layout.sibling_groups(_found(spark, sf))
+
+
+@query("SELECT pos AS page_id, CASE pos % 3 WHEN 0 THEN 'NextJS' WHEN 1 THEN 'NuxtJS' ELSE 'SPA' END AS source, CASE pos % 3 WHEN 0 THEN '$.feed.list[0]' WHEN 1 THEN '$.data.Videos[0]' ELSE '$.a.b.c[1].results[0]' END AS path, title, url, description, quality FROM results WHERE title IS NOT NULL")
+def page_state_items(spark, sf):
+    """Each result as a page whose script holds it, nested as one of three frameworks does."""
+    rows = T.results(spark, sf).where("title IS NOT NULL")
+    item = F.struct("title", F.col("url").alias("link"), F.col("description").alias("overview"), F.col("quality").alias("resolution"))
+    nested = lambda *names: _nested(F.array(item), names)
+    other = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.lit(1).alias("n"), F.lit(None).cast(rows.select(F.array(item)).schema[0].dataType).alias("results")), F.struct(F.lit(2).alias("n"), F.array(item).alias("results"))).alias("c")).alias("b")).alias("a")))
+    script = F.when(F.col("pos") % 3 == 0, F.concat(F.lit('<script id="__NEXT_DATA__">'), nested("props", "pageProps", "feed", "list"))).when(
+        F.col("pos") % 3 == 1, F.concat(F.lit("<script>window.__NUXT__="), nested("data", "Videos"), F.lit(";f({})"))
+    ).otherwise(F.concat(F.lit("<script>var x = 1; window.appState = "), other, F.lit("; g()")))
+    pages = rows.select(F.col("pos").alias("page_id"), F.concat(script, F.lit("</script>")).alias("html"))
+    return state.state_items(dom.elements(pages)).select("page_id", "source", "path", "title", "url", "description", "quality")
+
+
+def _nested(value, names):
+    """value as JSON within objects of these names, the first outermost."""
+    for n in reversed(names):
+        value = F.struct(value.alias(n))
+    return F.to_json(value)
+
+
+TOP_SQL = """WITH top AS (SELECT query, row_number() OVER (ORDER BY count(*) DESC, max(ts) DESC, query) AS query_id FROM search_log WHERE query <> '' GROUP BY query QUALIFY query_id <= 10),
+c AS (SELECT query_id, 'subject' AS kind, split_part(query, ' ', 1) AS term FROM top UNION ALL SELECT query_id, 'action', split_part(query, ' ', 2) FROM top UNION ALL SELECT query_id, 'compound', query FROM top UNION ALL SELECT query_id, 'context', split_part(query, ' ', 2) FROM top),
+r AS (SELECT pos, lower(coalesce(title, '')) AS t, lower(coalesce(description, '')) AS d FROM results)
+SELECT query_id, pos, least(100, sum(CASE kind WHEN 'context' THEN CASE WHEN contains(t || ' ' || d, term) THEN 8 ELSE 0 END WHEN 'subject' THEN CASE WHEN contains(t, term) THEN 25 WHEN contains(d, term) THEN 10 ELSE 0 END
+ WHEN 'action' THEN CASE WHEN contains(t, term) THEN 20 WHEN contains(d, term) THEN 8 ELSE 0 END ELSE CASE WHEN contains(t, term) THEN 30 WHEN contains(d, term) THEN 15 ELSE 0 END END))::DOUBLE AS score FROM r, c WHERE term <> '' GROUP BY 1, 2 HAVING score > 0"""
+
+
+@query(TOP_SQL)
+def semantic_relevance(spark, sf):
+    """All results against the concepts of the ten most searched queries: first word, second word, both together."""
+    log = T.search_log(spark, sf).where("query <> ''").groupBy("query").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    order = Window.orderBy(F.desc("n"), F.desc("last"), "query")
+    top = log.orderBy(F.desc("n"), F.desc("last"), "query").limit(10).withColumn("query_id", F.row_number().over(order).cast("long"))
+    first, second = F.split("query", " ")[0], F.get(F.split("query", " "), F.lit(1))
+    pairs = [F.struct(F.lit(k).alias("kind"), t.alias("term")) for k, t in (("subject", first), ("action", second), ("compound", F.col("query")), ("context", second))]
+    concepts = top.select("query_id", F.explode(F.array(*pairs)).alias("c")).select("query_id", "c.kind", "c.term")
+    return semantic.semantic_relevance(T.results(spark, sf).select("pos", "title", "description"), concepts)
