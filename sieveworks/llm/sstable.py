@@ -130,9 +130,7 @@ class Shard:
             yield from self.entries(b)
 
     def may_have(self, key: bytes) -> bool:
-        bits, probes = struct.unpack_from("<IB", self.data, self.bloom_at)
-        array = self.data[self.bloom_at + 5 : self.bloom_at + self.bloom_bytes]
-        return all(array[p >> 3] >> (p & 7) & 1 for p in _probes(key, bits, probes))
+        return bloom_has(self.data[self.bloom_at : self.bloom_at + self.bloom_bytes], key)
 
     def get(self, key: bytes) -> list[bytes]:
         """All values of a key: Bloom filter, then binary search of the index, then the one block, or more for repeats."""
@@ -162,8 +160,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
 
     tokenizer: a file of the tokenizers library whose tokens never cross ASCII white space. id_bytes 2 holds vocabularies
     up to 65,536, 4 any. Null and empty texts give the end id alone; a null id sorts first; repeated ids stay as
-    repeated entries, in the order of their texts' hashes, and may go on in the next shard. A very long text is one entry
-    and is encoded whole. Other columns are not read. Texts are dealt by ranges of id and hash and encoded where they arrive, so ids
+    repeated entries, in the order of their texts' hashes, and may go on in the next shard, as may equal rows. A very long text
+    is one entry and is encoded whole. Other columns are not read. Texts are dealt by ranges of id and hash and encoded where they arrive, so ids
     are never shuffled; one block and one slice of texts are in a task's memory. The number of shards follows the
     bytes of text. An empty table gives shards without documents."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
@@ -183,18 +181,19 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
         for record in build_shard(entries(), id_bytes):
             yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
 
-    order = F.col("doc_id").asc_nulls_first(), F.col("hash")
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    # The row's number cuts runs of equal rows, so that no key is too large for a shard.
+    order = F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("number")
+    ranged = rows.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     records = ranged.mapInArrow(build, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
-def _each_shard(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
+def _each_shard(spark: SparkSession, path: str | list[str], read, schema: str) -> DataFrame:
     """read(file name, Shard) gives tuples of schema; a file is one row, of about LARGE_SHARD of text at most."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = zip(*(f.split() for f in schema.split(",")), strict=True)
-        kinds = [{"string": pa.string(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}[t] for t in types]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[t] for t in types]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = read(name.as_py(), Shard(content.as_buffer()))
@@ -207,7 +206,8 @@ def _each_shard(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """For each document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Each file is parsed once; the offset of a shard is the sum of the shards before it, over one row for each shard."""
+    Each file is parsed once; the offset of a shard is the sum of the shards before it, in the order of the numbers in their
+    files' names, which is that of the ranges, over one row for each shard."""
 
     def digest(name: str, shard: Shard):
         start, total = 0, shard.n_ids
@@ -218,19 +218,49 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "shard string, place long, doc_id long, at long, n_tokens long, ids_crc32 long, shard_ids long"
     rows = write_table(_each_shard(spark, path, digest, schema), "shard-digests")
-    before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    shards = rows.where("place = 0").select("shard", F.col("doc_id").alias("first"), "shard_ids")
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    shards = rows.where("place = 0").select("shard", F.regexp_extract("shard", r"part-(\d+)[^/]*$", 1).cast("long").alias("number"), "shard_ids")
     shards = shards.select("shard", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("base"))
     return rows.join(shards, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """doc_id and ids (array of int) of the given identifiers, one row for each entry found; absent ones give none."""
-    keys = [key_of(i) for i in doc_ids]
+def index_shards(spark: SparkSession, path: str) -> DataFrame:
+    """A written table with a row for each shard that has documents: shard, first_key, last_key and its Bloom block, from one reading."""
+
+    def describe(name: str, shard: Shard):
+        if shard.blocks:
+            first = next(shard.entries(0))[0]
+            yield name, first, shard.last_keys[-1], bytes(shard.data[shard.bloom_at : shard.bloom_at + shard.bloom_bytes])
+
+    return write_table(_each_shard(spark, path, describe, "shard string, first_key binary, last_key binary, bloom binary"), "shard-index")
+
+
+def bloom_has(bloom: bytes | memoryview, key: bytes) -> bool:
+    """Whether a Bloom block may have been given the key."""
+    bits, probes = struct.unpack_from("<IB", bloom)
+    return all(bloom[5 + (p >> 3)] >> (p & 7) & 1 for p in _probes(key, bits, probes))
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None], index: DataFrame | None = None) -> DataFrame:
+    """doc_id and ids (array of int) of the given identifiers, one row for each entry found; absent ones give none.
+
+    With the table of index_shards only the shards whose key range and Bloom filter may hold one of the keys are read;
+    without it every shard is."""
+    keys, schema = [key_of(i) for i in doc_ids], "doc_id long, ids array<int>"
 
     def find(_: str, shard: Shard):
         for key in keys:
             for value in shard.get(key):
                 yield id_of(key), shard.ids(value).astype("<i4").tolist()
 
-    return _each_shard(spark, path, find, "doc_id long, ids array<int>")
+    if index is None:
+        return _each_shard(spark, path, find, schema)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield pa.record_batch([pa.array([s for s, a, b, bloom in rows if any(a <= k <= b and bloom_has(bloom, k) for k in keys)], pa.string())], ["shard"])
+
+    # One name for each shard that may hold a key: a few for each key asked.
+    names = sorted(r[0] for r in index.mapInArrow(held, "shard string").collect())
+    return _each_shard(spark, names, find, schema) if names else spark.createDataFrame([], schema)

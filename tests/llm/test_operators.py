@@ -126,6 +126,28 @@ def test_shards_hold_every_row_in_order(spark):
     assert Counter(r["doc_id"] for r in found) == {5: 3, 101: 1, None: 1} and [r["ids"] for r in found if r["doc_id"] == 101] == [[2]]
 
 
+@pytest.mark.parametrize("shards", [3, 4])
+def test_starts_where_ids_fill_several_shards(spark, shards):
+    rows = [(None, f"null {i} " + "word " * (i % 40)) for i in range(2000)] + [(i, "one two") for i in range(1500)] + [(7, "the same row")] * 1500 + [(9, f"repeated id {i}") for i in range(700)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, hash string, number int").repartition(5)
+    path, tokenizer = store.fresh_path(spark, "test-shards"), public_tokenizers.path("word_bpe_49k.json")
+    sstable.write_shards(docs, path, tokenizer, shards=shards)
+    got = sorted(sstable.read_digests(spark, path).collect(), key=lambda r: r["start"])
+    assert len(got) == len(rows)
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    index = sstable.index_shards(spark, path)
+    assert index.count() == shards  # no key fills one shard alone
+    asked = [7, 9, 1499, None, 424242, -5]
+    found = [sorted(map(repr, sstable.lookup(spark, path, asked, i).collect())) for i in (None, index)]
+    assert found[0] == found[1] and len(found[0]) == 1501 + 701 + 1 + 2000
+    assert sstable.lookup(spark, path, [424242], index).count() == 0
+
+
 def test_shards_of_nothing(spark):
     path = store.fresh_path(spark, "test-shards")
     sstable.write_shards(empty_documents(spark), path, public_tokenizers.path("word_bpe_49k.json"), shards=2)
