@@ -18,26 +18,24 @@ SHINGLE, PERCENT = 5, 80
 BROADCAST_ROWS = 500_000
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
-    """docs with a column that tells its rows apart, the name of that column, and whether it was added: doc_id where no id is
-    null or repeated, else a number of the row, of a name that docs does not have."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key and doc: doc holds all columns of a row of docs, whatever their names; key tells rows apart: doc_id where no id is
+    null or repeated, else a number of the row."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     if not jaccard.ids_repeat(docs):
-        return docs, "doc_id", False
-    name, taken = "row_number", {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return write_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name, True
+        return packed.select(F.col("doc.doc_id").cast("long").alias("key"), "doc")
+    return write_table(packed.select(F.monotonically_increasing_id().alias("key"), "doc"), "numbered")
 
 
-def _joined(docs: DataFrame, key: str, rows: DataFrame, how: str) -> DataFrame:
-    """docs joined with rows (__key, and columns whose names begin with two underscores)."""
-    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, F.col(key) == F.col("__key"), how)
+def _joined(keyed: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """keyed joined with rows (key, and columns not named doc)."""
+    return keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "key", how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (null and empty ones too) and those of which no language has LEAST_SHARE of the
     words. A null lang does not matter; the model learns from the labelled documents of this input. Repeated rows are
-    judged alike; other columns are kept, whatever their names."""
+    judged alike, ties between languages fall alike, very long texts are judged whole; other columns are kept, whatever their names."""
     model = langid.train(docs)
     labelled = langid.identify(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"}), model)
     kept = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
@@ -46,43 +44,45 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one row stays: that of the least doc_id, or the first row as stored where ids are null or repeat.
-    Rows without words link with nothing and stay. Equal rows are near duplicates like others; other columns are kept."""
-    columns = docs.columns
-    rows, key, _ = _keyed(docs)
-    found = jaccard.jaccard_classes(rows.select(F.col(key).cast("long").alias("id"), "text"), SHINGLE, PERCENT)
-    gone = write_table(found.where("id <> component").select(F.col("id").alias("__key")), "gone")
-    return _joined(rows, key, gone, "left_anti").select(*columns)
+    Rows without words link with nothing and stay. Equal rows are near duplicates like others; very long texts are compared
+    whole; other columns are kept, whatever their names."""
+    keyed = _keyed(docs)
+    found = jaccard.jaccard_classes(keyed.select(F.col("key").alias("id"), F.col("doc.text").alias("text")), SHINGLE, PERCENT)
+    gone = write_table(found.where("id <> component").select(F.col("id").alias("key")), "gone")
+    return _joined(keyed, gone, "left_anti").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that share a passage with a benchmark text. Null and empty texts share nothing and stay;
-    repeated rows go or stay together; an empty benchmark drops nothing."""
-    columns = docs.columns
-    rows, key, _ = _keyed(docs)
+    repeated rows go or stay together; very long texts are searched whole; an empty benchmark drops nothing; other columns
+    are kept, whatever their names."""
+    keyed = _keyed(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    leaks = decontam.find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), bench)
-    gone = write_table(leaks.select(F.col("doc_id").alias("__key")).distinct(), "gone")
-    return _joined(rows, key, gone, "left_anti").select(*columns)
+    leaks = decontam.find_leaks(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")), bench)
+    gone = write_table(leaks.select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return _joined(keyed, gone, "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each row as often as the mix takes it; those that it takes 0 times go. Null sources are one source; rows
-    without words are free; equal rows are taken each for itself; other columns are kept."""
-    columns = docs.columns
-    keyed, key, _ = _keyed(docs)
+    without words are free; equal rows are taken each for itself, ties fall by id and text; very long texts count whole;
+    other columns are kept, whatever their names."""
+    keyed = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
     weights = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.when(F.max("quality") >= 1, 2.0).otherwise(0.5).alias("quality"))
-    rows = keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing.text_tie(F.col("text")).alias("tie"), F.col(key).alias("__key"))
+    text = F.col("doc.text")
+    rows = keyed.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), word_count(text).alias("size"), mixing.text_tie(text).alias("tie"), "key")
     rows = rows.join(weights, F.col("doc_id") == F.col("label_id"), "left")
-    rows = rows.select("doc_id", "source", "size", "tie", F.coalesce("quality", F.lit(1.0)).alias("quality"), "__key")
-    taken = write_table(mixing.take_counts(rows).where("times > 0").select("__key", F.col("times").alias("__times")), "taken")
-    mixed = _joined(keyed, key, taken, "inner")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*columns)
+    rows = rows.select("doc_id", "source", "size", "tie", F.coalesce("quality", F.lit(1.0)).alias("quality"), "key")
+    taken = write_table(mixing.take_counts(rows).where("times > 0").select("key", "times"), "taken")
+    mixed = _joined(keyed, taken, "inner").select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return mixed.select("doc.*")
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes all rows as token shards and returns what a reader finds in them, a row for each. Null and empty texts have the
-    end id alone; repeated rows are repeated entries; other columns are not written."""
+    end id alone; repeated rows are repeated entries, and so may go on in the next shard; a very long text is one entry; other
+    columns are not written."""
     path = fresh_path(spark, "pipeline-shards")
     sstable.write_shards(docs.select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
     return sstable.read_digests(spark, path)
