@@ -335,6 +335,8 @@ def test_leaks_with_substitutions(spark):
 @pytest.mark.parametrize("make", [odd_documents, empty_documents])
 def test_stages_take_odd_tables(spark, make):
     docs = make(spark).withColumn("__own_x", F.lit(1)).withColumn("times", F.lit(7)).withColumn("__row", F.col("doc_id")).withColumn("ROW_NUMBER", F.lit("n"))
+    for name in ("__times", "__key", "__copy", "key", "doc"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
     for name, stage in corpus_pipeline.STAGES:
         out = store.write_table(stage(spark, docs, "/root/testdata/sf0.001"), f"test-{name}")
         if name != "token_shards":
@@ -342,6 +344,7 @@ def test_stages_take_odd_tables(spark, make):
             docs = out
     rows = docs.collect()
     assert all(r["times"] == 7 and r["__row"] == r["doc_id"] and r["ROW_NUMBER"] == "n" for r in rows)
+    assert all(r[n] == f"own {n}" for r in rows for n in ("__times", "__key", "__copy", "key", "doc"))
     kept = [r["doc_id"] for r in rows]
     assert 103 not in kept and 100 not in kept
     assert out.count() == len(kept)
