@@ -6,38 +6,33 @@ from pyspark.sql import functions as F
 
 from sieveworks.plans.registry import query
 from sieveworks.sources import dom
+from sieveworks.sources import pages as P
 from sieveworks.sources import tables as T
 
-#: What is put before each page, so that all kinds of elements occur.
-EXTRA = (
-    '<form action="/find" class="search"><input name="query"></form><nav><a href="/m1">One</a><a href="/m2">Two</a></nav>'
-    '<div class="card"><h3>Card A</h3><a href="/a1">go</a><img src="/i.jpg"><span class="duration">10:05</span></div><div class="card"><h3>Card B</h3><a href="/b1">go</a></div>'
-    '<video src="/v.mp4"></video><div data-title="Data" data-url="/d"></div><a rel="next" href="/p2">more</a>'
-    '<script type="application/ld+json">{"@type":"Movie","name":"Film","url":"/film"}</script><script>var items = [{"title":"Item","url":"/item"}];</script>'
-)
-
 
 def _pages(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", F.concat(F.lit(EXTRA), "html").alias("html"))
+    return T.table(spark, sf, "pages").select("page_id", "html")
 
 
 def _elements(spark, sf):
-    return dom.elements(_pages(spark, sf))
+    return dom.stored(_pages(spark, sf))
 
 
 def _base():
     return F.lit("https://e.net/")
 
 
-_COUNT = lambda tag: f"len(regexp_extract_all(h, '(?i)<{tag}[\\s>]'))"
-_EXTRA = EXTRA.replace("'", "''")
+_COUNT = lambda tag: f"len(regexp_extract_all(html, '(?i)<{tag}[\\s>]'))"
+#: Addresses and texts of the links in the first menu, which the stored pages write as list items.
+_LINKS = """l AS (SELECT page_id, unnest(regexp_extract_all(n, '(?s)<li><a href="([^"]*)">(.*?)</a></li>', 1)) AS href, replace(replace(replace(unnest(regexp_extract_all(n, '(?s)<li><a href="([^"]*)">(.*?)</a></li>', 2)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text,
+ generate_subscripts(regexp_extract_all(n, '(?s)<li><a href="([^"]*)">(.*?)</a></li>', 1), 1) AS i FROM (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS n FROM pages))"""
 
 
-@query(f"WITH m AS (SELECT page_id, '{_EXTRA}' || html AS h FROM pages) SELECT page_id, " + ", ".join(f"{_COUNT(t)} AS n_{t}" for t in ("form", "a", "script", "iframe", "img", "video")) + ", CASE WHEN " + _COUNT("iframe") + " = 0 THEN 0 WHEN " + _COUNT("iframe") + " < 3 THEN 1 ELSE 2 END AS frame_depth FROM m")
+@query("SELECT page_id, " + ", ".join(f"{_COUNT(t)} AS n_{t}" for t in ("form", "a", "script", "iframe", "img", "video")) + ", CASE WHEN " + _COUNT("iframe") + " = 0 THEN 0 WHEN " + _COUNT("iframe") + " < 3 THEN 1 ELSE 2 END AS frame_depth FROM pages")
 def dom_structure(spark, sf):
     from sieveworks.functions.urls import iframe_depth
 
-    found = dom.structure(_elements(spark, sf))
+    found = dom.structure(dom.elements(_pages(spark, sf)))
     return found.select("page_id", "n_form", "n_a", "n_script", "n_iframe", "n_img", "n_video", iframe_depth(F.col("n_iframe")).alias("frame_depth"))
 
 
@@ -46,27 +41,31 @@ def dom_areas(spark, sf):
     return dom.content_areas(_elements(spark, sf))
 
 
-@query("SELECT page_id, unnest(['Card A', 'Card B']) AS title, unnest(['https://e.net/a1', 'https://e.net/b1']) AS url, unnest(['https://e.net/i.jpg', NULL]) AS thumbnail, unnest(['10:05', NULL]) AS duration FROM pages")
+@query(f"WITH {_LINKS} SELECT page_id, text AS title, 'https://e.net' || href AS url, NULL::VARCHAR AS thumbnail, nullif(regexp_extract(text, '(\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?)'), '') AS duration FROM l WHERE length(text) >= 2")
 def dom_items(spark, sf):
-    return dom.items(_elements(spark, sf), dom.has_class("card"), _base()).select("page_id", "title", "url", "thumbnail", "duration")
+    """The list items of pages as results."""
+    return dom.items(_elements(spark, sf), F.col("tag") == "li", _base()).select("page_id", "title", "url", "thumbnail", "duration")
 
 
-@query("SELECT page_id, '/find' AS action, 'query' AS name, 'https://e.net/find?query=old+film' AS url FROM pages")
+@query("""SELECT page_id, action, 'q' AS name, 'https://e.net' || action || '?q=old+film' AS url FROM (SELECT page_id, regexp_extract(html, '(?i)<form[^>]*\\saction="(/[^"?]*search[^"?]*)"', 1) AS action FROM pages) WHERE action <> ''""")
 def dom_search_forms(spark, sf):
     return dom.search_forms(_elements(spark, sf), _base(), F.lit("old film"))
 
 
-@query("SELECT page_id, unnest(['One', 'Two']) AS text, unnest(['/m1', '/m2']) AS url FROM pages")
+@query(f"WITH {_LINKS} SELECT page_id, text, href AS url FROM l")
 def dom_menus(spark, sf):
     return dom.menu_links(_elements(spark, sf)).select("page_id", "text", "url")
 
 
-@query("SELECT page_id, 1 AS rank, 'https://e.net/p2' AS url FROM pages")
+@query(f"""WITH {_LINKS}, u AS (SELECT page_id, 'https://e.net' || href AS url, min(i) AS i FROM l WHERE (contains(lower(text), 'next') OR contains(text, '>')) AND href <> '' AND NOT starts_with(href, '#') GROUP BY ALL)
+ SELECT * FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS rank, url FROM u) WHERE rank <= 5""")
 def dom_further_pages(spark, sf):
     return dom.page_links(_elements(spark, sf), _base())
 
 
-@query("SELECT page_id, 'linked' AS kind, 'Film' AS title, '/film' AS url FROM pages UNION ALL SELECT page_id, 'embedded', 'Item', '/item' FROM pages UNION ALL SELECT page_id, 'data', 'Data', '/d' FROM pages")
+@query(r"""SELECT page_id, 'data' AS kind, regexp_extract(tag, '\sdata-title="([^"]*)"', 1) AS title, regexp_extract(tag, '\sdata-url="([^"]*)"', 1) AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '<\w[^>]*\sdata-title="[^>]*>')) AS tag FROM pages) WHERE title <> '' AND url <> ''
+ UNION ALL SELECT page_id, 'linked', regexp_extract(j, '"name"\s*:\s*"([^"]*)"', 1) AS t, regexp_extract(j, '"url"\s*:\s*"([^"]*)"', 1) AS u FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld.json">(.*?)</script>', 1)) AS j FROM pages) WHERE t <> '' AND u <> ''
+ UNION ALL SELECT page_id, 'embedded', regexp_extract(j, '"title"\s*:\s*"([^"]*)"', 1) AS t, regexp_extract(j, '"url"\s*:\s*"([^"]*)"', 1) AS u FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)(?:var|const)\s+(?:videos?|movies?|items?|results?|data)\s*=\s*(\[\{.+?\}\]);', 1)) AS j FROM pages) WHERE t <> '' AND u <> ''""")
 def dom_data(spark, sf):
     found = _elements(spark, sf)
     parts = {"linked": dom.linked_data(found), "embedded": dom.embedded_items(found), "data": dom.data_items(found)}
@@ -74,21 +73,24 @@ def dom_data(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("SELECT page_id, 'video_tag' AS method, 'https://e.net/v.mp4' AS url FROM pages")
+@query(r"""SELECT page_id, lower(tag) || '_tag' AS method, 'https://e.net' || src AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(video|source)\s[^>]*src="(/[^"]*)"', 1)) AS tag, unnest(regexp_extract_all(html, '(?i)<(video|source)\s[^>]*src="(/[^"]*)"', 2)) AS src FROM pages)
+ UNION ALL SELECT page_id, 'json_ld', unnest(regexp_extract_all(j, '"(?:contentUrl|embedUrl|url|contentURL)"\s*:\s*"(http[^"]+)"', 1)) FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld.json">(.*?)</script>', 1)) AS j FROM pages)
+ UNION ALL SELECT page_id, 'meta_tag', trim(u) FROM (SELECT page_id, unnest(regexp_extract_all(html, '<meta property="(?:og:video|og:video:url|og:video:secure_url|twitter:player:stream)" content="([^"]*)"', 1)) AS u FROM pages) WHERE starts_with(trim(u), 'http')""")
 def dom_media(spark, sf):
-    return dom.media_candidates(_elements(spark, sf), _base()).where("method <> 'json_ld'").select("page_id", "method", "url")
+    return dom.media_candidates(_elements(spark, sf), _base()).select("page_id", "method", "url")
 
 
-@query("SELECT page_id, 'https://cdn.example.net/' || page_id || '/long-name.mp4' AS url FROM pages")
+@query("SELECT page_id, url || '/long-name.mp4' AS url FROM pages WHERE starts_with(url, 'http')")
 def hidden_media(spark, sf):
-    """Addresses written as base64 in page sources."""
-    url = F.concat(F.lit("https://cdn.example.net/"), F.col("page_id").cast("string"), F.lit("/long-name.mp4"))
-    rows = T.table(spark, sf, "pages").select("page_id", F.concat(F.lit("x = atob('"), F.base64(url.cast("binary")), F.lit("');"), "html").alias("h"))
+    """Addresses below each page's own, written as base64 in its source."""
+    url = F.concat("url", F.lit("/long-name.mp4"))
+    rows = T.table(spark, sf, "pages").select("page_id", F.concat(F.lit("x = atob('"), F.regexp_replace(F.base64(url.cast("binary")), r"\s", ""), F.lit("');"), "html").alias("h"))
     return rows.select("page_id", F.explode(dom.decoded_urls(F.col("h"))).alias("url"))
 
 
-@query("SELECT page_id, 0 AS place, 'Page ' || page_id AS title, 'https://e.net/' || page_id AS url, '2021' AS year FROM pages UNION ALL SELECT page_id, 1, 'Atom', 'https://e.net/atom', '2022' FROM pages")
+@query("SELECT page_id, 0 AS place, t AS title, url, regexp_extract(url, '([0-9]{1,4})', 1) AS year FROM (SELECT page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS t, url FROM pages) WHERE t <> '' AND url <> ''")
 def feed_entries(spark, sf):
-    i = F.col("page_id").cast("string")
-    xml = F.concat(F.lit("<rss><item><title>Page "), i, F.lit("</title><link>https://e.net/"), i, F.lit('</link><pubDate>2021-01-02</pubDate></item><entry><title>Atom</title><link href="https://e.net/atom"/><updated>2022-02-02</updated></entry></rss>'))
+    """Each page's title and address as a feed's item, dated by the first number of its address."""
+    year, title = F.regexp_extract("url", "([0-9]{1,4})", 1), P.page_title(F.col("html"))
+    xml = F.concat(F.lit("<rss><item><title><![CDATA["), title, F.lit("]]></title><link>"), F.col("url"), F.lit("</link><pubDate>"), year, F.lit("</pubDate></item></rss>"))
     return dom.feed_items(T.table(spark, sf, "pages").select("page_id", xml.alias("xml"))).select("page_id", "place", "title", "url", "year")

@@ -91,10 +91,10 @@ def learned_ranking(spark, sf):
 _OPTION = "CASE lower(quality) " + " ".join(f"WHEN '{q}' THEN {w}" for q, w in D.QUALITY_WEIGHTS.items()) + " ELSE 0.3 END::DOUBLE * 0.7::DOUBLE + CASE WHEN size IS NULL THEN 0 WHEN size > 10000000000 THEN 0.9 WHEN size > 5000000000 THEN 0.8 WHEN size > 2000000000 THEN 0.7 WHEN size > 1000000000 THEN 0.6 ELSE 0.5 END::DOUBLE * 0.3::DOUBLE"
 
 
-@query(f"SELECT grp, pos FROM (SELECT pos, pos % 30 AS grp, {_OPTION} AS s FROM (SELECT pos, quality, CASE WHEN pos % 7 <> 0 THEN views * 2000 END AS size FROM results WHERE pos % 3 <> 0)) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(s, 6) DESC, pos) = 1")
+@query(f"SELECT grp, pos FROM (SELECT pos, pos % 30 AS grp, {_OPTION} AS s FROM (SELECT pos, quality, CASE WHEN pos % 7 <> 0 THEN views * 2000 END AS size FROM results WHERE seeders IS DISTINCT FROM 0)) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(s, 6) DESC, pos) = 1")
 def quality_choice(spark, sf):
-    """The best available option of each group; every third is not available."""
-    rows = T.results(spark, sf).where("pos % 3 <> 0").withColumn("size", F.when(F.col("pos") % 7 != 0, F.col("views") * 2000))
+    """The best available option of each group; one that nobody shares is not available."""
+    rows = T.results(spark, sf).where("seeders IS DISTINCT FROM 0").withColumn("size", F.when(F.col("pos") % 7 != 0, F.col("views") * 2000))
     rows = rows.select("pos", (F.col("pos") % 30).alias("grp"), F.round(D.quality_option_score(F.coalesce("quality", F.lit("")), F.col("size")), 6).alias("s"))
     best = rows.groupBy("grp").agg(F.max(F.struct("s", (-F.col("pos")).alias("first"))).alias("b"))
     return best.select("grp", (-F.col("b.first")).alias("pos"))
@@ -303,12 +303,12 @@ def learning_stats(spark, sf):
     )
 
 
-@query("WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#:]*)', 1) AS host FROM likes WHERE pos % 4 = 0), s AS (SELECT pos, rating * 4 + CASE WHEN regexp_extract(url, '://([^/?#:]*)', 1) IN (SELECT host FROM h) THEN 50 ELSE 0 END AS score FROM results) SELECT pos, round(score, 6)::DOUBLE AS score FROM s WHERE score > 40 ORDER BY score DESC, pos LIMIT 50")
+@query("WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#:]*)', 1) AS host FROM likes), s AS (SELECT pos, rating * 4 + CASE WHEN regexp_extract(url, '://([^/?#:]*)', 1) IN (SELECT host FROM h) THEN 50 ELSE 0 END AS score FROM results) SELECT pos, round(score, 6)::DOUBLE AS score FROM s WHERE score > 40 ORDER BY score DESC, pos LIMIT 50")
 def preferred_hosts(spark, sf):
     """Results lifted by 50 where their host was liked, over 40, the best 50."""
     from sieveworks.functions.scores import url_host
 
-    hosts = T.likes(spark, sf).where("pos % 4 = 0").select(url_host(F.col("url")).alias("host")).distinct().withColumn("liked", F.lit(50.0))
+    hosts = T.likes(spark, sf).select(url_host(F.col("url")).alias("host")).distinct().withColumn("liked", F.lit(50.0))
     rows = T.results(spark, sf).withColumn("host", url_host(F.col("url"))).join(hosts, "host", "left")
     rows = rows.select("pos", F.round(F.col("rating") * 4 + F.coalesce("liked", F.lit(0.0)), 6).alias("score"))
     return rows.where("score > 40").orderBy(F.desc("score"), "pos").limit(50)

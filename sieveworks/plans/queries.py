@@ -171,10 +171,10 @@ def simple_relevance(spark, sf):
     return T.results(spark, sf).select("pos", S.simple_relevance(F.col("title"), QUERY).alias("relevance"))
 
 
-@query("SELECT pos, ((length(lower(title)) - length(replace(lower(title), 'th', ''))) / 2)::INT AS n_th, CASE WHEN length(title) <= 3 THEN 0 WHEN length(title) <= 5 THEN 1 ELSE 2 END AS edits, levenshtein(substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 12), 'theorand') AS distance FROM results")
+@query("SELECT pos, ((length(lower(title)) - length(replace(lower(title), 'th', ''))) / 2)::INT AS n_th, CASE WHEN length(title) <= 3 THEN 0 WHEN length(title) <= 5 THEN 1 ELSE 2 END AS edits, levenshtein(substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 50), 'theorand') AS distance FROM results")
 def text_measures(spark, sf):
     t = F.col("title")
-    return T.results(spark, sf).select("pos", S.occurrences(F.lower(t), "th").alias("n_th"), S.most_edits(t).alias("edits"), F.levenshtein(F.substring(S.normal_title(t), 1, 12), F.lit("theorand")).alias("distance"))
+    return T.results(spark, sf).select("pos", S.occurrences(F.lower(t), "th").alias("n_th"), S.most_edits(t).alias("edits"), F.levenshtein(S.normal_title(t), F.lit("theorand")).alias("distance"))
 
 
 @query("SELECT pos, CASE WHEN length(t) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) END AS n_grams FROM (SELECT pos, lower(title) AS t FROM results)")
@@ -320,12 +320,17 @@ def health_score(spark, sf):
     return scored.select("provider_id", F.round("score", 6).alias("score"), "mean_ms", "aggressive", "delay_ms")
 
 
-@query("""SELECT id, rate > 0.5 AND attempt < CASE WHEN rate > 0.8 THEN 3 ELSE 2 END OR rate <= 0.5 AND attempt < 1 AS retry,
- CASE WHEN rate > 0.5 AND attempt < CASE WHEN rate > 0.8 THEN 3 ELSE 2 END OR rate <= 0.5 AND attempt < 1 THEN least(1000 * pow(2, attempt), 10000)::BIGINT ELSE 0 END AS delay_ms
- FROM (SELECT id, id % 4 AS attempt, CASE WHEN searches > 0 THEN 1 - failed / searches ELSE 0 END AS rate FROM providers)""")
+#: What stands for the last error of a provider, by its number.
+ERRORS = ("HTTP 403", "timeout", "Blocked by host", "connection reset", "HTTP 404", "CAPTCHA")
+
+
+@query(f"""SELECT id, retry, CASE WHEN retry THEN least(1000 * pow(2, attempt), 10000)::BIGINT ELSE 0 END AS delay_ms FROM (SELECT id, attempt, attempt < CASE WHEN rate > 0.8 THEN 3 WHEN rate > 0.5 THEN 2 ELSE 1 END
+ AND NOT coalesce(regexp_matches(lower(CASE id % 7 {" ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ERRORS))} END), '403|404|blocked|cloudflare|captcha'), false) AS retry
+ FROM (SELECT id, id % 4 AS attempt, CASE WHEN searches > 0 THEN 1 - failed / searches ELSE 0 END AS rate FROM providers))""")
 def retry_decision(spark, sf):
     rate = F.when(F.col("searches") > 0, 1 - F.col("failed") / F.col("searches")).otherwise(0.0)
-    rows = T.providers(spark, sf).select("id", health.retry_decision(rate, F.col("id") % 4, F.lit(None).cast("string")).alias("d"))
+    error = F.get(F.array(*map(F.lit, ERRORS)), (F.col("id") % 7).cast("int"))
+    rows = T.providers(spark, sf).select("id", health.retry_decision(rate, F.col("id") % 4, error).alias("d"))
     return rows.select("id", "d.retry", "d.delay_ms")
 
 

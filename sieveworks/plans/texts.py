@@ -49,7 +49,7 @@ def url_media_tests(spark, sf):
  CASE WHEN {_has(("2160", "4k"))} THEN '4K' WHEN strpos(url, '1080') > 0 THEN '1080p' WHEN strpos(url, '720') > 0 THEN '720p' WHEN strpos(url, '480') > 0 THEN '480p' WHEN strpos(url, '360') > 0 THEN '360p' WHEN {_has((".m3u8", ".mpd"))} THEN 'Auto' ELSE 'Unknown' END AS resolved_quality,
  CASE WHEN strpos(url, '.m3u8') > 0 THEN 'HLS' WHEN strpos(url, '.mp4') > 0 THEN 'MP4' WHEN strpos(url, '.webm') > 0 THEN 'WebM' ELSE 'Unknown' END AS pattern,
  CASE WHEN seeders * 10000 > 10000000 THEN 8000 WHEN seeders * 10000 > 5000000 THEN 4000 WHEN seeders * 10000 > 1000000 THEN 2000 ELSE 1000 END AS bitrate,
- CASE WHEN strpos(url, '.mp4') > 0 THEN 'video/mp4' WHEN strpos(url, '.webm') > 0 THEN 'video/webm' ELSE 'application/octet-stream' END AS mime FROM u WHERE pos % 1440 <> 1440""")
+ CASE WHEN strpos(url, '.mp4') > 0 THEN 'video/mp4' WHEN strpos(url, '.webm') > 0 THEN 'video/webm' ELSE 'application/octet-stream' END AS mime FROM u""")
 def url_media_labels(spark, sf):
     u = F.col("url")
     ext = F.concat(F.lit("."), U.download_format(u))
@@ -114,20 +114,20 @@ def query_keywords(spark, sf):
 @query(r"""WITH w AS (SELECT pos, list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), '\W+'), lambda x: length(x) > 1 AND abs(length(x) - 5) <= 2) AS ws FROM results), d AS (SELECT pos, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
  b AS (SELECT pos, w FROM d WHERE levenshtein(w, 'thore') <= 1 QUALIFY row_number() OVER (PARTITION BY pos ORDER BY levenshtein(w, 'thore'), i) = 1)
  SELECT r.pos, b.w AS near, round(CASE WHEN t = 'ben ora' THEN 1 WHEN t = '' THEN 0 WHEN starts_with(t, 'ben ora') OR ends_with(t, 'ben ora') OR starts_with('ben ora', t) OR ends_with('ben ora', t) THEN 0.9 WHEN contains(t, 'ben ora') OR contains('ben ora', t) THEN 0.85
- ELSE 1 - levenshtein(t, 'ben ora') / greatest(length(t), 7) END, 6)::DOUBLE AS similar FROM (SELECT pos, substr(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), 1, 12) AS t FROM results) r LEFT JOIN b USING (pos)""")
+ ELSE 1 - levenshtein(t, 'ben ora') / greatest(length(t), 7) END, 6)::DOUBLE AS similar FROM (SELECT pos, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS t FROM results) r LEFT JOIN b USING (pos)""")
 def text_near(spark, sf):
     t = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")  # distances of the two engines agree on ASCII
-    return T.results(spark, sf).select("pos", M.fuzzy_match(t, F.lit("thore")).alias("near"), F.round(M.similarity(F.substring(t, 1, 12), F.lit("ben ora")), 6).alias("similar"))
+    return T.results(spark, sf).select("pos", M.fuzzy_match(t, F.lit("thore")).alias("near"), F.round(M.similarity(t, F.lit("ben ora")), 6).alias("similar"))
 
 
-@query("""WITH x AS (SELECT pos, lower(substr(title, 1, 6)) AS t, lower(url) AS u, lower(title || ' ' || coalesce(description, '')) AS c, lower(title || ' ' || coalesce(description, '') || ' ' || url) AS whole FROM results)
+@query("""WITH x AS (SELECT pos, lower(title) AS t, lower(url) AS u, lower(title || ' ' || coalesce(description, '')) AS c, lower(title || ' ' || coalesce(description, '') || ' ' || url) AS whole FROM results)
  SELECT pos, round((SELECT sum(CASE WHEN t = w THEN 1 WHEN contains(t, w) THEN 0.7 WHEN contains(u, w) THEN 0.5 WHEN contains(w, t) OR length(t) >= 4 AND length(w) >= 4 AND substr(t, 1, 4) = substr(w, 1, 4) THEN 0.3 ELSE 0 END) FROM (SELECT unnest(['the', 'doc-1', 'thereof']) AS w)), 6)::DOUBLE AS tab,
  6.0::DOUBLE * (contains(c, 'then')::INT + contains(c, 'and')::INT) AS concepts, contains(whole, 'then') OR contains(whole, 'onion') AS matches FROM x""")
 def text_matches(spark, sf):
     words = F.array(*map(F.lit, ("the", "doc-1", "thereof")))
     whole = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit("")), "url"))
     return T.results(spark, sf).select(
-        "pos", F.round(M.tab_relevance(F.substring("title", 1, 6), F.col("url"), words), 6).alias("tab"),
+        "pos", F.round(M.tab_relevance(F.col("title"), F.col("url"), words), 6).alias("tab"),
         M.concept_similarity(F.col("title"), F.col("description"), F.array(*map(F.lit, ("then", "of", "and", "then")))).alias("concepts"), S.any_of(whole, ("then", "onion")).alias("matches"),
     )
 
@@ -141,12 +141,12 @@ def query_fits(spark, sf):
 
 
 @query(f"""WITH m AS (SELECT pos, pos % 50 AS grp, {_SQL_URL} AS url FROM results), s AS (SELECT *, CASE WHEN {_has(("2160", "4k"))} THEN 100 WHEN strpos(url, '1080') > 0 THEN 80 WHEN strpos(url, '720') > 0 THEN 60 WHEN strpos(lower(url), 'hd') > 0 THEN 60 WHEN strpos(url, '480') > 0 THEN 40 WHEN strpos(url, '360') > 0 THEN 25 WHEN strpos(url, '240') > 0 THEN 15 ELSE 30 END + CASE WHEN {_has((".m3u8", ".mpd", "/hls/", "/dash/"))} THEN 5 ELSE 0 END AS sc,
- NOT {_has(U.PAGE_PARTS)} AND (regexp_matches(lower(url), '\\.({"|".join(U.VIDEO_EXTENSIONS)})') OR {_has(U.PLAYABLE_PARTS)}) AS ok FROM m WHERE pos % 12 NOT IN (0, 4, 5, 6, 8, 9, 11) OR pos < 50)
+ NOT {_has(U.PAGE_PARTS)} AND (regexp_matches(lower(url), '\\.({"|".join(U.VIDEO_EXTENSIONS)})') OR {_has(U.PLAYABLE_PARTS)}) AS ok FROM m)
  SELECT grp, pos FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ok DESC, CASE WHEN ok THEN sc END DESC NULLS LAST, pos) = 1""")
 def media_best(spark, sf):
     """The best playable candidate of each group, or its first where none is playable."""
     u = F.col("url")
-    rows = _urls(spark, sf).where("pos % 12 NOT IN (0, 4, 5, 6, 8, 9, 11) OR pos < 50")
+    rows = _urls(spark, sf)
     score = S.media_score(u) + F.when(S.is_stream_url(u), 5).otherwise(0)
     key = F.struct(U.is_playable(u).alias("ok"), F.when(U.is_playable(u), score).otherwise(0).alias("score"), (-F.col("pos")).alias("first"))
     return rows.groupBy((F.col("pos") % 50).alias("grp")).agg(F.max(key).alias("k")).select("grp", (-F.col("k.first")).alias("pos"))
