@@ -77,26 +77,30 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-LISTED_HOST = "spam-farm."
+#: Listed are the canonical URLs whose md5 begins so, and as many more that no page has.
+LISTED_MARK, UNSEEN = "7", 5000
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list holds the canonical URLs of pages on the hosts named spam-farm."""
+    """The list holds a sixteenth of all canonical URLs, by hash, and others that no page has."""
     pages = _table(spark, sf_dir, "pages", "page_id", "url")
-    listed = pages.select(urlfilter.canonical(F.col("url")).alias("canonical")).where(F.col("canonical").startswith(LISTED_HOST))
-    return urlfilter.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    seen = pages.select(urlfilter.canonical(F.col("url")).alias("canonical")).where(F.md5("canonical").startswith(LISTED_MARK))
+    unseen = spark.range(UNSEEN).select(F.concat(F.lit("unseen-"), F.col("id").cast("string"), F.lit(".example.org/list")).alias("canonical"))
+    return urlfilter.judge_urls(pages, seen.unionByName(unseen)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP6_SQL = f"""
 WITH parts AS (
   SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\\?([^#]*)', 1), '(^|&)(utm_[^&=]*|ref|gclid|fbclid)(=[^&]*)?', '', 'g'), '^&+', '') AS query FROM pages),
+named AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM parts),
+listed AS (SELECT DISTINCT canonical FROM named WHERE starts_with(md5(canonical), '{LISTED_MARK}') UNION SELECT 'unseen-' || i || '.example.org/list' FROM (SELECT unnest(range({UNSEEN})) AS i)),
 rules(verdict, rhost, rpath) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'), ('block','example.net','/de/8'), ('block','org','/es/')),
 fits AS (SELECT page_id, url, max_by((rhost || rpath, verdict), length(rhost || rpath)) AS best
          FROM (SELECT DISTINCT page_id, url, host, path FROM parts) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
-SELECT p.page_id, host, path, best[1] AS rule,
-       coalesce(best[2], CASE WHEN starts_with(regexp_replace(host, '^www\\.', '') || '/', '{LISTED_HOST}') THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND p.url = f.url
+SELECT p.page_id, host, path, best[1] AS rule, coalesce(best[2], CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM named p LEFT JOIN fits f ON p.page_id = f.page_id AND p.url = f.url LEFT JOIN listed l ON p.canonical = l.canonical
 """
 
 
@@ -171,7 +175,8 @@ def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All pairs by their shingles, and what links reach; small tables only.
 OP13_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
 e AS (SELECT doc_id, unnest(sh) AS t, len(sh) AS n FROM s),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),

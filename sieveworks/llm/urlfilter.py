@@ -99,12 +99,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULE
 
     The longest fitting rule decides; where none fits, a page whose canonical URL is in listed (column canonical) is
     blocked, others are allowed. A null url, or one without ://, has empty host and path, no rule, and is allowed.
-    Repeated rows are judged alike; columns of pages that have the names of the results are replaced."""
-    results = ("host", "path", "rule", "verdict")
-    rows = pages.drop(*[c for c in results if c != url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "__canon": canonical(F.col(url))})
-    rows = rows.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
-    judged = listed_rows(rows, "__canon", listed.select(F.col("canonical").alias("__canon")), "__hit")
-    return judged.withColumns({
-        "rule": F.col("__rule.rule"),
-        "verdict": F.coalesce(F.col("__rule.verdict"), F.when(F.col("__hit"), "block").otherwise("allow")),
-    }).drop("__rule", "__canon", "__hit")
+    Repeated rows are judged alike, very long urls whole; columns of pages that have the names of the results are
+    replaced, others are kept, whatever their names. An empty table gives an empty result."""
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own = F.col(f"`{url}`")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"), host_of(own).alias("host"), path_of(own).alias("path"), canonical(own).alias("canon"))
+    rows = rows.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
+    judged = listed_rows(rows, "canon", listed.select(F.col("canonical").alias("canon")), "hit")
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("hit"), "block").otherwise("allow"))
+    return judged.select("page.*", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))

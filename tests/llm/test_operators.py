@@ -196,6 +196,10 @@ def test_urls(spark):
     assert got[2] == ("b.net", "net/de/", "allow") and got[3] == ("example.net", "example.net/de/8", "block")
     assert all(got[i] == ("", None, "allow") for i in (4, 5, 6))
     assert got[7][2] == got[8][2] == "block" and got[9] == ("notcom", None, "allow")
+    named = pages.select("*", *[F.lit(c).alias(c) for c in ("__canon", "canon", "hit", "found", "page", "__block")])
+    odd = urlfilter.judge_urls(named.unionByName(named), listed)
+    assert odd.columns == ["page_id", "url", "__canon", "canon", "hit", "found", "page", "__block", "host", "path", "rule", "verdict"]
+    assert all((r["canon"], r["page"], r["hit"]) == ("canon", "page", "hit") and (r["host"], r["rule"], r["verdict"]) == got[r["page_id"]] for r in odd.collect()) and odd.count() == 2 * len(urls)
     assert len(got) == len(urls) and urlfilter.judge_urls(pages.limit(0), listed).count() == 0
     assert urlfilter.judge_urls(pages, listed.limit(0)).where("rule IS NULL AND verdict = 'block'").count() == 0
 
