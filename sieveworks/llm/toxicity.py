@@ -71,10 +71,54 @@ class Chain:
         return probabilities
 
 
+def _associated(found: list[set[str]], y: np.ndarray) -> list[str]:
+    """The features that tell the labels of these documents apart best."""
+    counts: dict[str, list[int]] = {}
+    for own, label in zip(found, y.astype(int).tolist(), strict=True):
+        for f in own:
+            counts.setdefault(f, [0, 0])[label] += 1
+    n1, n0 = y.sum(), len(y) - y.sum()
+    scored = []
+    for f, (c0, c1) in counts.items():
+        p = (c0 + c1 + 1) / (len(y) + 2)
+        z = abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        if z >= LEAST_Z:
+            scored.append((-z, f))
+    return [f for _, f in sorted(scored)[:FEATURES]]
+
+
+def _inputs(found: list[set[str]], names: list[str], earlier: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 by feature for each document, and the probabilities of the links before."""
+    place = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(found), len(names)), np.float32)
+    for i, own in enumerate(found):
+        x[i, [place[f] for f in own if f in place]] = 1
+    return np.concatenate([x, earlier.astype(np.float32)], 1)
+
+
+def _outside(found: list[set[str]], y: np.ndarray, folds: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Each document's probability by a model whose features and weights come from the other folds alone."""
+    out = np.zeros(len(y))
+    for fold in range(FOLDS):
+        test = folds == fold
+        train = y[~test]
+        if not test.any():
+            continue
+        if len(train) == 0 or train.min() == train.max():
+            out[test] = train.mean() if len(train) else 0.5
+            continue
+        kept = [own for own, t in zip(found, test.tolist(), strict=True) if not t]
+        names = _associated(kept, train)
+        w = _fit(_inputs(kept, names, earlier[~test]), train)
+        x = _inputs([own for own, t in zip(found, test.tolist(), strict=True) if t], names, earlier[test])
+        out[test] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return out
+
+
 def fit_chain(documents: list[tuple[int, set[str], tuple[int, ...]]], categories: list[str]) -> Chain:
     """documents: (fold, features, label of each category). Later links are trained on out-of-fold probabilities of the
     earlier ones, as they meet unseen documents when used. Without documents every probability is that of weight 0."""
-    folds = np.array([d[0] for d in documents])
+    folds, found = np.array([d[0] for d in documents]), [d[1] for d in documents]
     labels = np.array([d[2] for d in documents], float).reshape(len(documents), len(categories))
     links, earlier = [], np.zeros((len(documents), 0))
     for k in range(len(categories)):
@@ -83,35 +127,11 @@ def fit_chain(documents: list[tuple[int, set[str], tuple[int, ...]]], categories
             links.append(({}, [0.0] * k, 0.0 if len(y) == 0 else float(6 * (2 * y[0] - 1))))
             earlier = np.concatenate([earlier, np.full((len(documents), 1), y[0] if len(y) else 0.5)], 1)
             continue
-        counts: dict[str, list[int]] = {}
-        for (_, found, label), _ in zip(documents, y, strict=True):
-            for f in found:
-                counts.setdefault(f, [0, 0])[int(label[k])] += 1
-        n1, n0 = y.sum(), len(y) - y.sum()
-        scored = []
-        for f, (c0, c1) in counts.items():
-            p = (c0 + c1 + 1) / (len(y) + 2)
-            z = abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z >= LEAST_Z:
-                scored.append((-z, f))
-        names = [f for _, f in sorted(scored)[:FEATURES]]
-        place = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(documents), len(names)), np.float32)
-        for i, (_, found, _) in enumerate(documents):
-            x[i, [place[f] for f in found if f in place]] = 1
-        x = np.concatenate([x, earlier.astype(np.float32)], 1)
-        outside = np.zeros(len(y))
-        for fold in range(FOLDS):
-            test = folds == fold
-            train = y[~test]
-            if test.any() and len(train) and train.min() != train.max():
-                w = _fit(x[~test], train)
-                outside[test] = 1 / (1 + np.exp(-np.clip(x[test] @ w[:-1] + w[-1], -30, 30)))
-            else:
-                outside[test] = y.mean()
-        w = _fit(x, y)
+        names = _associated(found, y)
+        w = _fit(_inputs(found, names, earlier), y)
         links.append((dict(zip(names, w[: len(names)].tolist(), strict=True)), w[len(names) : -1].tolist(), float(w[-1])))
-        earlier = np.concatenate([earlier, outside[:, None]], 1)
+        if k + 1 < len(categories):
+            earlier = np.concatenate([earlier, _outside(found, y, folds, earlier)[:, None]], 1)
     return Chain(categories, links)
 
 

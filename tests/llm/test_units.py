@@ -229,3 +229,16 @@ def test_masks_find_every_stretch_with_one_token_of_five_changed(n):
             own = sum(1 << (at + i) for i, m in enumerate(mask) if m == "1")
             found |= same & own == own
     assert found.all()
+
+
+def test_out_of_fold_probabilities_know_nothing_of_their_own_labels():
+    # Each document has a feature of its own and labels are drawn: whatever a fold is told, its own labels do not help.
+    rng = random.Random(6)
+    found = [{f"own{i}", f"shared{i % 7}", *(f"noise{rng.randrange(200)}" for _ in range(10))} for i in range(400)]
+    y, folds = np.array([float(rng.random() < 0.5) for _ in found]), np.array([i % toxicity.FOLDS for i in range(400)])
+    before = toxicity._outside(found, y, folds, np.zeros((400, 0)))
+    other = y.copy()
+    other[folds == 1] = 1 - other[folds == 1]
+    after = toxicity._outside(found, other, folds, np.zeros((400, 0)))
+    assert (before[folds == 1] == after[folds == 1]).all() and (before[folds == 0] != after[folds == 0]).any()
+    assert abs(np.corrcoef(before, y)[0, 1]) < 0.2
