@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sieveworks.operators import containers, layout, semantic
+from sieveworks.functions.scores import url_host
+from sieveworks.operators import containers, endpoints, layout, semantic
 from sieveworks.plans.registry import query
 from sieveworks.sources import dom, selectors, state
 from sieveworks.sources import tables as T
@@ -151,3 +152,46 @@ def semantic_relevance(spark, sf):
     pairs = [F.struct(F.lit(k).alias("kind"), t.alias("term")) for k, t in (("subject", first), ("action", second), ("compound", F.col("query")), ("context", second))]
     concepts = top.select("query_id", F.explode(F.array(*pairs)).alias("c")).select("query_id", "c.kind", "c.term")
     return semantic.semantic_relevance(T.results(spark, sf).select("pos", "title", "description"), concepts)
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS host, url, list_filter(string_split(regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segments, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda s: s <> '') AS fields FROM pages WHERE url IS NOT NULL),
+s AS (SELECT host, url, list_concat(list_transform(segments, lambda s: {'name': '', 'value': s}), list_transform(fields, lambda f: {'name': split_part(f, '=', 1), 'value': CASE WHEN contains(f, '=') THEN substr(f, strpos(f, '=') + 1) ELSE '' END})) AS parts FROM p),
+r AS (SELECT host, url, parts, len(parts) || '&' || array_to_string(list_transform(parts, lambda x: x.name), '&') AS shape FROM s),
+v AS (SELECT host, shape, i, count(DISTINCT x.value) AS n FROM (SELECT host, shape, unnest(parts) AS x, unnest(range(len(parts))) AS i FROM r) GROUP BY ALL HAVING n > 8),
+w AS (SELECT host, shape, list(i ORDER BY i) AS variables FROM v GROUP BY ALL),
+j AS (SELECT r.host, url, parts, coalesce(variables, []) AS variables FROM r LEFT JOIN w ON r.host = w.host AND r.shape = w.shape),
+m AS (SELECT host, url, len(variables) AS n_variables, list_transform(list_zip(parts, range(len(parts))), lambda z: {'name': z[1].name, 'value': CASE WHEN list_contains(variables, z[2]) THEN '{' || list_position(variables, z[2]) || '}' ELSE z[1].value END}) AS s FROM j),
+t AS (SELECT host, url, n_variables, '/' || array_to_string(list_transform(list_filter(s, lambda x: x.name = ''), lambda x: x.value), '/') AS path, array_to_string(list_transform(list_filter(s, lambda x: x.name <> ''), lambda x: x.name || '=' || x.value), '&') AS query FROM m)
+SELECT host, path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS template, count(*) AS n_urls, max(n_variables)::INT AS n_variables, min(url) AS example FROM t GROUP BY ALL""")
+def url_templates(spark, sf):
+    """The templates of the addresses of each host."""
+    return endpoints.url_templates(T.table(spark, sf, "pages").select(url_host(F.col("url")).alias("host"), "url"))
+
+
+@query("""SELECT page_id, '/api/v1' || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS endpoint FROM pages WHERE url IS NOT NULL UNION SELECT page_id, url FROM pages WHERE url <> ''""")
+def page_endpoints(spark, sf):
+    """What the scripts and search links of pages name; each page is given a call of an interface at its path and a link to itself."""
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    call = F.concat(F.lit('<script>fetch("/api/v1'), path, F.lit('");</script><link rel="search" href="'), "url", F.lit('">'))
+    return endpoints.script_endpoints(dom.elements(T.table(spark, sf, "pages").select("page_id", F.concat(F.coalesce(call, F.lit("")), "html").alias("html"))))
+
+
+@query("SELECT url, 1 AS level, min('https://maps.example.net/' || page_id // 100 || '.xml') AS sitemap FROM pages WHERE url <> '' GROUP BY 1")
+def sitemap_pages(spark, sf):
+    """Pages from nested sitemaps: one for each hundred pages, which one for each ten thousand lists, and that lists itself."""
+    base, number = F.lit("https://maps.example.net/"), lambda n: F.floor(F.col("page_id") / n).cast("string")
+    pages = T.table(spark, sf, "pages").where("url <> ''").select("page_id", "url", F.concat(base, number(100), F.lit(".xml")).alias("leaf"), F.concat(base, F.lit("index-"), number(10_000), F.lit(".xml")).alias("index"))
+    entry = lambda kind, u: F.concat(F.lit(f"<{kind}><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{kind}>"))
+    leaves = pages.groupBy(F.col("leaf").alias("url")).agg(F.array_join(F.collect_list(entry("url", F.col("url"))), "").alias("body"))
+    indexes = pages.select("index", "leaf").distinct().groupBy(F.col("index").alias("url")).agg(F.array_join(F.collect_list(entry("sitemap", F.col("leaf"))), "").alias("body"))
+    indexes = indexes.select("url", F.concat("body", entry("sitemap", F.col("url"))).alias("body"))
+    return endpoints.sitemap_pages(leaves.unionByName(indexes), indexes.select("url"))
+
+
+@query("""WITH o AS (SELECT pos, CASE WHEN pos % 10 = 5 THEN upper(title) ELSE title END AS title, url FROM results WHERE pos % 10 <> 3 UNION ALL SELECT -1 - pos, title, url FROM results WHERE pos % 10 = 7)
+SELECT coalesce(n.pos, o.pos) AS pos, CASE WHEN o.pos IS NULL THEN 'added' WHEN n.pos IS NULL THEN 'gone' WHEN o.title IS NOT DISTINCT FROM n.title THEN 'same' ELSE 'changed' END AS state FROM results n FULL JOIN o ON n.pos = o.pos""")
+def results_difference(spark, sf):
+    """All results against an earlier state: a tenth not there yet, a tenth in other letters, a tenth more that are gone."""
+    now, tenth = T.results(spark, sf).select("pos", "title", "url"), F.col("pos") % 10
+    then = now.where(tenth != 3).withColumn("title", F.when(tenth == 5, F.upper("title")).otherwise(F.col("title")))
+    return endpoints.snapshot_difference(then.unionByName(now.where(tenth == 7).withColumn("pos", -1 - F.col("pos"))), now, ["pos"])
