@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from sieveworks.llm.store import write_table
 
 #: Before a space that follows another kind of character; a last space stays with the word before it, as B gives nothing for it alone.
 _CUT = re.compile(r"(?<=\S)(?= [\s\S])")
-#: Bytes of text of a slice, distinct units that a task keeps, and bytes of them.
-SLICE, KEPT_UNITS, KEPT_BYTES = 4 << 20, 200_000, 48 << 20
+#: What has such places otherwise: a space at an end, or after white space.
+_ODD = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: Bytes of text of a slice, units that are encoded at a time, and links of a group from which on its distinct ids are paired.
+SLICE, BATCH, WIDE_GROUP = 4 << 20, 8192, 64
 #: A side id's postings go to one part for each so many entries, and for each thousandth of all.
 PART_ENTRIES, LEAST_SHARE = 10_000_000, 1000
 
@@ -39,35 +42,51 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Unit(NamedTuple):
-    """What one unit gives: token numbers, groups, its links as pairs (a << 32 | b) with their numbers, and its groups in text."""
+class Units(NamedTuple):
+    """What distinct units give, by number: whether a unit is given back byte for byte, token numbers, groups, its groups as
+    text; and its links, pairs[first[i]:first[i + 1]] (a << 32 | b) with their numbers."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
+    valid: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    texts: list[bytes]
+    first: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
-    text: bytes
 
 
-def aligned(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> Unit:
-    """Groups end where tokens of both sides end; both sides spell the same bytes."""
-    ends_a, ends_b = np.cumsum([len(bytes_a[i]) for i in a]), np.cumsum([len(bytes_b[i]) for i in b])
-    common = np.intersect1d(ends_a, ends_b)
-    cut_a, cut_b = (np.concatenate(([0], np.searchsorted(e, common, "right"))).tolist() for e in (ends_a, ends_b))
-    times, text = Counter(), []
-    for i in range(len(common)):
-        left, right = a[cut_a[i] : cut_a[i + 1]], b[cut_b[i] : cut_b[i + 1]]
-        text.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        # Repeated ids of a long group are paired once.
-        for x, m in Counter(left).items() if len(left) > 1 else ((left[0], 1),):
-            for y, n in Counter(right).items() if len(right) > 1 else ((right[0], 1),):
-                times[x << 32 | y] += m * n
-    return Unit(len(a), len(b), len(common), np.fromiter(times, np.int64, len(times)), np.fromiter(times.values(), np.int64, len(times)), ";".join(text).encode())
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all runs (start, length) one after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def _links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, unit: np.ndarray, n_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of each unit, their numbers, and where each unit's begin, from the tokens and the cuts of groups."""
+    size_a, size_b = np.diff(cut_a), np.diff(cut_b)
+    few = size_a * size_b <= WIDE_GROUP
+    group = np.flatnonzero(few)
+    left = _spread(cut_a[group], size_a[group])
+    of_left = np.repeat(group, size_a[group])
+    right = _spread(cut_b[of_left], size_b[of_left])
+    pairs = [np.repeat(a[left], size_b[of_left]) << 32 | b[right]]
+    owners, times = [np.repeat(unit[of_left], size_b[of_left])], [np.ones(len(right), np.int64)]
+    # Repeated ids of a wide group are paired once.
+    for g in np.flatnonzero(~few).tolist():
+        x, m = np.unique(a[cut_a[g] : cut_a[g + 1]], return_counts=True)
+        y, n = np.unique(b[cut_b[g] : cut_b[g + 1]], return_counts=True)
+        pairs.append((x[:, None] << 32 | y).ravel())
+        times.append((m[:, None] * n).ravel())
+        owners.append(np.full(len(pairs[-1]), unit[g]))
+    known, which = np.unique(np.concatenate(pairs), return_inverse=True)
+    keys, at = np.unique(np.concatenate(owners) * len(known) + which, return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, np.concatenate(times))
+    return known[keys % max(1, len(known))], total, np.searchsorted(keys, np.arange(n_units + 1) * len(known))
 
 
 class Aligner:
-    """Encodes units with both tokenizers; keeps those it has met."""
+    """Encodes and aligns distinct units, all of a slice at once."""
 
     def __init__(self, byte_bpe: str, pieces: str):
         import sentencepiece
@@ -75,36 +94,67 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(byte_bpe), sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.a.encode_special_tokens = True
-        alphabet, size = byte_alphabet(), self.a.get_vocab_size()
-        self.bytes_a = [bytes(alphabet[c] for c in self.a.id_to_token(i)) if set(self.a.id_to_token(i)) <= alphabet.keys() else self.a.id_to_token(i).encode() for i in range(size)]
+        alphabet, names = byte_alphabet(), [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
+        self.bytes_a = [bytes(alphabet[c] for c in t) if set(t) <= alphabet.keys() else t.encode() for t in names]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         # Units are encoded one by one; a piece across a unit's start would join them.
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
             raise ValueError(f"{pieces} has pieces across spaces")
-        self.units: dict[str, Unit | None] = {}
-        self.held = 0
-
-    def learn(self, units: list[str]) -> None:
-        """Aligns new units. One whose bytes a side does not give back has None."""
-        if len(self.units) + len(units) > KEPT_UNITS or self.held > KEPT_BYTES:
-            self.units, self.held = {}, 0
-        left, right = self.a.encode_batch_fast(units, add_special_tokens=False), self.b.encode([u[1:] for u in units], num_threads=1)
-        for unit, a, b in zip(units, left, right, strict=True):
-            raw, a = unit.encode(), a.ids
-            same = a and b and b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            found = self.units[unit] = aligned(a, b, self.bytes_a, self.bytes_b) if same else None
-            self.held += 2 * len(raw) + (16 * len(found.pairs) + len(found.text) if found else 0)
-
-    def __call__(self, texts: list[list[str]]) -> list[list[Unit] | None]:
-        """The aligned units of each text; None for a text that has no tokens."""
-        new = list({u for t in texts for u in t if u not in self.units})
-        if new:
-            if len(self.units) + len(new) > KEPT_UNITS:
-                new = list({u for t in texts for u in t})
-            self.learn(new)
-        get = self.units.__getitem__
-        out = [list(map(get, t)) for t in texts]
-        return [t if t and None not in t else None for t in out]
+        self.lengths = [np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        # A token in the text of groups, by what stands before it: nothing, a further group, a further token, the other side.
+        self.words, self.most = [f"{before}{i}" for before in ("\n", ";", ",", "|") for i in range(most)], most
+
+    def _encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all units, one after another, and how many each has."""
+        first, second = self.a.encode_batch_fast, self.b.encode
+        sides = ([], []), ([], [])
+        for at in range(0, len(units), BATCH):
+            some = units[at : at + BATCH]
+            for found, (ids, sizes) in zip(([e.ids for e in first([f" {u}" for u in some], add_special_tokens=False)], second(some, num_threads=1)), sides):
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter(chain.from_iterable(found), np.int64, int(sizes[-1].sum())))
+        return [(np.concatenate(ids), np.concatenate(sizes)) for ids, sizes in sides]
+
+    def _valid(self, units: list[str], sizes: np.ndarray, side: int, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which units a side gives back byte for byte; mostly all, which one comparison tells."""
+        table = (self.bytes_a, self.bytes_b)[side]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        spelt = np.concatenate(([0], np.cumsum(self.lengths[side][ids])))[ends]
+        whole, wanted = b"".join(map(table.__getitem__, ids.tolist())), f" {' '.join(units)}".encode()
+        if whole == wanted and (np.diff(spelt) == sizes).all():
+            return n > 0
+        return np.array([whole[s:e] == f" {u}".encode() and e > s for u, s, e in zip(units, spelt.tolist(), spelt[1:].tolist())], bool)
+
+    def __call__(self, units: list[str], sizes: np.ndarray) -> Units:
+        """units: distinct, without the space that each begins with; sizes: the bytes of each with it."""
+        (a, n_a), (b, n_b) = self._encode(units)
+        valid = self._valid(units, sizes, 0, a, n_a) & self._valid(units, sizes, 1, b, n_b)
+        a, b, n_a, n_b = a[np.repeat(valid, n_a)], b[np.repeat(valid, n_b)], n_a * valid, n_b * valid
+        # Both sides spell the same bytes, so ends are compared over all units at once; units end where both do.
+        ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        cut_a, cut_b = (np.concatenate(([0], np.searchsorted(e, common, "right"))) for e in (ends_a, ends_b))
+        kept = np.flatnonzero(valid)
+        unit = kept[np.searchsorted(np.cumsum(sizes[kept]), common)]
+        pairs, times, offsets = _links(a, b, cut_a, cut_b, unit, len(units))
+        texts = [b""] * len(units)
+        for i, text in zip(kept.tolist(), self._texts(a, b, cut_a, cut_b, unit)):
+            texts[i] = text
+        return Units(valid, n_a, n_b, np.bincount(unit, minlength=len(units)), texts, offsets, pairs, times)
+
+    def _texts(self, a, b, cut_a, cut_b, unit) -> list[bytes]:
+        """The groups of each unit as text: both sides' tokens in the order of groups, each after its mark."""
+        begins = np.concatenate(([True], unit[1:] != unit[:-1]))[: len(unit)]
+        marks_a, marks_b = np.full(len(a), 2), np.full(len(b), 2)
+        marks_a[cut_a[:-1]] = np.where(begins, 0, 1)
+        marks_b[cut_b[:-1]] = 3
+        # A group's A tokens stand after all tokens of the groups before it; its B tokens after its A tokens.
+        place_a = np.arange(len(a)) + np.repeat(cut_b[:-1], np.diff(cut_a))
+        place_b = np.arange(len(b)) + np.repeat(cut_a[1:], np.diff(cut_b))
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[place_a], codes[place_b] = marks_a * self.most + a, marks_b * self.most + b
+        return "".join(map(self.words.__getitem__, codes.tolist())).encode().split(b"\n")[1:]
 
 
 @cache
@@ -128,26 +178,34 @@ FACTS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long,
 POSTINGS = "a int, base long, bs array<int>, docs array<int>, body binary"
 
 
-def _postings(texts: list[list[Unit]]) -> tuple[np.ndarray, ...]:
-    """Of texts by number: the distinct (pair, text), in order, and the links of each."""
-    distinct = {id(u): u for t in texts for u in t}
-    number = {k: i for i, k in enumerate(distinct)}
-    units = list(distinct.values())
-    which = np.fromiter((number[id(u)] for t in texts for u in t), np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    both, repeats = np.unique(owner * len(units) + which, return_counts=True)
-    owner, which = both // len(units), both % len(units)
-    sizes = np.array([len(u.pairs) for u in units])
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    length = sizes[which]
-    at = np.repeat(starts[which] - np.cumsum(length) + length, length) + np.arange(length.sum())
-    known, pair = np.unique(np.concatenate([u.pairs for u in units]), return_inverse=True)
-    keys = pair[at] * len(texts) + np.repeat(owner, length)
-    times = np.concatenate([u.times for u in units])[at] * np.repeat(repeats, length)
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The units of all texts that are not empty, without the space that each begins with; how many each text has, and its number.
+
+    Where no space follows white space and none stands at an end, units are what lies between spaces."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_numpy(zero_copy_only=False)
+    plain, others = np.flatnonzero((size > 0) & ~odd), np.flatnonzero((size > 0) & odd)
+    pieces = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    listed = [[u[1:] for u in _CUT.split(f" {t}")] for t in texts.take(pa.array(others)).to_pylist()]
+    counts = np.concatenate((pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(u) for u in listed], np.int64)))
+    flat = pieces.flatten()
+    more = pa.array(list(chain.from_iterable(listed)), flat.type)
+    return pa.concat_arrays([flat, more]), counts, np.concatenate((plain, others))
+
+
+def _postings(units: Units, which: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, ...]:
+    """Of texts by number, given the units of each: the distinct (pair, text), in order, and the links of each."""
+    both, repeats = np.unique(owner * len(units.texts) + which, return_counts=True)
+    owner, which = both // len(units.texts), both % len(units.texts)
+    length = np.diff(units.first)[which]
+    at = _spread(units.first[:-1][which], length)
+    known, pair = np.unique(units.pairs, return_inverse=True)
+    keys = pair[at] * n_texts + np.repeat(owner, length)
+    times = units.times[at] * np.repeat(repeats, length)
     order = np.argsort(keys, kind="stable")
     keys, times = keys[order], times[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return known[keys[first] // len(texts)], keys[first] % len(texts), np.add.reduceat(times, first)
+    return known[keys[first] // n_texts], keys[first] % n_texts, np.add.reduceat(times, first)
 
 
 def _encode(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
@@ -161,22 +219,25 @@ def _encode(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
         align, base = aligner(byte_bpe, pieces), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in wordhash.slices(batch, 1, SLICE):
-                cut = [_CUT.split(f" {t}") if t else [] for t in part.column(1).to_pylist()]
-                found = align(cut)
-                facts = []
-                for units in found:
-                    if units is None:
-                        facts.append((0, 0, 0, 0, ""))
-                    else:
-                        digest = hashlib.sha256(b";".join([u.text for u in units])).hexdigest()
-                        facts.append((sum(u.n_a for u in units), sum(u.n_b for u in units), sum(u.n_groups for u in units), sum(int(u.times.sum()) for u in units), digest))
-                rows = np.arange(base, base + len(found))
-                yield _batch([pa.array(rows), part.column(0), *map(pa.array, zip(*facts, strict=True))], [*FACTS_NAMES])
-                full = [i for i, u in enumerate(found) if u is not None]
-                if full:
-                    pair, doc, times = _postings([found[i] for i in full])
-                    yield from _posting_rows(pair, np.array(full)[doc], times, base)
-                base += len(found)
+                n = part.num_rows
+                flat, counts, order = _cut(part.column(1))
+                coded = flat.dictionary_encode()
+                which, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+                units = align(names.to_pylist(), pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+                owner, bad = np.repeat(order, counts), np.ones(n, bool)
+                bad[order] = False
+                bad[owner[~units.valid[which]]] = True
+                digests, ends = [""] * n, np.cumsum(counts)
+                for doc, s, e in zip(order.tolist(), (ends - counts).tolist(), ends.tolist()):
+                    if not bad[doc]:
+                        digests[doc] = hashlib.sha256(b";".join(map(units.texts.__getitem__, which[s:e].tolist()))).hexdigest()
+                owner, which = owner[~bad[owner]], which[~bad[owner]]
+                links = np.add.reduceat(np.append(units.times, 0), units.first[:-1]) * (np.diff(units.first) > 0) if len(names) else np.empty(0, np.int64)
+                sums = [np.bincount(owner, values[which], n).astype(np.int64) for values in (units.n_a, units.n_b, units.n_groups, links)]
+                yield _batch([pa.array(np.arange(base, base + n)), part.column(0), *map(pa.array, sums), pa.array(digests, pa.string())], FACTS_NAMES)
+                if len(which):
+                    yield from _posting_rows(*_postings(units, which, owner, n), base)
+                base += n
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{FACTS}, {POSTINGS}")
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -60,10 +61,10 @@ def texts(n):
     return ["", " ", "the", "  two  spaces ", None, "▁", "word " * 3000, "x" * 5000, "9" * 400] + ["".join(rng.choices(ALPHABET, k=rng.randint(0, 60))) + rng.choice(["", "", *SPECIAL]) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("slice_bytes", "kept", "entries"), [(4 << 20, 200_000, 10_000_000), (300, 50, 40)])
-def test_alignment_equals_the_libraries_on_whole_texts(spark, monkeypatch, slice_bytes, kept, entries):
+@pytest.mark.parametrize(("slice_bytes", "wide", "entries"), [(4 << 20, 64, 10_000_000), (300, 1, 40)])
+def test_alignment_equals_the_libraries_on_whole_texts(spark, monkeypatch, slice_bytes, wide, entries):
     monkeypatch.setattr(alignment, "SLICE", slice_bytes)
-    monkeypatch.setattr(alignment, "KEPT_UNITS", kept)
+    monkeypatch.setattr(alignment, "WIDE_GROUP", wide)
     monkeypatch.setattr(alignment, "PART_ENTRIES", entries)
     rows = list(enumerate(texts(400))) + [(None, "no id"), (7, "repeated row"), (7, "repeated row")]
     docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, row long, a int, body string").repartition(3)
@@ -76,6 +77,11 @@ def test_alignment_of_an_empty_table(spark):
     assert alignment.align_tokenizers(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
 
 
-def test_a_group_pairs_each_id_once():
-    unit = alignment.aligned([0, 0, 0], [0, 1], [b"ab"], [b"aba", b"bab"])
-    assert unit[:3] == (3, 2, 1) and dict(zip(unit.pairs.tolist(), unit.times.tolist())) == {0: 3, 1: 3} and unit.text == b"0,0,0|0,1"
+@pytest.mark.parametrize("wide", [64, 1])
+def test_links_of_groups(monkeypatch, wide):
+    monkeypatch.setattr(alignment, "WIDE_GROUP", wide)
+    # One unit of a group of 3 x 2, one of 1 x 1 twice and 1 x 2.
+    a, b = np.array([5, 5, 5, 5, 5, 6]), np.array([0, 1, 7, 7, 8, 8])
+    pairs, times, first = alignment._links(a, b, np.array([0, 3, 4, 5, 6]), np.array([0, 2, 3, 4, 6]), np.array([0, 2, 2, 2]), 3)
+    got = [{(p >> 32, p & 0xFFFF): t for p, t in zip(pairs[s:e].tolist(), times[s:e].tolist())} for s, e in zip(first, first[1:])]
+    assert got == [{(5, 0): 3, (5, 1): 3}, {}, {(5, 7): 2, (6, 8): 2}]
