@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveworks.functions.scores import url_host
 from sieveworks.operators import containers, endpoints, layout, semantic
 from sieveworks.plans.registry import query
-from sieveworks.sources import dom, selectors, state
+from sieveworks.sources import dom, scriptmedia, selectors, state
 from sieveworks.sources import tables as T
 
 
@@ -195,3 +195,14 @@ def results_difference(spark, sf):
     now, tenth = T.results(spark, sf).select("pos", "title", "url"), F.col("pos") % 10
     then = now.where(tenth != 3).withColumn("title", F.when(tenth == 5, F.upper("title")).otherwise(F.col("title")))
     return endpoints.snapshot_difference(then.unionByName(now.where(tenth == 7).withColumn("pos", -1 - F.col("pos"))), now, ["pos"])
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*', '') AS u FROM pages WHERE starts_with(url, 'http'))
+SELECT page_id, 'jwplayer_sources' AS method, u || '/a.mp4' AS url FROM p UNION SELECT page_id, 'jwplayer_sources', u || '/b.m3u8' FROM p UNION SELECT page_id, 'window_var', u FROM p WHERE length(u) >= 18 OR starts_with(u, 'http:') AND length(u) >= 17 UNION SELECT page_id, 'ssr_state', u || '/c-1080p.mp4' FROM p""")
+def script_media(spark, sf):
+    """Media below each page's own address, as a player's sources, a variable and server state name them in scripts before its source."""
+    u = F.regexp_replace("url", "[?#].*", "")
+    pages = T.table(spark, sf, "pages").where("url LIKE 'http%'")
+    script = F.concat(F.lit("<script>setup({sources: [{file: '"), u, F.lit("/a.mp4'}, {src: '"), u, F.lit("/b.m3u8'}]}); window.own = '"), u, F.lit("'; window.__INITIAL_STATE__ = {\"url\":\""), u, F.lit('/d-720p.mp4","file":"'), u, F.lit('/c-1080p.mp4"};</script>'))
+    pages = pages.select("page_id", F.concat(script, "html").alias("html"))
+    return scriptmedia.script_media(pages, dom.stored(pages), F.lit("https://e.net/"))
