@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.scores import url_host
-from sieveworks.operators import containers, endpoints, layout, semantic
+from sieveworks.operators import containers, endpoints, layout, pagecontent, semantic
 from sieveworks.plans.registry import query
 from sieveworks.sources import dom, scriptmedia, selectors, state
+from sieveworks.sources import pages as P
 from sieveworks.sources import tables as T
 
 
@@ -206,3 +207,18 @@ def script_media(spark, sf):
     script = F.concat(F.lit("<script>setup({sources: [{file: '"), u, F.lit("/a.mp4'}, {src: '"), u, F.lit("/b.m3u8'}]}); window.own = '"), u, F.lit("'; window.__INITIAL_STATE__ = {\"url\":\""), u, F.lit('/d-720p.mp4","file":"'), u, F.lit('/c-1080p.mp4"};</script>'))
     pages = pages.select("page_id", F.concat(script, "html").alias("html"))
     return scriptmedia.script_media(pages, dom.stored(pages), F.lit("https://e.net/"))
+
+
+@query("""WITH p AS (SELECT page_id, url, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS t, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE starts_with(url, 'http'))
+SELECT page_id, 1 AS rank, 'JSON-LD:Movie' AS source, t AS title, url, NULL::VARCHAR AS description, NULL::VARCHAR AS thumbnail, 0.9::DOUBLE AS confidence FROM p UNION ALL SELECT page_id, 2, 'DataAttributes', host, '/of/' || host, NULL, NULL, 0.75::DOUBLE FROM p""")
+def page_content(spark, sf):
+    """What each page holds, given linked data of its title and address, the same once more in a script's array, and its host as a data attribute."""
+    pages, title, host = T.table(spark, sf, "pages").where("url LIKE 'http%'"), F.trim(P.page_title(F.col("html"))), url_host_port(F.col("url"))
+    linked = F.to_json(F.struct(F.lit("Movie").alias("@type"), title.alias("name"), F.col("url").alias("url")))
+    listed = F.to_json(F.array(F.struct(title.alias("title"), F.col("url").alias("url"))))
+    head = F.concat(F.lit('<script type="application/ld+json">'), linked, F.lit("</script><script>var items = "), listed, F.lit(';</script><div data-title="'), host, F.lit('" data-url="/of/'), host, F.lit('"></div>'))
+    return pagecontent.page_content(pages.select("page_id", "url", F.concat(head, "html").alias("html")), F.lit("https://e.net"))
+
+
+def url_host_port(url):
+    return F.regexp_extract(url, "://([^/?#]*)", 1)
