@@ -1,12 +1,13 @@
 """Ordered folds of keyed events. A step is a map x -> min(hi, max(lo, a x + b)) with a >= 0; such maps compose to one of
-their kind, so the events of a key are folded in slices of time first and only the slices' maps come together."""
+their kind, so the events of a key are folded in slices of an hour and of SLICE_EVENTS events first; then the maps of an hour's
+slices, of a day's hours and of a key's days come together, so no list grows with the events of a key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_SECONDS = 3600
+SLICE_SECONDS, SLICE_EVENTS, DAY = 3600, 4096, 24
 _INFINITE = float("inf")
 
 
@@ -44,11 +45,16 @@ def slice_of(ts: str = "ts") -> Column:
 def fold(events: DataFrame, keys: list[str], steps: dict[str, Column], starts: dict[str, float]) -> DataFrame:
     """keys, n, last_ts and a column for each of steps: its start moved by each event's map in the order of (ts, event_id).
     Null keys are a key like others; a key without events gives no row."""
-    rows = events.select(*keys, "ts", slice_of().alias("slice"), F.struct("ts", "event_id", *[s.alias(n) for n, s in steps.items()]).alias("e"))
-    slices = rows.groupBy(*keys, "slice").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_list("e")).alias("es"))
-    slices = slices.select(*keys, "slice", "n", "last_ts", *[_composed(F.transform("es", _field(n))).alias(n) for n in steps])
-    whole = slices.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"), F.array_sort(F.collect_list(F.struct("slice", *steps))).alias("ss"))
-    return whole.select(*keys, "n", "last_ts", *[_applied(_composed(F.transform("ss", _field(n))), F.lit(starts[n])).alias(n) for n in steps])
+    order = Window.partitionBy(*keys, "hour").orderBy("ts", "event_id")
+    rows = events.select(*keys, "ts", "event_id", slice_of().alias("hour"), F.struct("ts", "event_id", *[s.alias(n) for n, s in steps.items()]).alias("e"))
+    rows = rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / SLICE_EVENTS))
+    parts = rows.groupBy(*keys, "hour", "part").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_list("e")).alias("es"))
+    maps = parts.select(*keys, "hour", "part", "n", "last_ts", *[_composed(F.transform("es", _field(n))).alias(n) for n in steps])
+    for group, at in ((["hour"], "part"), (["day"], "hour"), ([], "day")):
+        maps = maps.withColumn("day", F.floor(F.col("hour") / DAY)) if group == ["day"] else maps
+        joined = maps.groupBy(*keys, *group).agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"), F.array_sort(F.collect_list(F.struct(at, *steps))).alias("ss"))
+        maps = joined.select(*keys, *group, "n", "last_ts", *[_composed(F.transform("ss", _field(n))).alias(n) for n in steps])
+    return maps.select(*keys, "n", "last_ts", *[_applied(F.col(n), F.lit(starts[n])).alias(n) for n in steps])
 
 
 def _field(name: str):

@@ -138,7 +138,9 @@ def test_short_top_lists_are_filled(spark):
     assert [r["pos"] for r in got if r["segment"] == "related"] == []
 
 
-def test_folds_with_bounds(spark):
+@pytest.mark.parametrize("events", [4096, 2])
+def test_folds_with_bounds(spark, monkeypatch, events):
+    monkeypatch.setattr(folds, "SLICE_EVENTS", events)
     ups = [True] * 30 + [False] * 3 + [True]
     rows = spark.createDataFrame([("p", i, i, u) for i, u in enumerate(ups)], "k string, event_id int, t int, ok boolean").withColumn("ts", F.timestamp_seconds(F.col("t") * 1500))
     step = folds.step(F.when(F.col("ok"), 1.0).otherwise(0.5), F.when(F.col("ok"), 5.0).otherwise(0.0), None, F.when(F.col("ok"), 100.0).otherwise(float("inf")))
