@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 BASE, SPAN, TOP = 1.001, 20.0, (1 << 16) - 1
 #: A pair is dropped where the log likelihood of its best similarity, below the threshold, exceeds that of the threshold by so much.
 SLACK = 18.0
+#: Rows of up to five numbers that are sent to the tasks that hold the bodies; of more, both sides are shuffled.
+SENT_ROWS = 250_000
 #: Points that are made at once for each shingle while many are open, or few.
 _OPEN, _WIDE = 4096, 64
 _STEP, _REGISTER, _BAND = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
@@ -169,13 +171,18 @@ def _parts(body) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.uint16, REGISTERS), np.frombuffer(body, np.uint64, offset=2 * REGISTERS)
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Narrow rows, with the hint to broadcast them if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def _confirm(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), one for each b, those whose sets link. The sets of one a come together in parts of about HUB."""
     hubs = write_table(pairs.groupBy("a").count().where(F.col("count") > jaccard.HUB).select("a", F.ceil(F.col("count") / jaccard.HUB).cast("int").alias("parts")), "near-hubs")
     keyed = pairs.join(jaccard._small(hubs), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), "b")
     keyed = write_table(keyed, "near-pairs")
     heads = keyed.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"))
-    rows = heads.unionByName(keyed.select("a", "part", F.col("b").alias("id"))).join(bodies.select("id", "body"), "id")
+    rows = bodies.select("id", "body").join(_sent(heads.unionByName(keyed.select("a", "part", F.col("b").alias("id")))), "id")
     rows = rows.select("a", "part", (F.col("id") != F.col("a")).cast("int").alias("role"), "id", "body")
 
     def check(batches):
@@ -273,7 +280,8 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     grouped = write_table(members.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("root", "id").alias("class")), "near-grouped")
     mixed = grouped.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
     rows = write_table(grouped.join(mixed, "token").join(bodies.select("id", "n"), "id").select("token", "id", "n", "class"), "near-mixed")
-    tiled = jaccard._dealt(rows, percent).join(bodies.select("id", "body"), "id").select("tile", "side", "id", "class", "body")
+    dealt = write_table(jaccard._dealt(rows, percent), "near-dealt")
+    tiled = bodies.select("id", "body").join(_sent(dealt), "id").select("tile", "side", "id", "class", "body")
     more = write_table(_tiles(tiled.repartition("tile").sortWithinPartitions("tile"), percent), "near-links")
 
     # The links within tiles join the classes found before.
