@@ -57,7 +57,7 @@ IRREGULAR_VERBS = {
     "chose": "choose", "wore": "wear", "drew": "draw", "grew": "grow", "blew": "blow", "hid": "hide", "crept": "creep", "leapt": "leap",
     "dove": "dive", "swung": "swing", "spun": "spin", "flung": "fling", "clung": "cling", "crouched": "crouch",
 }
-#: Endings in order: ending, least length, letters that go, letters that come.
+# Fixed values. Endings in order: ending, least length, letters that go, letters that come.
 NOUN_ENDINGS = (("ies", 5, 3, "y"), ("ves", 5, 3, "f"), ("ses", 5, 2, ""), ("xes", 5, 2, ""), ("ches", 6, 2, ""), ("shes", 6, 2, ""))
 VERB_ENDINGS = (
     ("ying", 0, 4, "y"), ("pping", 0, 4, "p"), ("tting", 0, 4, "t"), ("nning", 0, 4, "n"), ("mming", 0, 4, "m"), ("gging", 0, 4, "g"),
@@ -66,6 +66,7 @@ VERB_ENDINGS = (
     ("mmed", 0, 3, ""), ("gged", 0, 3, ""), ("dded", 0, 3, ""), ("bbed", 0, 3, ""), ("ated", 0, 1, ""), ("ized", 0, 1, ""), ("ised", 0, 1, ""),
     ("ted", 5, 2, "e"), ("ked", 5, 2, "e"), ("ced", 5, 2, "e"), ("ved", 5, 2, "e"), ("zed", 5, 2, "e"), ("ed", 4, 2, ""), ("es", 4, 2, ""),
 )
+# Fixed values.
 INTENT_FORMS = {
     "VIDEO": ("{} compilation", "{} funny", "best {}", "{} moments", "{} reaction", "{} video"), "DOWNLOAD": ("{} download", "{} torrent", "{} free"),
     "ARTICLE": ("{} explained", "{} guide", "how to {}"), "IMAGE": ("{} pictures", "{} photos", "{} images"),

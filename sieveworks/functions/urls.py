@@ -23,7 +23,7 @@ VIDEO_PARTS = (".mp4", ".m3u8", ".mpd", ".webm", ".mkv", ".ts", "/video/", "/str
 VIDEO_EXTENSIONS = ("mp4", "webm", "mkv", "avi", "mov", "m4v", "flv", "wmv", "3gp", "ts", "ogv", "f4v", "m3u8", "mpd")
 PLAYABLE_PARTS = ("/video/", "/stream/", "/hls/", "/dash/", "videoplayback", "/get_video")
 PAGE_PARTS = (".html", ".php", ".asp")
-#: Marks in order, and what they stand for.
+# Marks in order, and what they stand for.
 DOWNLOAD_QUALITY = tuple((q, q) for q in ("2160p", "4k", "1080p", "720p", "480p", "360p", "240p"))
 DOWNLOAD_FORMAT = ((".m3u8", "m3u8"), (".mpd", "mpd"), (".mp4", "mp4"), (".webm", "webm"), (".mkv", "mkv"), (".avi", "avi"), (".mov", "mov"))
 RESOLVED_QUALITY = (("2160", "4K"), ("4k", "4K"), ("1440", "1440p"), ("1080", "1080p"), ("720", "720p"), ("480", "480p"), ("360", "360p"), (".m3u8", "Auto"), (".mpd", "Auto"))

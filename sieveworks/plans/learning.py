@@ -104,7 +104,7 @@ def quality_choice(spark, sf):
  t AS (SELECT *, ['Error 403', 'bad format', 'Timeout', 'proxy down', 'other'][id % 5 + 1] AS error, ['JSON_API', 'NEXTJS', 'HTML', 'XML'][id % 4 + 1] AS kind, CASE WHEN id % 3 = 0 THEN ['JSON-LD', 'HTML'] ELSE ['HTML'] END AS methods FROM f)
  SELECT id, CASE WHEN NOT known THEN 'HTML_PARSING' WHEN needs_script THEN CASE WHEN list_contains(failures, 'DYNAMIC_CONTENT') THEN 'HEADLESS_BROWSER' ELSE 'DYNAMIC_CONTENT' END WHEN has_api AND len(failures) = 0 THEN 'API_BASED'
   WHEN len(failures) = 2 THEN 'HEADLESS_BROWSER' WHEN list_contains(failures, 'HTML_PARSING') THEN 'DYNAMIC_CONTENT' ELSE strategy END AS recommended,
-  CASE id % 5 WHEN 0 THEN 'USE_PROXY' WHEN 1 THEN 'TRY_ALTERNATE_QUALITY' WHEN 3 THEN 'ROTATE_PROXY' ELSE 'RETRY_WITH_DELAY' END AS recovery,
+  CASE id % 5 WHEN 1 THEN 'TRY_ALTERNATE_QUALITY' ELSE 'RETRY_WITH_DELAY' END AS recovery,
   CASE id % 4 WHEN 0 THEN 'API_FIRST' WHEN 1 THEN 'FRAMEWORK_DATA' ELSE CASE WHEN id % 3 = 0 THEN 'HYBRID' ELSE 'HTML_PARSING' END END AS extraction FROM t""")
 def strategies(spark, sf):
     known = T.analyses(spark, sf).select(F.col("id").alias("a_id"), "needs_script", "has_api", "strategy")

@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search result for each document, in the order of pos."""
+    """One search result for each document, in the order of pos. A result shows no more of its page than search pages do: as title the
+    first line, up to 120 characters, as description the first 300 characters; the other fields stand in for what documents do not have."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
         i.alias("pos"),
@@ -72,6 +73,7 @@ def likes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches: the first two words of what users say stand for what they search for."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     first = F.slice(F.filter(F.split(F.lower("text"), r"[ \t\n\f\r]+"), lambda w: w != ""), 1, 2)
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.array_join(first, " ").alias("query"))
