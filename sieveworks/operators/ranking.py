@@ -44,8 +44,9 @@ def final_score(rows: DataFrame) -> DataFrame:
 
 def cross_provider_boost(rows: DataFrame) -> DataFrame:
     """Adds n_providers, those that return a URL, and lifts the score by a tenth for each besides the first. The
-    distinct count is an aggregate joined back, so a URL with many rows is combined before the shuffle."""
-    keyed = rows.withColumn("norm_url", S.normal_url(F.col("url")))
+    distinct count is an aggregate joined back, so a URL with many rows is combined before the shuffle. The scored rows are
+    written, as they are read for the count and for the join."""
+    keyed = write_table(rows.withColumn("norm_url", S.normal_url(F.col("url"))), "scored-rows")
     seen = keyed.groupBy("norm_url").agg(F.count_distinct("provider_id").alias("n_providers"))
     lifted = F.least(F.lit(100.0), F.round(F.col("score") * (1 + 0.1 * (F.col("n_providers") - 1)), 6))
     return keyed.join(seen, "norm_url").withColumn("score", F.when(F.col("n_providers") > 1, lifted).otherwise(F.col("score")))

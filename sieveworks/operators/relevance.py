@@ -77,41 +77,58 @@ def _in_order(text: Column, terms: list[str]) -> Column:
     return found
 
 
-def text_relevance(rows: DataFrame, query: str) -> DataFrame:
-    """pos and relevance (0 to 1) of rows (pos, title, description). Rows meet the query's few terms by a generator, so
-    nothing but the sums by row is shuffled. A query without terms gives 0.1 for all."""
-    terms = terms_of(query)
-    if not terms:
-        return rows.select("pos", F.lit(0.1).alias("relevance"))
-    n, whole = len(terms), query.lower()
-    words = lambda c: F.filter(F.split(c, r"\W+"), lambda w: F.length(w) > 1)
-    base = rows.select("pos", "title", F.lower("title").alias("t"), F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-    base = base.withColumns({"tw": words(F.col("t")), "dw": words(F.col("d")), "tg": ngrams(F.col("t"), 3)})
-    each = base.select("*", F.explode(_term_table(query)).alias("q"))
-    t, d, term, near = F.col("t"), F.col("d"), F.col("q.term"), F.col("q.near")
-    each = each.withColumns({"n_t": _count(t, term), "n_d": _count(d, term), "t_edit": _first_edit(F.col("tw"), term, F.col("q.edits")), "d_edit": _first_edit(F.col("dw"), term, F.col("q.edits"))})
-    here, there = F.col("n_t") > 0, F.col("n_d") > 0
-    fuzzy = ~here & F.col("t_edit").isNotNull()
-    share = F.size(F.array_intersect("q.grams", "tg")) / F.size("q.grams")
-    gram = ~here & ~fuzzy & (F.length(term) >= 4) & (share >= 0.5)
-    synonym = ~here & F.exists(near, lambda s: t.contains(s))
+def _marked(q: Column, t: Column, d: Column) -> Column:
+    """A term with its occurrences in title and description, and the distance of the first word near to it in each."""
+    return F.struct(q.alias("q"), _count(t, q["term"]).alias("n_t"), _count(d, q["term"]).alias("n_d"), _first_edit(F.col("__tw"), q["term"], q["edits"]).alias("t_edit"), _first_edit(F.col("__dw"), q["term"], q["edits"]).alias("d_edit"))
+
+
+def _valued(m: Column, t: Column, d: Column) -> Column:
+    """What one marked term gives: points, and its kind of hit."""
+    q, here, there = m["q"], m["n_t"] > 0, m["n_d"] > 0
+    fuzzy = ~here & m["t_edit"].isNotNull()
+    share = F.size(F.array_intersect(q["grams"], "__tg")) / F.size(q["grams"])
+    gram = ~here & ~fuzzy & (F.length(q["term"]) >= 4) & (share >= 0.5)
+    synonym = ~here & F.exists(q["near"], lambda s: t.contains(s))
     points = (
-        F.when(here, (1 + F.log("n_t")) * 7 + F.greatest(F.lit(0.0), 8 - (F.instr(t, term) - 1) / 12)).otherwise(0.0)
-        + F.when(fuzzy, FUZZY * (1 - F.col("t_edit") / (F.col("q.edits") + 1))).otherwise(0.0)
+        F.when(here, (1 + F.log(m["n_t"])) * 7 + F.greatest(F.lit(0.0), 8 - (F.instr(t, q["term"]) - 1) / 12)).otherwise(0.0)
+        + F.when(fuzzy, FUZZY * (1 - m["t_edit"] / (q["edits"] + 1))).otherwise(0.0)
         + F.when(gram, GRAM * share).otherwise(0.0) + F.when(synonym, SYNONYM).otherwise(0.0)
-        + F.when(~here & F.coalesce(t.contains(F.col("q.stem")), F.lit(False)), STEM).otherwise(0.0)
-        + F.when(there, (1 + F.log("n_d")) * 5).otherwise(F.when(F.col("d_edit").isNotNull(), FUZZY * 0.6).otherwise(0.0) + F.when(F.exists(near, lambda s: d.contains(s)), SYNONYM * 0.5).otherwise(0.0))
+        + F.when(~here & F.coalesce(t.contains(q["stem"]), F.lit(False)), STEM).otherwise(0.0)
+        + F.when(there, (1 + F.log(m["n_d"])) * 5).otherwise(F.when(m["d_edit"].isNotNull(), FUZZY * 0.6).otherwise(0.0) + F.when(F.exists(q["near"], lambda s: d.contains(s)), SYNONYM * 0.5).otherwise(0.0))
     )
     flags = {"hits": here, "d_hits": there, "fuzzies": fuzzy, "synonyms": synonym, "grams": gram}
+    return F.struct(points.cast("double").alias("points"), *[v.cast("int").alias(k) for k, v in flags.items()])
+
+
+def with_relevance(rows: DataFrame, query: str) -> DataFrame:
+    """rows (title, description, and more) with relevance (0 to 1). The query's few terms are an array beside each row, marked,
+    valued and summed there, so rows are neither multiplied nor shuffled. A query without terms gives 0.1 for all."""
+    terms = terms_of(query)
+    if not terms:
+        return rows.withColumn("relevance", F.lit(0.1))
+    n, whole = len(terms), query.lower()
+    words = lambda c: F.filter(F.split(c, r"\W+"), lambda w: F.length(w) > 1)
+    own = rows.withColumns({"__t": F.lower("title"), "__d": F.lower(F.coalesce("description", F.lit("")))})
+    t, d, c = F.col("__t"), F.col("__d"), F.col
+    own = own.withColumns({"__tw": words(t), "__dw": words(d), "__tg": ngrams(t, 3)})
+    own = own.withColumn("__marks", F.transform(_term_table(query), lambda q: _marked(q, t, d)))
+    own = own.withColumn("__values", F.transform("__marks", lambda m: _valued(m, t, d)))
+    names = ("hits", "d_hits", "fuzzies", "synonyms", "grams")
+    start = F.struct(F.lit(0.0).alias("points"), *[F.lit(0).alias(k) for k in names])
+    own = own.withColumn("__sum", F.aggregate("__values", start, lambda a, v: F.struct(*[(a[k] + v[k]).alias(k) for k in ("points", *names)])))
     whole_points = F.when(t.contains(whole), EXACT).otherwise(0.0) + F.when(d.contains(whole), EXACT_DESCRIPTION).otherwise(0.0) + F.when(t.startswith(whole), START).otherwise(0.0)
     if n > 1:
         whole_points = whole_points + F.when(_in_order(t, terms), ORDER).otherwise(0.0)
-    each = each.withColumns({"points": points, "whole": whole_points, "long": F.length("title") > 150, **{k: v.cast("int") for k, v in flags.items()}})
-    by_row = each.groupBy("pos").agg(F.sum("points").alias("points"), F.first("whole").alias("whole"), F.first("long").alias("long"), *[F.sum(k).alias(k) for k in flags])
-    c = F.col
-    matched = c("hits") + c("fuzzies") * 0.6 + c("synonyms") * 0.4 + c("grams") * 0.3
-    every = F.when(c("hits") == n, 1.0).when(matched >= n * 0.6, 0.6).when(c("hits") + c("d_hits") >= n, 0.5).when(matched >= n * 0.3, 0.25).otherwise(0.0)
-    coverage = (c("hits") + c("d_hits") * 0.6 + c("fuzzies") * 0.5 + c("synonyms") * 0.4 + c("grams") * 0.3) / n
-    score = (c("points") + c("whole") + every * ALL_TERMS) * (0.3 + coverage * 0.7)
-    score = F.when(c("hits") + c("d_hits") > 0, F.greatest(score, F.lit(2.0))).otherwise(score) * F.when(c("long"), 0.85).otherwise(1.0)
-    return by_row.select("pos", (F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)) / 100.0).alias("relevance"))
+    hits, d_hits, fuzzies, synonyms, grams = (c("__sum")[k] for k in names)
+    matched = hits + fuzzies * 0.6 + synonyms * 0.4 + grams * 0.3
+    every = F.when(hits == n, 1.0).when(matched >= n * 0.6, 0.6).when(hits + d_hits >= n, 0.5).when(matched >= n * 0.3, 0.25).otherwise(0.0)
+    coverage = (hits + d_hits * 0.6 + fuzzies * 0.5 + synonyms * 0.4 + grams * 0.3) / n
+    score = (c("__sum")["points"] + whole_points + every * ALL_TERMS) * (0.3 + coverage * 0.7)
+    score = F.when(hits + d_hits > 0, F.greatest(score, F.lit(2.0))).otherwise(score) * F.when(F.length("title") > 150, 0.85).otherwise(1.0)
+    scored = own.withColumn("relevance", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)) / 100.0)
+    return scored.drop("__t", "__d", "__tw", "__dw", "__tg", "__marks", "__values", "__sum")
+
+
+def text_relevance(rows: DataFrame, query: str) -> DataFrame:
+    """pos and relevance (0 to 1) of rows (pos, title, description)."""
+    return with_relevance(rows, query).select("pos", "relevance")

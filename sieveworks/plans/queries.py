@@ -25,8 +25,7 @@ TEXT_QUERY = "then onion movie thand"
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     known = T.providers(spark, sf).select(F.col("id").alias("provider_id"), "searches", "failed", "avg_ms", "health")
     rows = profile.preference_boost(T.results(spark, sf), T.likes(spark, sf))
-    rows = rows.join(relevance.text_relevance(T.results(spark, sf), TEXT_QUERY), "pos")
-    return ranking.final_score(rows.join(known, "provider_id"))
+    return ranking.final_score(relevance.with_relevance(rows, TEXT_QUERY).join(known, "provider_id"))
 
 
 def _like(text: str, marks, otherwise: str) -> str:
