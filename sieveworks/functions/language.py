@@ -247,3 +247,23 @@ def concept_terms(c: Column, lexicon: Lexicon = NOTHING) -> Column:
 def fingerprint(intent: Column, c: Column) -> Column:
     """Intent, three subjects and two actions in order."""
     return F.concat_ws("|", intent, F.array_join(F.slice(F.sort_array(c["subjects"]), 1, 3), ","), F.array_join(F.slice(F.sort_array(c["actions"]), 1, 2), ","))
+
+
+# Words of queries made for an intent.
+INTENT_WORDS = ("compilation", "moments", "reaction", "download", "torrent", "guide")
+
+
+def query_strategy(query: Column, c: Column, lexicon: Lexicon = NOTHING) -> Column:
+    """Which strategy likely made a query of these concepts, by what it holds: the first that fits."""
+    return _let(F.struct(F.lower(query).alias("q"), c.alias("c")), lambda x: _strategy(x["q"], x["c"], lexicon))
+
+
+def _strategy(q: Column, c: Column, lexicon: Lexicon) -> Column:
+    held = lambda words: F.exists(words, lambda w: q.contains(w))
+    terms = F.create_map(*[x for k, v in lexicon.emotion_terms.items() for x in (F.lit(k), _texts(v))]) if lexicon.emotion_terms else None
+    felt = F.exists(c["emotions"], lambda e: held(F.coalesce(terms[e], _texts()))) if terms is not None else F.lit(False)
+    caused = F.exists(c["causes"], lambda x: q.contains(x["cause"]) & q.contains(x["effect"]))
+    return (
+        F.when(held(c["compounds"]), "compound").when(felt, "emotion").when(caused, "cause_effect").when(held(c["subjects"]) & held(c["actions"]), "core_concept")
+        .when(F.exists(c["subjects"], lambda s: held(related(s, lexicon))), "synonym").when(any_of(q, INTENT_WORDS), "intent").otherwise("broad")
+    )

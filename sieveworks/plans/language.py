@@ -50,3 +50,11 @@ def nlp_concepts(spark, sf):
 def nlp_queries(spark, sf):
     rows = _asked(spark, sf).select("ts", L.concepts(F.col("t"), F.col("q"), LEXICON).alias("c"), N.intent(F.col("t")).alias("intent"))
     return rows.select("ts", F.array_join(L.generated_queries(F.col("c"), F.col("intent"), LEXICON), "|").alias("queries"), F.array_join(L.concept_terms(F.col("c"), LEXICON), "|").alias("terms"))
+
+
+@query()
+def nlp_strategies(spark, sf):
+    """How many of each search's generated queries each strategy likely made."""
+    rows = _asked(spark, sf).select("ts", L.concepts(F.col("t"), F.col("q"), LEXICON).alias("c"), N.intent(F.col("t")).alias("intent"))
+    each = rows.select("ts", "c", F.explode(L.generated_queries(F.col("c"), F.col("intent"), LEXICON)).alias("made"))
+    return each.groupBy("ts", L.query_strategy(F.col("made"), F.col("c"), LEXICON).alias("strategy")).agg(F.count("*").alias("n"))

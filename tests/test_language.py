@@ -36,3 +36,14 @@ def test_causes(spark):
     c = understood(spark, "dogs jumping and falling")["c"]
     assert [tuple(x) for x in c["causes"]] == [("jump", "fall")]
     assert understood(spark, "")["queries"] == []
+
+
+def test_strategies_of_queries(spark):
+    lexicon = L.Lexicon(nouns=("cat", "film"), verbs=("find",), thesaurus={"film": ("movie",)}, emotion_terms={"happy": ("joyful",)})
+    empty = dict.fromkeys(("descriptors", "contexts"), [])
+    c = {**empty, "subjects": ["film"], "actions": ["find"], "emotions": ["happy"], "compounds": ["short film"], "causes": [("jump", "fall")]}
+    asked = ["A Short Film", "joyful thing", "jump then fall", "find a film", "a movie", "best guide", "film", "else"]
+    schema = "c struct<subjects:array<string>,actions:array<string>,descriptors:array<string>,emotions:array<string>,contexts:array<string>,compounds:array<string>,causes:array<struct<cause:string,effect:string>>>, q string"
+    rows = spark.createDataFrame([(c, q) for q in asked], schema)
+    got = [r[0] for r in rows.select(L.query_strategy(F.col("q"), F.col("c"), lexicon)).collect()]
+    assert got == ["compound", "emotion", "cause_effect", "core_concept", "synonym", "intent", "broad", "broad"]
