@@ -32,6 +32,8 @@ _ODD = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 SLICE, BATCH, WIDE_GROUP = 4 << 20, 8192, 64
 #: A side id's postings go to one part for each so many entries, and for each thousandth of all.
 PART_ENTRIES, LEAST_SHARE = 10_000_000, 1000
+#: Contributions that a task holds before it sums them, and half of it those that it keeps.
+HELD = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -271,12 +273,26 @@ def _contributions(streams: DataFrame) -> DataFrame:
     """From rows a, part, kind, base, bs, docs, body in order of (a, part, kind): (row, n_best, count_sum) of each posting.
 
     Kind 0 tells the counts of all pairs of the id, over the whole corpus; no id has more than the other vocabulary's size.
-    Kind 1 is a posting; it is read once, after them. Contributions of a batch are summed by row before they leave."""
+    Kind 1 is a posting; it is read once, after them. Contributions are summed by row over all postings of a task, and leave
+    at its end, or when there are too many to hold."""
+
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        found, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        out = [found]
+        for i in (1, 2):
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, at, np.concatenate([h[i] for h in held]))
+            out.append(sums)
+        return tuple(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = counts = None
+        held, size = [], 0
+
+        def leave(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c) for c in sums], ["row", "n_best", "count_sum"])
+
         for batch in batches:
-            rows, best, total = [], [], []
             columns = [batch.column(i) for i in range(2, 7)]
             for kind, base, bs, docs, body in zip(columns[0].to_pylist(), columns[1].to_pylist(), *columns[2:], strict=True):
                 others, n = (np.asarray(v.values) for v in (bs, docs))
@@ -287,15 +303,16 @@ def _contributions(streams: DataFrame) -> DataFrame:
                 count = np.repeat(counts[np.searchsorted(ids, others)], n)
                 places, rest = _wide(memoryview(body.as_buffer()), len(count))
                 times, _ = _wide(rest, len(count))
-                rows.append(base + places)
-                best.append(np.where(count == counts.max(), times, 0))
-                total.append(count * times)
-            if rows:
-                found, at = np.unique(np.concatenate(rows), return_inverse=True)
-                sums = [np.zeros(len(found), np.int64) for _ in range(2)]
-                for s, values in zip(sums, (best, total)):
-                    np.add.at(s, at, np.concatenate(values))
-                yield pa.record_batch([pa.array(found), *map(pa.array, sums)], ["row", "n_best", "count_sum"])
+                held.append((base + places, np.where(count == counts.max(), times, 0), count * times))
+                size += len(count)
+                if size > HELD:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield leave(held[0])
+                        held, size = [], 0
+        if held:
+            yield leave(summed(held))
 
     return streams.mapInArrow(run, "row long, n_best long, count_sum long")
 
@@ -320,7 +337,9 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     split = sides.select("a", parts.alias("parts"))
     heads = sides.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("base"), "bs", "docs", F.lit(None).cast("binary").alias("body"))
     rows = postings.join(F.broadcast(split), "a").select("a", F.pmod(F.xxhash64("base"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "base", "bs", F.col("docs").cast("array<long>").alias("docs"), "body")
-    streams = heads.select("a", "part", "kind", "base", "bs", "docs", "body").unionByName(rows).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    # A document gives a row to each task that holds one of its ids, so their number is given, and does not follow the data's.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    streams = heads.select("a", "part", "kind", "base", "bs", "docs", "body").unionByName(rows).repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "kind")
     sums = _contributions(streams).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     whole = facts.join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

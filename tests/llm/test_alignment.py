@@ -66,6 +66,7 @@ def test_alignment_equals_the_libraries_on_whole_texts(spark, monkeypatch, slice
     monkeypatch.setattr(alignment, "SLICE", slice_bytes)
     monkeypatch.setattr(alignment, "WIDE_GROUP", wide)
     monkeypatch.setattr(alignment, "PART_ENTRIES", entries)
+    monkeypatch.setattr(alignment, "HELD", entries)
     rows = list(enumerate(texts(400))) + [(None, "no id"), (7, "repeated row"), (7, "repeated row")]
     docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, row long, a int, body string").repartition(3)
     got = alignment.align_tokenizers(docs, A, B)
