@@ -335,13 +335,14 @@ def bounded_candidates(spark, sf):
 @query(f"SELECT event_id, ts > {AS_OF} - INTERVAL 10 MINUTE OR event_id % 3 = 0 AS cached, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY provider_id ORDER BY ts, event_id)) < 50, false) AS limited FROM provider_events")
 def cache_and_limit(spark, sf):
     """Whether an entry is still in a cache of ten minutes (or pinned), and whether it came within 50 ms of the one before."""
-    w = Window.partitionBy("provider_id", "slot").orderBy("ts", "event_id")
-    e = T.provider_events(spark, sf)
-    # Gaps within 50 ms lie in one 100 ms slot or across the edge of two: each event is also put into the slot before its own.
+    w = Window.partitionBy("provider_id", "slot").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    # Gaps within 50 ms lie in one 100 ms slot or across the edge of two: each event is also put into the slot after its own,
+    # where it only stands before others. Each event is so judged once, by itself, and needs no key.
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    both = e.select("event_id", "provider_id", "ts", ms.alias("ms")).withColumn("slot", F.explode(F.array(F.floor(ms / 100), F.floor(ms / 100) + 1)))
-    near = both.withColumn("gap", F.col("ms") - F.lag("ms").over(w)).groupBy("event_id").agg(F.coalesce(F.min("gap") < 50, F.lit(False)).alias("limited"))
-    return e.select("event_id", ((F.col("ts") > F.expr(f"{AS_OF} - INTERVAL 10 MINUTES")) | (F.col("event_id") % 3 == 0)).alias("cached")).join(near, "event_id")
+    both = T.provider_events(spark, sf).select("event_id", "provider_id", "ts", ms.alias("ms")).withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.floor(F.col("ms") / 100) + F.col("later"))
+    near = both.withColumn("gap", F.col("ms") - F.lag("ms").over(w)).where("later = 0")
+    cached = (F.col("ts") > F.expr(f"{AS_OF} - INTERVAL 10 MINUTES")) | (F.col("event_id") % 3 == 0)
+    return near.select("event_id", cached.alias("cached"), F.coalesce(F.col("gap") < 50, F.lit(False)).alias("limited"))
 
 
 @query("SELECT query, max(ts) AS last_ts FROM search_log GROUP BY 1 ORDER BY last_ts DESC, query LIMIT 100")
