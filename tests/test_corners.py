@@ -18,3 +18,12 @@ def test_cache_and_limit_of_repeated_and_missing_ids(spark, tmp_path):
     events.selectExpr("*", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(((r["event_id"] or 0, r["limited"]) for r in run(spark, tmp_path, "cache_and_limit").collect()))
     assert got == [(0, True), (4, False), (4, False), (4, True), (5, False), (7, True), (8, False), (8, False)]
+
+
+def test_config_items_keep_open_references(spark, tmp_path):
+    spark.createDataFrame([(1, "https://e.net/", '<body><nav><ul><li><a href="/a">x</a></li></ul></nav><article><h1>ver&amp</h1></article></body>'), (21, "https://e.net/", '<body><nav><ul><li><a href="/a">x</a></li></ul></nav><article><h1>a &amp; b &#39; &lt &#3</h1></article></body>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "S", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    events = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    spark.createDataFrame([], events).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["page_id"]: r["title"] for r in run(spark, tmp_path, "config_items").collect()}
+    assert got == {1: "ver&amp", 21: "a & b ' &lt &#3"}
