@@ -27,3 +27,10 @@ def test_config_items_keep_open_references(spark, tmp_path):
     spark.createDataFrame([], events).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["page_id"]: r["title"] for r in run(spark, tmp_path, "config_items").collect()}
     assert got == {1: "ver&amp", 21: "a & b ' &lt &#3"}
+
+
+def test_url_media_labels_of_numbers_with_1440(spark, tmp_path):
+    docs = spark.range(14400, 14412).selectExpr("id AS doc_id", "'a\nb' AS text", "'en' AS lang", "'src1' AS source", "3L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["pos"]: r["resolved_quality"] for r in run(spark, tmp_path, "url_media_labels").collect()}
+    assert (got[14401], got[14402], got[14403], got[14407], got[14410]) == ("1080p", "Unknown", "Unknown", "4K", "720p")
