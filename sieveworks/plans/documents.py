@@ -65,9 +65,16 @@ def dom_further_pages(spark, sf):
 
 @query(r"""SELECT page_id, 'data' AS kind, regexp_extract(tag, '\sdata-title="([^"]*)"', 1) AS title, regexp_extract(tag, '\sdata-url="([^"]*)"', 1) AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '<\w[^>]*\sdata-title="[^>]*>')) AS tag FROM pages) WHERE title <> '' AND url <> ''
  UNION ALL SELECT page_id, 'linked', regexp_extract(j, '"name"\s*:\s*"([^"]*)"', 1) AS t, regexp_extract(j, '"url"\s*:\s*"([^"]*)"', 1) AS u FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld.json">(.*?)</script>', 1)) AS j FROM pages) WHERE t <> '' AND u <> ''
- UNION ALL SELECT page_id, 'embedded', regexp_extract(j, '"title"\s*:\s*"([^"]*)"', 1) AS t, regexp_extract(j, '"url"\s*:\s*"([^"]*)"', 1) AS u FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)(?:var|const)\s+(?:videos?|movies?|items?|results?|data)\s*=\s*(\[\{.+?\}\]);', 1)) AS j FROM pages) WHERE t <> '' AND u <> ''""")
+ UNION ALL SELECT page_id, 'embedded', regexp_extract(j, '"title"\s*:\s*"([^"]*)"', 1) AS t, regexp_extract(j, '"url"\s*:\s*"([^"]*)"', 1) AS u FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)(?:var|const)\s+(?:videos?|movies?|items?|results?|data)\s*=\s*(\[\{.+?\}\]);', 1)) AS j FROM pages) WHERE t <> '' AND u <> ''
+ UNION ALL SELECT page_id, k, n, u FROM (SELECT page_id, unnest(['linked', 'embedded', 'data']) AS k, unnest([t, t, host]) AS n, unnest([url, url, '/of/' || host]) AS u FROM (SELECT page_id, url, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS t, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE starts_with(url, 'http') AND html IS NOT NULL)) WHERE k <> 'data' OR n <> ''""")
 def dom_data(spark, sf):
-    found = _elements(spark, sf)
+    """What pages name as linked data, in scripts' arrays and as data attributes; each is given its title and address in the first two, and its host in the third."""
+    title, host = F.trim(P.page_title(F.col("html"))), F.regexp_extract("url", "://([^/?#]*)", 1)
+    linked = F.to_json(F.struct(F.lit("Movie").alias("@type"), title.alias("name"), F.col("url").alias("url")))
+    listed = F.to_json(F.array(F.struct(title.alias("title"), F.col("url").alias("url"))))
+    head = F.concat(F.lit('<script type="application/ld+json">'), linked, F.lit("</script><script>var items = "), listed, F.lit(';</script><div data-title="'), host, F.lit('" data-url="/of/'), host, F.lit('"></div>'))
+    own = F.when(F.col("url").startswith("http"), head).otherwise("")
+    found = dom.stored(T.table(spark, sf, "pages").select("page_id", F.concat(F.coalesce(own, F.lit("")), "html").alias("html")))
     parts = {"linked": dom.linked_data(found), "embedded": dom.embedded_items(found), "data": dom.data_items(found)}
     rows = [p.select("page_id", F.lit(k).alias("kind"), "title", "url") for k, p in parts.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -34,3 +34,12 @@ def test_url_media_labels_of_numbers_with_1440(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["pos"]: r["resolved_quality"] for r in run(spark, tmp_path, "url_media_labels").collect()}
     assert (got[14401], got[14402], got[14403], got[14407], got[14410]) == ("1080p", "Unknown", "Unknown", "4K", "720p")
+
+
+def test_dom_data_of_each_page(spark, tmp_path):
+    own = '<div data-title="D" data-url="/d"></div>'
+    pages = [(1, "https://a.net/x", "<title> T &amp; U </title>"), (2, "/no-host", own), (3, None, own), (4, "https://b.net", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in run(spark, tmp_path, "dom_data").collect())
+    title = "T &amp; U"
+    assert got == [(1, "data", "a.net", "/of/a.net"), (1, "embedded", title, "https://a.net/x"), (1, "linked", title, "https://a.net/x"), (2, "data", "D", "/d"), (3, "data", "D", "/d")]
