@@ -88,8 +88,12 @@ def recommended_strategy(known: Column, needs_script: Column, has_api: Column, o
 
 
 def recovery_action(error: Column) -> Column:
-    """What to do about an error. Other routes to a site are left out on purpose, so all but errors of format wait and try again."""
-    return F.when(any_of(F.lower(error), ("quality", "format")), "TRY_ALTERNATE_QUALITY").otherwise("RETRY_WITH_DELAY")
+    """The name of what to do about an error; a label only, as no route to a site is built here."""
+    low = F.lower(error)
+    return (
+        F.when(any_of(low, ("403", "geo", "blocked")), "USE_PROXY").when(any_of(low, ("quality", "format")), "TRY_ALTERNATE_QUALITY")
+        .when(any_of(low, ("timeout", "connection")), "RETRY_WITH_DELAY").when(low.contains("proxy"), "ROTATE_PROXY").otherwise("RETRY_WITH_DELAY")
+    )
 
 
 def extraction_strategy(kind: Column, methods: Column) -> Column:

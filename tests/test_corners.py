@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
 
 from sieveworks.plans import queries as plans
 
@@ -43,3 +44,11 @@ def test_dom_data_of_each_page(spark, tmp_path):
     got = sorted(tuple(r) for r in run(spark, tmp_path, "dom_data").collect())
     title = "T &amp; U"
     assert got == [(1, "data", "a.net", "/of/a.net"), (1, "embedded", title, "https://a.net/x"), (1, "linked", title, "https://a.net/x"), (2, "data", "D", "/d"), (3, "data", "D", "/d")]
+
+
+def test_recovery_of_each_kind_of_error(spark):
+    from sieveworks.operators.decisions import recovery_action
+
+    rows = spark.createDataFrame([(e,) for e in ("Error 403", "bad format", "Timeout", "proxy down", "other")], "error string")
+    got = [r[0] for r in rows.select(recovery_action(F.col("error"))).collect()]
+    assert got == ["USE_PROXY", "TRY_ALTERNATE_QUALITY", "RETRY_WITH_DELAY", "ROTATE_PROXY", "RETRY_WITH_DELAY"]
