@@ -2,9 +2,9 @@
 
 A text is cut into units at each space that follows another kind of character; neither tokenizer joins across such a place, so a
 unit is encoded and aligned once for each distinct one of a slice. Each slice gives one posting a side id: the other ids it
-is linked with there, in how many documents, and the documents with their numbers of links. Postings are dealt by side id (one
-with many, over several tasks) and read as sorted streams behind the counts of that id's pairs; counts and their maximum
-are settled in the task, contributions of documents are emitted and summed by document."""
+is linked with there, in how many documents, and the documents with their numbers of links. Postings are dealt by group of side
+ids and, where they are many, by parts of the slices, and read as sorted streams behind the counts of each id's pairs; counts and their
+maximum are settled in the task, contributions of documents are emitted and summed by document."""
 
 from __future__ import annotations
 
@@ -30,8 +30,9 @@ _CUT = re.compile(r"(?<=\S)(?= [\s\S])")
 _ODD = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Bytes of text of a slice, units that are encoded at a time, and links of a group from which on its distinct ids are paired.
 SLICE, BATCH, WIDE_GROUP = 4 << 20, 8192, 64
-#: A side id's postings go to one part for each so many entries, and for each thousandth of all.
-PART_ENTRIES, LEAST_SHARE = 10_000_000, 1000
+#: Groups of side ids, and entries of a group in one part of the slices, as a rule. A document lies in one part, so it gives at
+#: most one row a group whatever the size of the input.
+GROUPS, PART_ENTRIES = 32, 2_000_000
 #: Contributions that a task holds before it sums them, and half of it those that it keeps.
 HELD = 2_000_000
 
@@ -332,14 +333,13 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     sides = pairs.groupBy("a").agg(F.collect_list("b").alias("bs"), F.collect_list("n").alias("docs"), F.sum("n").alias("entries"))
     sides = write_table(sides, "alignment-counts")
     total = sides.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-    # One row for each id of a vocabulary.
-    parts = F.ceil(F.greatest(F.col("entries") / PART_ENTRIES, F.col("entries") * LEAST_SHARE / max(1, total))).cast("int")
-    split = sides.select("a", parts.alias("parts"))
-    heads = sides.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("base"), "bs", "docs", F.lit(None).cast("binary").alias("body"))
-    rows = postings.join(F.broadcast(split), "a").select("a", F.pmod(F.xxhash64("base"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "base", "bs", F.col("docs").cast("array<long>").alias("docs"), "body")
-    # A document gives a row to each task that holds one of its ids, so their number is given, and does not follow the data's.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streams = heads.select("a", "part", "kind", "base", "bs", "docs", "body").unionByName(rows).repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "kind")
+    parts = max(1, -(-total // (GROUPS * PART_ENTRIES)))
+    # Every part of the slices has the counts of all ids: no more than the pairs of the two vocabularies that occur.
+    heads = sides.select("a", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("base"), "bs", "docs", F.lit(None).cast("binary").alias("body"))
+    rows = postings.select("a", F.pmod(F.xxhash64("base"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "base", "bs", F.col("docs").cast("array<long>").alias("docs"), "body")
+    # One task a group and part, so that a document's rows follow the groups and not the tasks.
+    task = F.pmod(F.xxhash64("a"), F.lit(GROUPS)).cast("int") + F.col("part") * GROUPS
+    streams = heads.select("a", "part", "kind", "base", "bs", "docs", "body").unionByName(rows).repartitionById(GROUPS * parts, task).sortWithinPartitions("a", "part", "kind")
     sums = _contributions(streams).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     whole = facts.join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

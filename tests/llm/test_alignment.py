@@ -86,3 +86,24 @@ def test_links_of_groups(monkeypatch, wide):
     pairs, times, first = alignment._links(a, b, np.array([0, 3, 4, 5, 6]), np.array([0, 2, 3, 4, 6]), np.array([0, 2, 2, 2]), 3)
     got = [{(p >> 32, p & 0xFFFF): t for p, t in zip(pairs[s:e].tolist(), times[s:e].tolist())} for s, e in zip(first, first[1:])]
     assert got == [{(5, 0): 3, (5, 1): 3}, {}, {(5, 7): 2, (6, 8): 2}]
+
+
+def test_documents_give_rows_by_groups_not_by_tasks(spark, monkeypatch):
+    """The rows that documents give are as many for other numbers of tasks."""
+    counts, own = [], alignment._contributions
+
+    def counted(streams):
+        out = own(streams)
+        counts.append((out.count(), streams.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(alignment, "_contributions", counted)
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 80), x -> concat('w', string((id * x) % 97), 'x'))) AS text")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            assert alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert counts[0] == counts[1] and counts[0][0] <= 60 * alignment.GROUPS
