@@ -97,7 +97,7 @@ def find_containers(found: DataFrame) -> DataFrame:
     within = F.col("body").isNull() | (F.col("place") == F.col("body")) | F.array_contains("path", F.col("body"))
     large = (F.coalesce("n_children", F.lit(0)) >= 2) | (F.length("text") > 50)
     rows = dom.write_table(rows.where(within & large).select("page_id", "place", "last", "size", "rank"), "container-candidates")
-    return rows.join(outermost(rows), ["page_id", "place"]).select("page_id", "place", "rank")
+    return dom.shuffled(rows.join(outermost(rows), ["page_id", "place"]).select("page_id", "place", "rank"))
 
 
 def alike_children(found: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def alike_children(found: DataFrame) -> DataFrame:
     first = found.where("parent >= 0 AND sibling < 5").join(tags, ["page_id", "place"], "left").select("page_id", F.col("parent").alias("place"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     same = first.groupBy("page_id", "place", "tags").agg(F.count("*").alias("n"))
     totals = same.groupBy("page_id", "place").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    return totals.select("page_id", "place", ((F.col("all") >= 3) & (F.col("most") >= F.floor(F.col("all") * 6 / 10))).alias("alike"))
+    return dom.shuffled(totals.select("page_id", "place", ((F.col("all") >= 3) & (F.col("most") >= F.floor(F.col("all") * 6 / 10))).alias("alike")))
 
 
 def _class_like(*parts: str) -> Column:
@@ -177,7 +177,7 @@ def css_paths(found: DataFrame, rows: DataFrame) -> DataFrame:
     parts = found.select("page_id", F.col("place").alias("step"), F.when((same > 1) & (F.col("parent") >= 0), F.concat(part, F.lit(":nth-child("), (F.col("sibling") + 1).cast("string"), F.lit(")"))).otherwise(part).alias("part"))
     chains = rows.join(found.select("page_id", "place", "path"), ["page_id", "place"]).select("page_id", "place", F.explode(F.concat("path", F.array("place"))).alias("step"))
     listed = chains.join(parts, ["page_id", "step"]).groupBy("page_id", "place").agg(F.array_sort(F.collect_list(F.struct("step", "part"))).alias("all"))
-    return listed.select("page_id", "place", F.array_join(F.transform("all", lambda e: e["part"]), " > ").alias("css_path"))
+    return dom.shuffled(listed.select("page_id", "place", F.array_join(F.transform("all", lambda e: e["part"]), " > ").alias("css_path")))
 
 
 def page_types(pages: DataFrame, found: DataFrame, classed: DataFrame) -> DataFrame:

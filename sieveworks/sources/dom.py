@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.scores import resolve_url
-from sieveworks.sources.store import write_table
+from sieveworks.sources.store import shuffled, write_table
 
 # Fixed values.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))

@@ -30,4 +30,10 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     shuffle, unless the other side is broadcast by name, and no table is gathered by the driver because its files are small."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+    return shuffled(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, whose joins shuffle unless the other side is broadcast by name. What a join gives has lost this mark of its sides: without
+    it, Spark would send rows that are narrow where they are shuffled, and large on the driver, to all through the driver."""
+    return df.hint("merge")
