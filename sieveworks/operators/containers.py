@@ -61,7 +61,7 @@ def subtree_sums(found: DataFrame, roots: DataFrame, measures: dict[str, Column]
     before = sums.select("page_id", "place", *[(F.col(m) - F.col(f"own_{m}")).alias(f"before_{m}") for m in measures])
     upto = sums.select("page_id", F.col("place").alias("last"), *measures)
     joined = roots.join(before, ["page_id", "place"]).join(upto, ["page_id", "last"])
-    return joined.select(*roots.columns, *[(F.col(m) - F.col(f"before_{m}")).alias(m) for m in measures])
+    return dom.shuffled(joined.select(*roots.columns, *[(F.col(m) - F.col(f"before_{m}")).alias(m) for m in measures]))
 
 
 def outermost(rows: DataFrame, times: int = 2) -> DataFrame:

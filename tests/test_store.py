@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sieveworks.operators import containers
+from sieveworks.operators import containers, layout
 from sieveworks.sources import dom, selectors
 from sieveworks.sources.store import write_table
 
@@ -22,7 +22,7 @@ def test_tables_named_for_broadcast_are_sent(spark):
     assert "BroadcastHashJoin" in plan
 
 
-def test_containers_send_only_selectors(spark, monkeypatch):
+def test_containers_and_layouts_send_only_selectors(spark, monkeypatch):
     """Whatever Spark thinks of sizes, no rows of pages are broadcast: only the tables of steps and names of selectors."""
     words = "episode season video movie watch play " * 4
     item = f"<article class='item'><a href='/watch/1'>{words}</a><img src='a.jpg'><h2>{words}</h2></article>"
@@ -47,7 +47,7 @@ def test_containers_send_only_selectors(spark, monkeypatch):
     try:
         found = dom.stored(pages)
         classed = dom.write_table(containers.classify(found, containers.find_containers(found)), "containers")
-        for df in (containers.page_types(pages.select("page_id", F.lit("u").alias("url")), found, classed),):
+        for df in (containers.page_types(pages.select("page_id", F.lit("u").alias("url")), found, classed), layout.layout_patterns(found, pages)):
             sent.extend(broadcast_rows(df))
         assert classed.count() >= 40
     finally:
