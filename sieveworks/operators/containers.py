@@ -217,7 +217,7 @@ def _read_items(found: DataFrame, items: DataFrame) -> DataFrame:
     fields = inner.join(items.select("page_id", F.col("place").alias("item")).distinct(), ["page_id", "item"]).groupBy("page_id", "item").agg(
         F.max_by(F.struct("text", dom.attr("href").alias("href")), F.when(link, F.struct(F.length("text"), (-F.col("inner_place")).alias("p")))).alias("a"), first(F.col("text"), F.col("is_title")).alias("title"),
         first(F.struct(dom.attr("src").alias("src"), dom.attr("data-src").alias("data")), image).alias("img"), first(F.col("text"), F.col("is_length")).alias("duration"), first(F.col("text"), F.col("is_rated")).alias("rated"))
-    rows = items.join(fields.withColumnRenamed("item", "place"), ["page_id", "place"]).join(found.select("page_id", "place", F.col("text").alias("whole")), ["page_id", "place"])
+    rows = items.join(dom.shuffled(fields.withColumnRenamed("item", "place")), ["page_id", "place"]).join(found.select("page_id", "place", F.col("text").alias("whole")), ["page_id", "place"])
     quality = F.lit(None).cast("string")
     for q in reversed(QUALITIES):
         quality = F.when(F.lower("whole").contains(q.lower()), q).otherwise(quality)

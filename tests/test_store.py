@@ -47,9 +47,10 @@ def test_containers_and_layouts_send_only_selectors(spark, monkeypatch):
     try:
         found = dom.stored(pages)
         classed = dom.write_table(containers.classify(found, containers.find_containers(found)), "containers")
-        for df in (containers.page_types(pages.select("page_id", F.lit("u").alias("url")), found, classed), layout.layout_patterns(found, pages)):
+        items = containers.result_items(found, classed)
+        for df in (containers.page_types(pages.select("page_id", F.lit("u").alias("url")), found, classed), items, layout.layout_patterns(found, pages)):
             sent.extend(broadcast_rows(df))
-        assert classed.count() >= 40
+        assert classed.count() >= 40 and items.count() == 200
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert named and not sent
