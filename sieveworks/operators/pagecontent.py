@@ -38,7 +38,9 @@ def page_content(pages: DataFrame, base: Column) -> DataFrame:
     surest first, then in the order of methods and places. Of items with one address and one title, by its first 50 letters
     without case, the first method's stays. Null and empty pages hold nothing."""
     found = dom.stored(pages.select("page_id", "html"))
-    kinds = pages.select("page_id", sitemarks.data_format(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))).alias("format"))
+    # The format of a page takes many patterns over its source: told once, and only feeds keep their source.
+    kinds = pages.select("page_id", "html", sitemarks.data_format(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))).alias("format"))
+    kinds = dom.write_table(kinds.select("page_id", "format", F.when(F.col("format").isin("RSS", "XML"), F.col("html")).alias("xml")), "page-formats")
     nothing = F.lit(None).cast("string")
 
     def rows(frame: DataFrame, method: int, source: Column, confidence: float, place: Column, description: Column = nothing, thumbnail: Column = nothing) -> DataFrame:
@@ -46,11 +48,11 @@ def page_content(pages: DataFrame, base: Column) -> DataFrame:
 
     c = F.col
     wanted = F.coalesce(*[F.when(c("format") == f, s) for f, s in STATEFUL.items()])
-    states = state.state_items(found).join(kinds, "page_id").where(c("source") == wanted)
+    states = state.state_items(found).join(kinds.select("page_id", "format"), "page_id").where(c("source") == wanted)
     order = lambda *of: F.struct(*of)
     place = lambda place, n=F.lit(0), path=F.lit(""): order(place.cast("int").alias("place"), n.cast("int").alias("n"), path.alias("path"))
     embedded = dom.embedded_items(found).withColumn("url", F.when(c("url").startswith("http"), c("url")).otherwise(F.concat(F.lit("/"), "url")))
-    feeds = dom.feed_items(pages.join(kinds, "page_id").where(c("format").isin("RSS", "XML")).select("page_id", F.col("html").alias("xml")))
+    feeds = dom.feed_items(kinds.where("xml IS NOT NULL").select("page_id", "xml"))
     parts = [
         rows(states, 0, c("source"), STATE, place(c("place"), path=c("path")), c("description"), c("thumbnail")),
         rows(dom.linked_data(found), 1, F.concat(F.lit("JSON-LD:"), c("type")), LINKED, place(c("place"), c("n")), c("description"), c("image")),

@@ -43,7 +43,8 @@ VIDEO_ATTRIBUTES = ("src", "data-src", "data-url", "data-video", "data-hls", "da
 MEDIA_DATA = ("data-src", "data-url", "data-video", "data-stream", "data-file", "data-hls", "data-dash", "data-mp4", "data-video-url", "data-stream-url", "data-source", "data-media", "data-content", "data-embed")
 MEDIA_META = ("og:video", "og:video:url", "og:video:secure_url", "twitter:player:stream")
 SCHEMA_TYPES = ("Movie", "TVSeries", "TVEpisode", "VideoObject", "MediaObject", "Article", "SearchResultsPage", "ItemList", "WebPage")
-_SPACE = re.compile(r"\s+")
+#: Rows of elements that leave a Python worker together, at least.
+LEAST_ROWS = 1000
 SCHEMA = "page_id long, place int, parent int, last int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string, sibling int, path array<int>, size int"
 
 
@@ -132,7 +133,7 @@ class _Tree(HTMLParser):
         for (place, parent, last, depth, tag, attrs, _, sibling, begin, end), texts in zip(self.rows, own, strict=True):
             paths[place] = [*paths[parent], place]
             joined = "".join(texts)
-            text = joined if tag in ("script", "style") else _SPACE.sub(" ", joined).strip()
+            text = joined if tag in ("script", "style") else " ".join(joined.split())
             out.append((place, parent, last, depth, tag, attrs.get("id"), list(dict.fromkeys(attrs.get("class", "").split())), list(attrs.items()), text, sibling, paths[parent], end - begin))
         return out
 
@@ -145,10 +146,13 @@ def elements(pages: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32())
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tree = _Tree(html.as_py() or "")
-                if rows := [(page, *r) for r in tree.done()]:
+            rows = []
+            for n, (page, html) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
+                rows += [(page, *r) for r in _Tree(html.as_py() or "").done()]
+                # The rows of several small pages go together.
+                if rows and (len(rows) >= LEAST_ROWS or n == batch.num_rows):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(parse, SCHEMA)
 

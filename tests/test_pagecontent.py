@@ -20,3 +20,12 @@ def test_page_content(spark):
     summary = {r["page_id"]: (r["n_items"], round(r["confidence"], 4), r["methods"]) for r in pagecontent.content_confidence(content).collect()}
     assert summary == {1: (7, round((0.9 + 3 * 0.85 + 0.75 + 2 * 0.65) / 7, 4), ["JSON-LD:Movie", "NextJS", "EmbeddedJSON", "DataAttributes", "HTML"]), 3: (1, 0.8, ["RSS/XML"])}
     assert pagecontent.page_content(pages.limit(0), F.lit("")).count() == 0
+
+
+def test_the_format_of_a_page_is_told_once(spark):
+    """What follows reads the written formats: no plan over stored tables tells them from the sources again, or shuffles these."""
+    pages = spark.createDataFrame([(1, "https://e.net/", ONE), (3, "https://e.net/feed", "<rss><item><title>A</title><link>/a</link></item></rss>")], "page_id long, url string, html string")
+    content = pagecontent.page_content(pages, F.lit("https://e.net"))
+    plan = content._jdf.queryExecution().optimizedPlan().toString()
+    assert "rss|feed|channel" not in plan and "html" not in plan
+    assert content.where("source = 'RSS/XML'").count() == 1
