@@ -242,3 +242,22 @@ def test_out_of_fold_probabilities_know_nothing_of_their_own_labels():
     after = toxicity._outside(found, other, folds, np.zeros((400, 0)))
     assert (before[folds == 1] == after[folds == 1]).all() and (before[folds == 0] != after[folds == 0]).any()
     assert abs(np.corrcoef(before, y)[0, 1]) < 0.2
+
+
+def test_words_met_again_stay_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(subwords, "KEPT_WORDS", 40)
+    memory, asked = subwords.WordMemory(public_tokenizers.path("word_bpe_49k.json"), "<u2"), []
+    library = memory.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    memory.tokenizer = Counting()
+    for i in range(30):
+        text = "often met, " + " ".join(f"new{i}x{j}" for j in range(15))
+        ids, ends, _ = memory(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends[-1] == len(ids)
+        assert len(memory.keys) <= 40 + 17
+    assert asked.count("often") == asked.count("met,") == 1 and len(asked) == 2 + 30 * 15
