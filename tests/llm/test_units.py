@@ -1,8 +1,11 @@
 """The parts of the llm operators that run inside tasks, against brute force."""
 
 import random
+import subprocess
+import sys
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -261,3 +264,32 @@ def test_words_met_again_stay_when_the_memory_is_full(monkeypatch):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends[-1] == len(ids)
         assert len(memory.keys) <= 40 + 17
     assert asked.count("often") == asked.count("met,") == 1 and len(asked) == 2 + 30 * 15
+
+
+def test_free_memory_of_batches_is_given_back():
+    """In a process of its own, as memory that others left free would count."""
+    code = """
+import pyarrow as pa
+from sieveworks.llm import wordhash
+from pathlib import Path
+
+def used():
+    return int(Path("/proc/self/status").read_text().split("RssAnon:")[1].split()[0]) / 1024
+
+before, kept = used(), []
+for i in range(3):
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, pa.schema([("text", pa.string())])) as to:
+            for _ in range(2):
+                to.write_batch(pa.record_batch([pa.array(["word and more " * 300] * 10_000)], ["text"]))
+        data = out.getvalue()
+    for batch in pa.ipc.open_stream(pa.BufferReader(data).read_buffer()):
+        parts = sum(p.num_rows for p in wordhash.slices(batch, 0))
+        assert parts == batch.num_rows
+    del data, out, to, batch
+    for _ in wordhash.slices(pa.record_batch([pa.array(["a"])], ["text"]), 0):
+        pass
+print(used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 40
