@@ -338,11 +338,12 @@ def cache_and_limit(spark, sf):
     w = Window.partitionBy("provider_id", "slot").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     # Gaps within 50 ms lie in one 100 ms slot or across the edge of two: each event is also put into the slot after its own,
     # where it only stands before others. Each event is so judged once, by itself, and needs no key.
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    both = T.provider_events(spark, sf).select("event_id", "provider_id", "ts", ms.alias("ms")).withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.floor(F.col("ms") / 100) + F.col("later"))
-    near = both.withColumn("gap", F.col("ms") - F.lag("ms").over(w)).where("later = 0")
+    # epoch_ms rounds to the nearest millisecond, halves away from 1970, where unix_millis would cut; kept as microseconds.
+    us = F.round(F.unix_micros(F.col("ts").cast("timestamp")), -3)
+    both = T.provider_events(spark, sf).select("event_id", "provider_id", "ts", us.alias("us")).withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.floor(F.col("us") / 100_000) + F.col("later"))
+    near = both.withColumn("gap", F.col("us") - F.lag("us").over(w)).where("later = 0")
     cached = (F.col("ts") > F.expr(f"{AS_OF} - INTERVAL 10 MINUTES")) | (F.col("event_id") % 3 == 0)
-    return near.select("event_id", cached.alias("cached"), F.coalesce(F.col("gap") < 50, F.lit(False)).alias("limited"))
+    return near.select("event_id", cached.alias("cached"), F.coalesce(F.col("gap") < 50_000, F.lit(False)).alias("limited"))
 
 
 @query("SELECT query, max(ts) AS last_ts FROM search_log GROUP BY 1 ORDER BY last_ts DESC, query LIMIT 100")

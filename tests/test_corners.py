@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sieveworks.plans import queries as plans
@@ -21,6 +22,22 @@ def test_cache_and_limit_of_repeated_and_missing_ids(spark, tmp_path):
     assert got == [(0, True), (4, False), (4, False), (4, True), (5, False), (7, True), (8, False), (8, False)]
 
 
+def test_cache_and_limit_rounds_to_milliseconds_as_its_sql(spark, tmp_path):
+    starts = (datetime(2024, 1, 1), datetime(1969, 12, 31, 23, 59, 59))
+    gaps = [(s, f, g) for s in starts for f in (0, 1, 499, 500, 501, 999) for g in (49_000, 49_499, 49_500, 49_501, 49_999, 50_000, 50_499, 50_500, 50_999)]
+    # Pairs of events, each pair alone in its second; its gap crosses a slot's edge or not.
+    at = [(s + timedelta(seconds=5 * i if s.year > 2000 else -5 * i, microseconds=f + 60_000 * (i % 2)), g) for i, (s, f, g) in enumerate(gaps)]
+    rows = [(2 * i + n, t + timedelta(microseconds=n * g), 1) for i, (t, g) in enumerate(at) for n in (0, 1)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    events.selectExpr("*", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in run(spark, tmp_path, "cache_and_limit").collect())
+    sql = plans.oracle_sql()["cache_and_limit"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == sorted(con.execute(sql).fetchall())
+    assert 0 < sum(limited for _, _, limited in got) < len(gaps)
+
+
 def test_config_items_keep_open_references(spark, tmp_path):
     spark.createDataFrame([(1, "https://e.net/", '<body><nav><ul><li><a href="/a">x</a></li></ul></nav><article><h1>ver&amp</h1></article></body>'), (21, "https://e.net/", '<body><nav><ul><li><a href="/a">x</a></li></ul></nav><article><h1>a &amp; b &#39; &lt &#3</h1></article></body>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(1, "S", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
