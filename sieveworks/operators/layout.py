@@ -13,6 +13,8 @@ from sieveworks.operators.containers import child_counts, css_paths, holds_any,
 from sieveworks.sources import dom, selectors
 
 # Fixed values.
+#: A pattern's confidence is defined on so many first members of its group.
+HEAD = 5
 GRIDS = (".grid", "[class*='grid']", ".row > .col", ".flex-wrap", ".masonry")
 CARDS = (".card", "[class*='card']", ".tile", ".box", ".item", ".entry", "article")
 LAZY = ("[data-src]", "[data-lazy-src]", "[loading='lazy']", ".lazy", "[class*='lazy']", "[data-original]")
@@ -40,13 +42,12 @@ MARKED = (
 )
 
 
-def similarity(found: DataFrame, members: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
-    """members: page_id, keys, n (0 for the first), place. For each group its number of members and how alike the first
-    `most` are: the mean agreement with the first in tag, child tags, image, link and heading; 0 for a group of one."""
-    few = dom.write_table(members.where(F.col("n") < most).join(found.select("page_id", "place", "last", "tag"), ["page_id", "place"]), "group-members")
-    sums = subtree_sums(found, few.select("page_id", "place", "last").distinct(), {"images": F.col("tag") == "img", "links": F.col("tag") == "a", "headings": F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")})
+def similarity(found: DataFrame, members: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """members: page_id, keys, n (0 for the first), place, last, tag. For each group its number of members and how alike they are, or
+    the first `most` if given: the mean agreement with the first in tag, child tags, image, link and heading; 0 for a group of one."""
+    compared = members if most is None else members.where(F.col("n") < most)
     tags = found.where("parent >= 0").groupBy("page_id", F.col("parent").alias("place")).agg(F.collect_set("tag").alias("tags"), F.count("*").alias("n_tags"))
-    built = few.join(sums.drop("last"), ["page_id", "place"]).join(tags, ["page_id", "place"], "left")
+    built = subtree_sums(found, compared.join(tags, ["page_id", "place"], "left"), {"images": F.col("tag") == "img", "links": F.col("tag") == "a", "headings": F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")})
     none = F.array().cast("array<string>")
     build = F.struct("tag", F.coalesce("tags", none).alias("tags"), F.coalesce("n_tags", F.lit(0)).alias("n_tags"), (F.col("images") > 0).alias("image"), (F.col("links") > 0).alias("link"), (F.col("headings") > 0).alias("heading"))
     rows = built.select("page_id", *keys, "n", build.alias("b"))
@@ -55,16 +56,17 @@ def similarity(found: DataFrame, members: DataFrame, keys: list[str], most: int
     both = F.size(F.array_intersect(r["tags"], b["tags"]))
     children = F.when((both == F.size(r["tags"])) & (both == F.size(b["tags"])), 2).when(both * 2 > r["n_tags"], 1).otherwise(0)
     halves = children + sum((F.when(b[f] == r[f], 2).otherwise(0) for f in ("image", "link", "heading")), F.when(b["tag"] == r["tag"], 2).otherwise(0))
-    alike = rows.groupBy("page_id", *keys).agg(F.sum(F.when(F.col("n") > 0, halves)).alias("halves"), F.count_if(F.col("n") > 0).alias("others"))
-    sizes = members.groupBy("page_id", *keys).agg(F.count("*").alias("n_members"))
+    alike = rows.groupBy("page_id", *keys).agg(F.count("*").alias("n_members"), F.sum(F.when(F.col("n") > 0, halves)).alias("halves"), F.count_if(F.col("n") > 0).alias("others"))
+    if most is not None:
+        alike = members.groupBy("page_id", *keys).agg(F.count("*").alias("n_members")).join(alike.drop("n_members"), ["page_id", *keys])
     share = F.when(F.col("others") > 0, F.col("halves") / (F.col("others") * 10)).otherwise(0.0)
-    return sizes.join(alike, ["page_id", *keys]).select("page_id", *keys, "n_members", share.alias("similarity"))
+    return alike.select("page_id", *keys, "n_members", share.alias("similarity"))
 
 
-def sibling_groups(found: DataFrame) -> DataFrame:
-    """page_id, parent, n_members and similarity of the children of each element that has two at least."""
-    members = found.where("parent >= 0").select("page_id", "parent", F.col("sibling").alias("n"), "place")
-    return similarity(found, members, ["parent"]).where("n_members > 1")
+def sibling_groups(found: DataFrame, most: int | None = HEAD) -> DataFrame:
+    """page_id, parent, n_members and similarity (of all members if `most` is None) of the children of each element that has two at least."""
+    members = found.where("parent >= 0").select("page_id", "parent", F.col("sibling").alias("n"), "place", "last", "tag")
+    return similarity(found, members, ["parent"], most).where("n_members > 1")
 
 
 def _selected(found: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -94,14 +96,15 @@ def layout_patterns(found: DataFrame, pages: DataFrame) -> DataFrame:
     grids = grids.join(counts.withColumnRenamed("place", "holder"), ["page_id", "holder"]).where("n_children >= 4")
     grids = grids.groupBy("page_id").agg(F.min(F.struct("rank", "selector", "holder", "n_children")).alias("g")).select("page_id", "g.*")
     cards = chosen.where("kind = 'card'").withColumn("n", F.row_number().over(Window.partitionBy("page_id", "rank").orderBy("place")) - 1)
-    child = found.where("parent >= 0").select("page_id", F.col("parent").alias("holder"), F.col("sibling").alias("n"), "place", F.col("tag").alias("child_tag"))
+    child = found.where("parent >= 0").select("page_id", F.col("parent").alias("holder"), F.col("sibling").alias("n"), "place", "last", F.col("tag").alias("child_tag"))
     uniform = child.groupBy("page_id", "holder").agg(F.count("*").alias("n_children"), (F.min("child_tag") == F.max("child_tag")).alias("uniform"))
     lists = narrow.withColumnRenamed("place", "holder").join(uniform, ["page_id", "holder"])
     lists = lists.where((F.col("tag").isin("ul", "ol") & (F.col("n_children") >= 5)) | (F.col("tag").isin("div", "section") & F.col("uniform") & (F.col("n_children") >= 4)))
     held = grids.select("page_id", "holder", F.lit("grid").alias("kind")).unionByName(lists.select("page_id", "holder", F.lit("list").alias("kind")))
-    groups = child.join(held, ["page_id", "holder"]).select("page_id", "kind", F.col("holder").alias("key"), "n", "place")
-    groups = dom.write_table(groups.unionByName(cards.select("page_id", "kind", F.col("rank").alias("key"), "n", "place")), "layout-groups")
-    alike = dom.write_table(similarity(found, groups, ["kind", "key"]), "layout-alike")
+    groups = child.join(held, ["page_id", "holder"]).select("page_id", "kind", F.col("holder").alias("key"), "n", "place", "last", F.col("child_tag").alias("tag"))
+    cards = cards.join(narrow, ["page_id", "place"]).select("page_id", "kind", F.col("rank").alias("key"), "n", "place", "last", "tag")
+    groups = dom.write_table(groups.unionByName(cards), "layout-groups")
+    alike = dom.write_table(similarity(found, groups, ["kind", "key"], HEAD), "layout-alike")
 
     c = F.col
     grid = alike.where("kind = 'grid'").join(grids.withColumnRenamed("holder", "key"), ["page_id", "key"]).join(narrow.withColumnRenamed("place", "key"), ["page_id", "key"])

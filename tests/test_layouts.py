@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sieveworks.operators import containers, layout
+from sieveworks.plans import layouts
 from sieveworks.sources import dom
 
 CARD = '<div class="card"><img src="/t{0}.jpg"><h3>Film number {0}</h3><a href="/watch/{0}">Watch film {0} now</a><span class="duration">1:0{0}:00</span><span class="rating">7.{0}/10</span></div>'
@@ -116,6 +117,14 @@ def test_sibling_groups_equal_brute_force(found):
     assert got == expected
 
 
+def test_sibling_similarity_compares_all_children(spark, tmp_path):
+    # Four items agree with the first; twenty hold an image instead of the link, so they agree in tag and heading alone.
+    html = "<ul>" + 5 * "<li><a>x</a></li>" + 20 * "<li><img></li>" + "</ul><p>y</p>"
+    spark.createDataFrame([(7, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = layouts.sibling_similarity(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [(7, 0, 25, (4 * 10 + 20 * 4) / 240)]
+
+
 def test_columns_by_class_and_number(spark):
     rows = spark.createDataFrame([(["x", "grid-cols-4"], 3), (["col-6"], 20), ([], 12), ([], 6), (["y"], 5)], "classes array<string>, n int")
     assert [r[0] for r in rows.select(layout.columns_of(rows["classes"], rows["n"])).collect()] == [4, 2, 4, 3, 2]
